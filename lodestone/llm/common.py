@@ -59,3 +59,8 @@ def ascii_lower(col: Column) -> Column:
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Let Python workers get few texts at a time: texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

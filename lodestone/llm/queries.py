@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import linededup
+from . import linededup, simhash
 
 QUERIES = {
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op6_line_dedup": linededup.op6_line_dedup,
 }
 ORACLE_SQL = {
