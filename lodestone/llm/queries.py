@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import linededup, simhash
+from . import linededup, lm, simhash
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op6_line_dedup": linededup.op6_line_dedup,
+    "op7_lm_scoring": lm.op7_lm_scoring,
 }
 ORACLE_SQL = {
     "op6_line_dedup": linededup.OP6_SQL,
