@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import linededup, lm, simhash
+from . import linededup, lm, secrets, simhash
 
 QUERIES = {
+    "op2_secret_scans": secrets.op2_secret_scans,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_lm_scoring": lm.op7_lm_scoring,
