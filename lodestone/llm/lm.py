@@ -30,6 +30,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,10 +74,10 @@ class _Block:
 
     def packed(self, name: int) -> pd.DataFrame:
         vocab = np.array([END, *(xxhash.xxh64_intdigest(w, seed=42) for w in self.place)], np.uint64)
-        return pd.DataFrame([{"block": name, "ids": self.ids, "folds": self.folds, "sizes": self.sizes, "vocab": vocab.tobytes(), "tokens": np.concatenate(self.found).tobytes()}])
+        return pd.DataFrame([{"block": name, "ids": self.ids, "folds": self.folds, "sizes": self.sizes, "vocab": vocab.tobytes(), "tokens": _narrow(np.concatenate(self.found))}])
 
 
-def blocks(docs: DataFrame, tokens: int = 1 << 20) -> DataFrame:
+def blocks(docs: DataFrame, tokens: int = 1 << 19) -> DataFrame:
     """(block, ids, folds, sizes, vocab, tokens): documents packed to about `tokens` tokens a block.
 
     vocab: the hash of each distinct word, the end at 0; tokens: their places in
@@ -107,7 +108,7 @@ def blocks(docs: DataFrame, tokens: int = 1 << 20) -> DataFrame:
 
 def _opened(row) -> tuple[np.ndarray, ...]:
     """(word hash, hash of the word before, pair hash, fold, document) of each token."""
-    vocab, tokens = np.frombuffer(row.vocab, np.uint64), np.frombuffer(row.tokens, np.uint32)
+    vocab, tokens = np.frombuffer(row.vocab, np.uint64), _wide(row.tokens)
     sizes = np.asarray(row.sizes)
     word = vocab[tokens]
     before = np.empty_like(word)
@@ -134,16 +135,18 @@ def _edges(buckets: int) -> np.ndarray:
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Unsigned numbers in as few bytes each as the largest needs, after a byte with their width."""
+    """Unsigned numbers in as few bytes each as the largest needs, after a byte with their width, compressed."""
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    packed = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return zstandard.ZstdCompressor(level=1).compress(bytes([width]) + packed.tobytes())
 
 
 def _wide(b: bytes) -> np.ndarray:
     """What `_narrow` packed."""
-    packed = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    packed = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
     out = np.zeros((len(packed), 8), np.uint8)
-    out[:, : b[0]] = packed
+    out[:, : raw[0]] = packed
     return out.view("<u8")[:, 0]
 
 
@@ -160,22 +163,25 @@ def answers(packed: DataFrame, buckets: int) -> DataFrame:
         for pdf in batches:
             for row in pdf.itertuples():
                 keys, at, fold, _ = _keys(row)
-                train, deleted = (np.bincount(at, np.tile(w, 2).astype(np.float64), len(keys)).astype(np.uint64) for w in (fold != HELD_OUT, fold == DELETED))
+                train = np.bincount(at, np.tile(fold != HELD_OUT, 2).astype(np.float64), len(keys)).astype(np.uint64)
                 cut = np.append(np.searchsorted(keys, edges), len(keys))
                 parts = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if lo < hi]
-                yield pd.DataFrame({"bucket": [p[0] for p in parts], "block": row.block, "keys": [_narrow(np.diff(keys[lo:hi], prepend=edges[b])) for b, lo, hi in parts], "train": [_narrow(train[lo:hi]) for _, lo, hi in parts], "deleted": [_narrow(deleted[lo:hi]) for _, lo, hi in parts]})
+                yield pd.DataFrame({"bucket": [p[0] for p in parts], "block": row.block, "keys": [_narrow(np.diff(keys[lo:hi], prepend=edges[b])) for b, lo, hi in parts], "train": [_narrow(train[lo:hi]) for _, lo, hi in parts], "deleted": row.folds[0] == DELETED})
 
     def answer(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         asked = [edges[group[0]] + np.cumsum(_wide(k)) for k in pdf["keys"]]
         keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-        train, deleted = (np.bincount(at, np.concatenate([_wide(x) for x in pdf[c]]), len(keys)).astype(np.uint64) for c in ("train", "deleted"))
+        counts = [_wide(x) for x in pdf["train"]]
+        train = np.bincount(at, np.concatenate(counts), len(keys)).astype(np.uint64)
+        gone = [c if d else np.zeros_like(c) for c, d in zip(counts, pdf["deleted"])]
+        deleted = np.bincount(at, np.concatenate(gone), len(keys)).astype(np.uint64)
         cut = np.cumsum([len(x) for x in asked])[:-1]
         out = pd.DataFrame({"block": pdf["block"], "bucket": group[0], "train": [_narrow(train[i]) for i in np.split(at, cut)], "deleted": [_narrow(deleted[i]) for i in np.split(at, cut)], "v": 0, "v_left": 0})
         word = (keys & np.uint64(1)).astype(bool)
         out.loc[0, ["v", "v_left"]] = int((word & (train > 0)).sum()), int((word & (train > deleted)).sum())
         return out
 
-    asked = packed.select("block", "folds", "sizes", "vocab", "tokens").mapInPandas(ask, "bucket int, block long, keys binary, train binary, deleted binary")
+    asked = packed.select("block", "folds", "sizes", "vocab", "tokens").mapInPandas(ask, "bucket int, block long, keys binary, train binary, deleted boolean")
     return asked.groupBy("bucket").applyInPandas(answer, "block long, bucket int, train binary, deleted binary, v long, v_left long")
 
 
@@ -193,7 +199,7 @@ def _estimates(row, rows: list, n: int, v: int, without: bool) -> tuple[np.ndarr
     size, rows = len(doc), sorted(rows)
     total = np.concatenate([_wide(t) for _, t, _ in rows]).astype(np.float64)
     if without:
-        total = total - np.concatenate([_wide(d) for _, _, d in rows]).astype(np.float64)
+        total -= np.concatenate([_wide(d) for _, _, d in rows])
     c_word, c_pair = total[at[:size]], total[at[size:]]
     # c(h .) is c(h): every word has a follower, and a document begins after an end.
     c_before = np.empty_like(c_word)
@@ -252,25 +258,25 @@ def _met(packed: DataFrame, answered: DataFrame, columns: list[str], schema: str
     """`run(row, answers)` for every block with the answers to it."""
 
     def together(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(right["bucket"], right["train"], right["deleted"]))
+        rows = list(zip(right["bucket"], right["train"], right["deleted"] if "deleted" in right else right["train"]))
         got = [run(row, rows) for row in left.itertuples()]
         return pd.concat(got) if got else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
     return packed.select("block", *columns).groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(together, schema)
 
 
-def score_documents(docs: DataFrame, tokens: int = 1 << 20, share: int = 1 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, tokens: int = 1 << 19, share: int = 1 << 19) -> DataFrame:
     """Scores of every document; `tokens` in a block, `share` the n-grams that a bucket may get, on average."""
     packed = materialise(blocks(docs, tokens), "blocks")
-    size = packed.agg(F.sum(F.length("tokens") / 4), F.sum(F.length("vocab") / 8)).first()
+    size = packed.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda t, n: t + n)), F.sum(F.length("vocab") / 8)).first()
     buckets = max(1, math.ceil(((size[0] or 0) + (size[1] or 0)) / share))
     answered = materialise(answers(packed, buckets), "answers")
     n, v, n_deleted, v_left = totals(packed, answered)
     columns = ["ids", "folds", "sizes", "vocab", "tokens"]
     with_deleted = packed.where(F.array_contains("folds", DELETED))
-    cells = _met(with_deleted, answered.join(with_deleted.select("block"), "block", "left_semi"), columns, "cell long, n long", lambda row, rows: _grid(row, rows, n - n_deleted, v_left))
+    cells = _met(with_deleted, answered.join(with_deleted.select("block"), "block", "left_semi").select("block", "bucket", "train", "deleted"), columns, "cell long, n long", lambda row, rows: _grid(row, rows, n - n_deleted, v_left))
     weights = learn(cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas())
-    return _met(packed, answered, columns, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", lambda row, rows: _scores(row, rows, n, v, weights))
+    return _met(packed, answered.select("block", "bucket", "train"), columns, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", lambda row, rows: _scores(row, rows, n, v, weights))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
