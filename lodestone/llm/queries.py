@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import linededup, lm, phrases, secrets, simhash
+from . import linededup, lm, phrases, secrets, simhash, toxicity
 
 QUERIES = {
     "op2_secret_scans": secrets.op2_secret_scans,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_lm_scoring": lm.op7_lm_scoring,
     "op10_document_fingerprints": phrases.op10_document_fingerprints,

@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and beginnings of words (`STEMS` code points).  A count over every
-training document finds the terms that go with the label; those that a chi-squared
-test keeps are the vocabulary, so that the cosine looks at what tells the classes
+training document finds the terms that go with the label; those that a likelihood-
+ratio test keeps are the vocabulary, so that the cosine looks at what tells the classes
 apart and not at names and function words.  The labelled examples (a bounded
 sample of rows, `max_examples`) make an inverted index in blocks of documents:
 each block keeps the largest weight of each term, so that the sum of largest
@@ -55,8 +55,8 @@ def terms(text: str | None) -> dict[str, int]:
     return out
 
 
-def select_terms(train: DataFrame, n: int, n_toxic: int, size: int, least: int = 4, chi2: float = 28.0) -> pd.DataFrame:
-    """(term, df): at most `size` terms whose documents go with the label, by chi-squared, from all training rows."""
+def select_terms(train: DataFrame, n: int, n_toxic: int, size: int, least: int = 4, g2: float = 24.0) -> pd.DataFrame:
+    """(term, df): at most `size` terms whose documents go with the label, by a likelihood-ratio test, from all training rows."""
 
     def count(batches):
         for pdf in batches:
@@ -68,12 +68,12 @@ def select_terms(train: DataFrame, n: int, n_toxic: int, size: int, least: int =
 
     df = train.select("text", "toxic").mapInPandas(count, "term string, clean long, bad long").groupBy("term").agg(F.sum("clean").cast("double").alias("clean"), F.sum("bad").cast("double").alias("bad"))
     n_clean = n - n_toxic
-    # The two-by-two table of a term against the label, with half a document for the correction.
-    cross = F.col("bad") * (n_clean - F.col("clean")) - F.col("clean") * (n_toxic - F.col("bad"))
-    gap = F.greatest(cross - n / 2, F.lit(0.0))
+    # Twice the log-likelihood ratio of the two-by-two table of a term against the label; it holds for small counts too.
     with_term = F.col("bad") + F.col("clean")
-    stat = gap * gap * n / F.greatest(with_term * (n - with_term) * n_toxic * n_clean, F.lit(1.0))
-    best = df.withColumn("chi2", stat).where((F.col("bad") >= least) & (F.col("chi2") >= chi2)).orderBy(F.desc("chi2"), "term").limit(size)
+    cell = lambda o, row, column: F.when(o > 0, o * F.log(o * n / (row * column))).otherwise(0.0)
+    stat = 2 * (cell(F.col("bad"), with_term, F.lit(n_toxic)) + cell(F.col("clean"), with_term, F.lit(n_clean)) + cell(n_toxic - F.col("bad"), n - with_term, F.lit(n_toxic)) + cell(n_clean - F.col("clean"), n - with_term, F.lit(n_clean)))
+    more = F.col("bad") * n_clean > F.col("clean") * n_toxic
+    best = df.withColumn("g2", stat).where((F.col("bad") >= least) & more & (F.col("g2") >= g2)).orderBy(F.desc("g2"), "term").limit(size)
     return best.select("term", (F.col("bad") + F.col("clean")).alias("df")).toPandas()
 
 
@@ -131,7 +131,7 @@ class BlockMaxIndex:
 class Model:
     """Vocabulary, index, labels and the calibration of the vote."""
 
-    def __init__(self, vocabulary: pd.DataFrame, n: int, examples: pd.DataFrame, without: tuple[int, int], k: int = 15):
+    def __init__(self, vocabulary: pd.DataFrame, n: int, examples: pd.DataFrame, without: tuple[int, int], k: int = 31):
         """examples: rows with at least one term; without: counts of the others by label."""
         self.places = {t: i for i, t in enumerate(vocabulary["term"])}
         self.idf = np.log((n + 1) / (vocabulary["df"].to_numpy(float) + 1)) + 1
@@ -140,7 +140,7 @@ class Model:
         self.index = BlockMaxIndex(vectors, len(self.places))
         n_none = without[0] + without[1]
         self.none = (without[1] + 0.5) / (n_none + 1) if n_none or len(vectors) else 0.5
-        # Leave one out; then a logistic fit of a slope and an offset by Newton steps, drawn to (1, 0) and kept near it.
+        # Leave one out; then a logistic fit of a slope and an offset by Newton steps, drawn to (1, 0), kept near it, and never above the vote by its offset.
         votes = np.array([self.vote(v, i)[0] for i, v in enumerate(vectors)])
         x = np.stack([np.log(np.clip(votes, 1e-3, 1 - 1e-3) / np.clip(1 - votes, 1e-3, 1)), np.ones(len(votes))], 1) if len(votes) else np.zeros((0, 2))
         self.fit = np.array([1.0, 0.0])
@@ -148,7 +148,7 @@ class Model:
             p = 1 / (1 + np.exp(-x @ self.fit))
             ridge = np.diag([1.0, 1.0]) * (1 + 0.01 * len(x))
             step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (self.toxic - p) - ridge @ (self.fit - [1, 0]))
-            self.fit = np.clip(self.fit + step, [0.5, -2], [2, 2])
+            self.fit = np.clip(self.fit + step, [0.5, -2], [2, 0])
 
     def vote(self, v: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """The share of toxic weight among the neighbours, and who they are; `PRIOR` votes stand for texts without terms."""
@@ -176,7 +176,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_examples: int) -> tupl
     return rows, int(counts[0]), int(counts[1] or 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 40_000, size: int = 4_000, k: int = 15) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 40_000, size: int = 4_000, k: int = 31) -> Model:
     """A model from `docs` (doc_id, text) and `labels` (doc_id, toxic), by the rows outside the held-out fold."""
     small_batches(docs.sparkSession)
     train, n, n_toxic = training_rows(docs, labels, max_examples)
