@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import linededup, lm, packing, phrases, secrets, simhash, toxicity
+from . import linededup, lm, packing, phrases, pieces, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_secret_scans": secrets.op2_secret_scans,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_line_dedup": linededup.op6_line_dedup,
