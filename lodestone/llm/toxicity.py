@@ -55,8 +55,11 @@ def terms(text: str | None) -> dict[str, int]:
     return out
 
 
-def select_terms(train: DataFrame, n: int, n_toxic: int, size: int, least: int = 4, g2: float = 24.0) -> pd.DataFrame:
-    """(term, df): at most `size` terms whose documents go with the label, by a likelihood-ratio test, from all training rows."""
+def select_terms(train: DataFrame, n: int, n_toxic: int, size: int, least: int = 4, g2: float = 24.0, purity: float = 0.6) -> pd.DataFrame:
+    """(term, df): at most `size` terms whose documents go with the label, by a likelihood-ratio test, from all training rows.
+
+    At least `purity` of the documents with the term are toxic.
+    """
 
     def count(batches):
         for pdf in batches:
@@ -72,7 +75,7 @@ def select_terms(train: DataFrame, n: int, n_toxic: int, size: int, least: int =
     with_term = F.col("bad") + F.col("clean")
     cell = lambda o, row, column: F.when(o > 0, o * F.log(o * n / (row * column))).otherwise(0.0)
     stat = 2 * (cell(F.col("bad"), with_term, F.lit(n_toxic)) + cell(F.col("clean"), with_term, F.lit(n_clean)) + cell(n_toxic - F.col("bad"), n - with_term, F.lit(n_toxic)) + cell(n_clean - F.col("clean"), n - with_term, F.lit(n_clean)))
-    more = F.col("bad") * n_clean > F.col("clean") * n_toxic
+    more = (F.col("bad") >= purity * with_term) & (F.col("bad") * n_clean > F.col("clean") * n_toxic)
     best = df.withColumn("g2", stat).where((F.col("bad") >= least) & more & (F.col("g2") >= g2)).orderBy(F.desc("g2"), "term").limit(size)
     return best.select("term", (F.col("bad") + F.col("clean")).alias("df")).toPandas()
 
@@ -104,25 +107,23 @@ class BlockMaxIndex:
         row, col = row.astype(np.int64), col.astype(np.int64)
         # Rounded up, so that the bound stays one in single precision.
         np.maximum.at(self.top, (col, row // block), np.nextafter(weight.astype(np.float32), np.float32(2)))
-        by = np.lexsort((row, col))
-        self.row, self.weight = row[by], weight[by]
-        self.first = np.searchsorted(col[by], np.arange(size + 1))
+        by = np.lexsort((row, col, row // block))
+        self.row, self.col, self.weight = row[by], col[by], weight[by]
+        self.first = np.searchsorted(self.row // block, np.arange(n_blocks + 1))
 
     def search(self, at: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest, exactly; only those with a cosine above zero; ties by example."""
         if not len(at) or not self.n:
             return np.zeros(0, int), np.zeros(0)
         bound = (w.astype(np.float32) * np.float32(1 + 1e-6)) @ self.top[at]
+        dense = np.zeros(len(self.top))
+        dense[at] = w
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0]:
                 break
-            lo, hi = b * self.block, min(self.n, (b + 1) * self.block)
-            score = np.zeros(hi - lo)
-            for t, x in zip(at, w):
-                s = slice(self.first[t], self.first[t + 1])
-                i, j = np.searchsorted(self.row[s], (lo, hi)) + s.start
-                score[self.row[i:j] - lo] += x * self.weight[i:j]
+            lo, own = b * self.block, slice(self.first[b], self.first[b + 1])
+            score = np.bincount(self.row[own] - lo, self.weight[own] * dense[self.col[own]])
             best += [(float(score[r]), self.order[lo + r]) for r in np.flatnonzero(score > 0) if self.order[lo + r] != skip]
             best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
         return np.array([i for _, i in best], int), np.array([c for c, _ in best])
