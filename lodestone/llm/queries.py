@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, lm, packing, phrases, pieces, secrets, simhash, tokencount, toxicity
+from . import linededup, lm, media, packing, phrases, pieces, secrets, simhash, tokencount, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_lm_scoring": lm.op7_lm_scoring,
+    "op8_media_copies": media.op8_media_copies,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_document_fingerprints": phrases.op10_document_fingerprints,
 }
