@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import audit
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (audit,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.SQL
