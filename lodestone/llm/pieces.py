@@ -28,9 +28,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -39,14 +41,13 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 BLANK = "▁"
-SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Fixed values of the model file's format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Segments whose ids a worker remembers, and pairs of pieces.
-REMEMBER, REMEMBER_PAIRS = 1 << 18, 1 << 19
+REMEMBER, REMEMBER_PAIRS = 1 << 19, 1 << 19
 
 
 class Pieces:
@@ -64,6 +65,15 @@ class Pieces:
         self.raw = [byte_of.get(i, t.replace(BLANK, " ").encode()) for i, t in enumerate(self.text)]
         self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
+        # No piece holds a blank behind another code point, nor any of the breaks that are in no piece at all.
+        breaks = "".join(c for c in "\n\r\t" if not any(c in p for p in self.ids))
+        inner = any(BLANK in p.lstrip(BLANK) for p in self.ids)
+        self.segment = re.compile("(?s:.+)" if inner else f"{BLANK}*[^{BLANK}{breaks}]+|{BLANK}+" + (f"|[{breaks}]" if breaks else ""))
+        self.odd = re.compile("(?s:.)" if inner or "\n" not in breaks or not dummy_prefix else f"^ |  |[{BLANK}\0\r\t]")
+        # The longest piece that ends in two code points (or is the one).
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
         self.worst = min((self.score[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
@@ -148,65 +158,101 @@ class Pieces:
             end = start
         return out[::-1]
 
-    def _whole(self, text: str) -> list[tuple[str, int]]:
-        """`stream` of a short text in a bpe model, where the window holds all of it."""
-        find, known, longest = self.ids.get, self.pairs.get, self.longest
-        begin, last = [0], [-1]
-        for end in range(1, len(text) + 1):
-            at, own = end - 1, -1
-            for start in range(end - longest if end > longest else 0, end):
-                if (i := find(text[start:end])) is not None:
-                    before = last[start]
-                    if before >= 0:
-                        go = known(before << 32 | i)
-                        if not (self.together(before, i) if go is None else go):
-                            continue
-                    at, own = start, i
-                    break
-            begin.append(at)
-            last.append(own)
-        return self._path(text, begin, last, 0, len(text))
+    def learn(self, texts: list[str]) -> None:
+        """Remember the ids of many segments.
+
+        In order of the alphabet a segment begins like the one before it, and so
+        does its lattice: the search goes on from where the two part.
+        """
+        find, known, together, reach = self.ids.get, self.pairs.get, self.together, self.reach
+        begin, last, before = [0], [-1], ""
+        for text in sorted(texts):
+            if self.kind != BPE or len(text) > 4 * self.longest:
+                path = self.stream(text)
+            else:
+                common, most = 0, min(len(text), len(before))
+                while common < most and text[common] == before[common]:
+                    common += 1
+                del begin[common + 1 :], last[common + 1 :]
+                for end in range(common + 1, len(text) + 1):
+                    at, own = end - 1, -1
+                    far = end - reach.get(text[end - 2 : end] if end > 1 else text[0], 1)
+                    for start in range(far if far > 0 else 0, end):
+                        if (i := find(text[start:end])) is not None:
+                            left = last[start]
+                            if left >= 0:
+                                go = known(left << 32 | i)
+                                if not (together(left, i) if go is None else go):
+                                    continue
+                            at, own = start, i
+                            break
+                    begin.append(at)
+                    last.append(own)
+                before, end, out = text, len(text), []
+                while end > 0 and (i := last[end]) >= 0:
+                    out.append(i)
+                    end = begin[end]
+                if not end:
+                    out.reverse()
+                    self.known[text] = tuple(out)
+                    continue
+                path = self._path(text, begin, last, 0, len(text))
+            self.known[text] = self._with_bytes(path)
 
-    def segment(self, text: str) -> tuple[int, ...]:
-        """The ids of a piece of text that no piece crosses the ends of."""
-        found = self.older.get(text)
+    def _with_bytes(self, path) -> tuple[int, ...]:
+        """The ids of a path, with bytes or the unknown id for what is no piece."""
         out: list[int] = []
-        for p, i in () if found else self._whole(text) if self.kind == BPE and len(text) <= 4 * self.longest else self.stream(text):
+        for p, i in path:
             if i >= 0:
                 out.append(i)
             elif self.bytes:
                 out += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        if len(self.known) >= REMEMBER:
-            self.older, self.known = self.known, {}
-        found = found or tuple(out)
-        if len(text) <= 64:
-            self.known[text] = found
-        return found
+        return tuple(out)
+
+    def cut(self, text: str) -> list[str]:
+        """A text in segments that no piece crosses the ends of."""
+        if not self.odd.search(text):  # single blanks between words: the same cuts, found faster
+            return (self.prefix + text.replace(" ", "\0" + BLANK).replace("\n", "\0\n\0")).split("\0")
+        return self.segment.findall(self.prefix + text.replace(" ", BLANK))
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """The ids of each text.
+
+        What the texts share is searched once, a bounded number of texts at a time.
+        """
+        for k in range(0, len(texts), 64):
+            cut = [self.cut(t) if t else [] for t in texts[k : k + 64]]
+            new = {s for own in cut for s in own}.difference(self.known)
+            for s in new.intersection(self.older):
+                self.known[s] = self.older[s]
+            self.learn(list(new.difference(self.older)))
+            get = self.known.__getitem__
+            for own in cut:
+                yield list(chain.from_iterable(map(get, own)))
+            if len(self.known) >= REMEMBER:
+                self.older, self.known = {s: i for s, i in self.known.items() if len(s) <= 64}, {}
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        for s in SEGMENT.findall(self.prefix + text.replace(" ", BLANK)):
-            out += self.known.get(s) or self.segment(s)
-        return out
+        return next(self.encode_many([text]))
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
-        text = b"".join([raw[i] for i in ids if 0 <= i < len(raw)]).decode("utf-8", "replace")
+        if len(ids) and not (min(ids) >= 0 and max(ids) < len(raw)):
+            ids = [i for i in ids if 0 <= i < len(raw)]
+        text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 def encode_documents(docs: DataFrame, model: Pieces) -> DataFrame:
     """(doc_id, ids) of every row."""
-    return _over(docs.select("doc_id", "text"), model, "doc_id long, ids array<int>", lambda own, i, x: (i, own.encode(x)))
+    return _over(docs.select("doc_id", "text"), model, "doc_id long, ids array<int>", lambda own, texts: ((ids,) for ids in own.encode_many(texts)))
 
 
 def decode_documents(encoded: DataFrame, model: Pieces) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids); null ids give an empty text."""
-    return _over(encoded.select("doc_id", "ids"), model, "doc_id long, text string", lambda own, i, x: (i, own.decode([] if x is None else x)))
+    return _over(encoded.select("doc_id", "ids"), model, "doc_id long, text string", lambda own, rows: ((own.decode([] if x is None else x),) for x in rows))
 
 
 def _over(rows: DataFrame, model: Pieces, schema: str, f) -> DataFrame:
@@ -218,9 +264,9 @@ def _over(rows: DataFrame, model: Pieces, schema: str, f) -> DataFrame:
     def run(batches):
         own = cloudpickle.loads(sent.value)
         for pdf in batches:
-            ids = [None if i is pd.NA else int(i) for i in pdf.iloc[:, 0].astype("Int64")]
-            out = pd.DataFrame([f(own, i, x) for i, x in zip(ids, pdf.iloc[:, 1])], columns=names)
-            yield out.astype({"doc_id": "Int64"})
+            out = pd.DataFrame(list(f(own, pdf.iloc[:, 1].tolist())), columns=names[1:])
+            out.insert(0, "doc_id", pdf.iloc[:, 0].astype("Int64").array)
+            yield out
 
     return rows.mapInPandas(run, schema)
 
@@ -231,10 +277,17 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL)
     ids_sha256 is over the ids as little-endian 32-bit numbers.
     """
     digest = lambda b: hashlib.sha256(b).hexdigest()
+    raw = lambda t: (t or "").encode("utf-8", "surrogatepass")
+
+    def numbers(ids: list[int]) -> bytes:
+        packed = array("i", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
-    def both(own: Pieces, doc_id: int | None, text: str | None) -> tuple:
-        ids = own.encode(text)
-        return doc_id, len(ids), digest(np.array(ids, "<i4").tobytes()), digest((text or "").encode("utf-8", "surrogatepass")), digest(own.decode(ids).encode("utf-8", "surrogatepass"))
+    def both(own: Pieces, texts: list) -> Iterator[tuple]:
+        for text, ids in zip(texts, own.encode_many(texts)):
+            yield len(ids), digest(numbers(ids)), digest(raw(text)), digest(raw(own.decode(ids)))
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _over(docs, Pieces.load(model_file), "doc_id long, n_ids long, ids_sha256 string, text_sha256 string, decoded_sha256 string", both)
