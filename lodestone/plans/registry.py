@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audit
+from . import arrays, audit, evaluate, explain, groups, similarity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (audit,):
+for _module in (audit, similarity, groups, arrays, evaluate, explain):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.SQL
