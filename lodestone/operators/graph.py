@@ -19,19 +19,24 @@ def _cut(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): root is the least node that can be reached.
 
-    Every round takes each node's least neighbour as its parent, jumps to the
-    parent's parent, and sends the edges to the parents; equal ends drop out.  A
-    round at least halves the nodes that still have edges, so the rounds follow
-    the logarithm of the number of nodes, not the diameter.
+    Every round takes each node's least neighbour as its parent, jumps from
+    parent to parent's parent until that changes nothing, and sends the edges to
+    the roots; equal ends drop out.  A round at least halves the nodes that still
+    have edges and the jumps double their length each time, so the work follows
+    the square of the logarithm of the number of nodes, not the diameter.
     """
     edges = _cut(edges.select("a", "b").where("a <> b").distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     parent = nodes.select("node", F.col("node").alias("root"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("up"))
-        # The parent's parent, so that chains halve; a node's parent is never larger than the node.
-        jump = _cut(least.join(least.select(F.col("a").alias("up"), F.col("up").alias("up2")), "up", "left").select("a", F.coalesce("up2", "up").alias("up")))
+        # A node's parent is never larger than the node, and has edges itself.
+        jump = _cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("up")))
+        while True:
+            far = _cut(jump.join(jump.select(F.col("a").alias("up"), F.col("up").alias("up2")), "up").select("a", F.col("up2").alias("up"), (F.col("up") != F.col("up2")).alias("moved")))
+            jump = far.select("a", "up")
+            if far.where("moved").isEmpty():
+                break
         parent = _cut(parent.join(jump.select(F.col("a").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         moved = edges.join(jump.select("a", F.col("up").alias("x")), "a").join(jump.select(F.col("a").alias("b"), F.col("up").alias("y")), "b")
         edges = _cut(moved.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
