@@ -48,6 +48,8 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Segments whose ids a worker remembers, and pairs of pieces.
 REMEMBER, REMEMBER_PAIRS = 1 << 19, 1 << 19
+#: Code points that are encoded together.
+TOGETHER = 1 << 21
 
 
 class Pieces:
@@ -220,10 +222,16 @@ class Pieces:
     def encode_many(self, texts: list[str | None]) -> Iterator[list[int]]:
         """The ids of each text.
 
-        What the texts share is searched once, a bounded number of texts at a time.
+        What the texts share is searched once, a bounded amount of text at a time.
         """
-        for k in range(0, len(texts), 64):
-            cut = [self.cut(t) if t else [] for t in texts[k : k + 64]]
+        done = 0
+        while done < len(texts):
+            cut, size = [], 0
+            while done < len(texts) and size < TOGETHER:
+                text = texts[done]
+                cut.append(self.cut(text) if text else [])
+                size += len(text or "")
+                done += 1
             new = {s for own in cut for s in own}.difference(self.known)
             for s in new.intersection(self.older):
                 self.known[s] = self.older[s]
@@ -257,7 +265,7 @@ def decode_documents(encoded: DataFrame, model: Pieces) -> DataFrame:
 
 def _over(rows: DataFrame, model: Pieces, schema: str, f) -> DataFrame:
     spark = rows.sparkSession
-    small_batches(spark)
+    small_batches(spark, 512)
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))  # one model: bounded
     names = [c.split()[0] for c in schema.split(", ")]
 
