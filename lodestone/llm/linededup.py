@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, ascii_lower, materialise, shared_dir
 
 KEY = ["h1", "h2"]
+HEAVY = 4096
 
 
 def line_hashes(docs: DataFrame, min_chars: int = 20) -> DataFrame:
@@ -46,6 +47,9 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        # A union of bucketed scans must not pass for partitioned: Spark 4.1 then drops the exchange of a
+        # grouping above it, while another rule turns the bucketed scans into plain ones.
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -98,8 +102,12 @@ def line_drops(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     runs = LineRuns(docs.sparkSession, fanout)
     for batch in range(batches):
         runs.add(hashes.where(F.col("batch") == batch))
-    shared = runs.merged().where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc")
-    lost = hashes.join(shared, KEY).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
+    shared = materialise(runs.merged().where(F.col("n_docs") >= min_docs).select(*KEY, "n_docs", "max_doc"), "shared-lines")
+    # Each of the very common keys has a part in HEAVY of all rows, so there are HEAVY of them at most: they are broadcast.
+    common = F.col("n_docs") * HEAVY >= hashes.count()
+    heavy, light = F.broadcast(shared.where(common)), shared.where(~common)
+    met = hashes.join(heavy, KEY).unionByName(hashes.join(heavy.select(*KEY), KEY, "left_anti").join(light, KEY))
+    lost = met.where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
     return lost.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drops"))
 
 
@@ -109,16 +117,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     Lines whose key stands in `min_docs` documents or more go, except in the
     document with the largest doc_id that holds them.
     """
-    drops = line_drops(docs, min_chars, min_docs, batches, fanout)
-    drops = drops.select(F.col("doc_id").alias("_drop_id"), F.col("row").alias("_drop_row"), F.col("drops").alias("_drops"))
+    # Names that no column of `docs` can have.
+    of_id, of_row, of_drops, done_name = (f"_{uuid.uuid4().hex}" for _ in range(4))
+    drops = line_drops(docs.select("doc_id", "text"), min_chars, min_docs, batches, fanout).toDF(of_id, of_row, of_drops)
     text = F.coalesce("text", F.lit(""))
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_drop_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == drops["_drop_row"]), "left")
+    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64(text) == F.col(of_row)), "left")
     # The struct binds the split lines to a lambda variable, so that they are split once.
-    parts = F.array(F.struct(F.split(text, "\n", -1).alias("lines"), F.coalesce("_drops", F.array().cast("array<int>")).alias("drops")))
+    parts = F.array(F.struct(F.split(text, "\n", -1).alias("lines"), F.coalesce(of_drops, F.array().cast("array<int>")).alias("drops")))
     kept = lambda s: F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["drops"]), lambda i: F.get(s["lines"], i))
     done = F.transform(parts, lambda s: F.struct(F.array_join(kept(s), "\n").alias("text"), F.size(s["lines"]).cast("long").alias("n_lines"), F.size(s["drops"]).cast("long").alias("n_dropped")))
-    joined = joined.withColumn("_lines", F.get(done, F.lit(0)))
-    return joined.select(*[F.col("_lines.text").alias(c) if c == "text" else F.col(c) for c in docs.columns], F.struct("_lines.n_lines", "_lines.n_dropped").alias("_lines"))
+    joined = joined.withColumn(done_name, F.get(done, F.lit(0)))
+    return joined.select(*[F.col(f"{done_name}.text") if c == "text" else F.col(c) for c in docs.columns], F.struct(f"{done_name}.n_lines", f"{done_name}.n_dropped").alias("_lines"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,9 +194,10 @@ def near_dups(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int = 42
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """`docs` without near copies: the row with the least doc_id of each component stays (once, if rows repeat).
+    """`docs` without near copies: the document with the least doc_id of each component stays.
 
-    Rows of a component without any doc_id stay, as nothing tells them apart.
+    Rows that repeat that doc_id stay with it, and so do rows without a doc_id, as
+    nothing tells them apart.
     """
     found = near_dups(docs, **params)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()

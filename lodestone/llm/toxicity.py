@@ -67,7 +67,7 @@ def select_terms(train: DataFrame, n: int, n_toxic: int, size: int, least: int =
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
                 for t in terms(text):
                     seen.setdefault(t, [0, 0])[toxic] += 1
-            yield pd.DataFrame({"term": list(seen), "clean": [c for c, _ in seen.values()], "bad": [b for _, b in seen.values()]})
+            yield pd.DataFrame({"term": np.array(list(seen), object), "clean": [c for c, _ in seen.values()], "bad": [b for _, b in seen.values()]})
 
     df = train.select("text", "toxic").mapInPandas(count, "term string, clean long, bad long").groupBy("term").agg(F.sum("clean").cast("double").alias("clean"), F.sum("bad").cast("double").alias("bad"))
     n_clean = n - n_toxic

@@ -1,0 +1,455 @@
+"""The operators of lodestone.llm against brute force, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+import string
+import zlib
+from collections import Counter
+
+import numpy as np
+import oracle
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lodestone.llm import lm, linededup, media, packing, phrases, pieces, secrets, simhash, tokencount, toxicity
+from lodestone.llm.queries import ORACLE_SQL
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns with names that the operators use inside.
+CLASH = ["row", "pos", "h1", "fp", "node", "kind", "shard", "bin", "part", "fold", "_drops", "key"]
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def split_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, ties, and clashing columns."""
+    long = "Word word2 wOrd3 \t word4 " * 3000
+    line = "a line of more than twenty code points"
+    texts = [(1, None), (2, ""), (3, long), (4, "same text here again"), (5, "same text here again"), (6, f"{line}\n x"), (7, f" {line.upper()}\t\nx\n{line}"), (8, line), (8, line), (9, "é" * 30), (None, line), (None, None), (10, " \t\n")]
+    df = spark.createDataFrame([(i, t, "en", None if k % 3 else "s", None) for k, (i, t) in enumerate(texts)], SCHEMA)
+    for c in CLASH:
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_sql(spark):
+    from lodestone.llm.queries import QUERIES
+
+    con = oracle.connect(SF)
+    for name, sql in ORACLE_SQL.items():
+        assert oracle.differences(QUERIES[name](spark, SF), con, sql) == ""
+
+
+# --- packing
+
+
+def brute_pack(rests, capacity, most):
+    bins, out = [], [None] * len(rests)
+    for i in sorted(range(len(rests)), key=lambda i: (-rests[i][0], rests[i][2], rests[i][1], i)):
+        size, source, cluster = rests[i]
+        room = lambda b: capacity - sum(x[0] for x in b)
+        fit = [(room(b), k) for k, b in enumerate(bins) if room(b) >= size and all(x[2] != cluster for x in b) and sum(x[1] == source for x in b) < most]
+        k = min(fit)[1] if fit else len(bins)
+        if not fit:
+            bins.append([])
+        out[i] = (k, capacity - room(bins[k]))
+        bins[k].append(rests[i])
+    return out
+
+
+def test_best_fit_is_brute_force():
+    rng = random.Random(1)
+    for _ in range(150):
+        size = {}
+        rests = [(rng.randint(1, 50), f"s{rng.choice([0, 0, 1, 2])}", rng.choice([0, 0, rng.randint(1, 30)])) for _ in range(rng.randint(0, 70))]
+        rests = [(size.setdefault(c, s), x, c) for s, x, c in rests]
+        assert packing.best_fit(rests, 64, 2) == brute_pack(rests, 64, 2)
+
+
+def test_packing(spark, docs, odd, empty):
+    got = packing.pack(docs, capacity=256).toPandas()
+    placed = got[got.n_tokens > 0]
+    assert placed.groupby("bin").n_tokens.sum().max() <= 256
+    assert placed.groupby(["bin", "source"]).doc_id.nunique().max() <= packing.MAX_PER_SOURCE
+    words = {r.doc_id: r.n for r in docs.select("doc_id", packing.n_tokens(F.col("text")).alias("n")).collect()}
+    assert placed.groupby("doc_id").n_tokens.sum().to_dict() == {k: n for k, n in words.items() if n}
+    for _, b in placed.sort_values("place").groupby("bin"):
+        assert (b.place.to_numpy()[1:] >= (b.place + b.n_tokens).to_numpy()[:-1]).all()
+    strange = packing.pack(odd).toPandas()
+    assert strange[strange.n_tokens == 0].bin.isna().all() and len(strange) >= odd.count()
+    assert packing.pack(empty).count() == 0
+
+
+# --- secrets
+
+
+def base_spans(t):
+    t, found = t or "", []
+    word = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+    kinds = [("assign", rf"""({word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
+    for k, (name, pattern) in enumerate(kinds):
+        for m in re.finditer(pattern, t):
+            if (len(m[2]) >= 6) if k == 0 else len(m[0]) >= (20 if k == 1 else 24):
+                found.append((m.start(), k, f"{name}:{m.start()}:{m.end()}"))
+    return ",".join(s for *_, s in sorted(found))
+
+
+def test_secrets(spark, docs):
+    rng = random.Random(5)
+    key = base64.b64encode(rng.randbytes(30)).decode().rstrip("=")
+    made = [None, "", f"é key {key} é", "token=token:abcdefg password: 'abc' PASSWORD= \"a1b2c3\"", "AKIA" + "A1" * 8, "AKIA" + "A1" * 7, "f" * 24 + " " + "f" * 23, "api-key=abcdefgh API_KEY:abcdefgh", "com/example/project/MainActivityController thisIsAVeryLongCamelCaseIdentifierName", "secret = " + "0123456789abcdef" * 2 + "é"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)] + [(2, made[2])], "doc_id long, text string").unionByName(docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
+    for c in CLASH:
+        df = df.withColumn(c, F.lit("x"))
+    got = secrets.spans(df).collect()
+    assert len(got) == df.count()
+    texts = [(r.doc_id, r.text) for r in df.collect()]
+    spans = Counter((r.doc_id, ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.kind != "random")) for r in got)
+    assert spans == Counter((i, base_spans(t)) for i, t in texts)
+    assert sum(s.kind == "random" and (s.start, s.end) == (6, 6 + len(key)) for r in got for s in r.spans) == 2
+    assert not any(s.kind == "random" for r in got if r.doc_id == 8 for s in r.spans)
+    clean = {r.doc_id: r.text for r in secrets.redact(df.where("doc_id < 10")).collect()}
+    assert key not in clean[2] and secrets.MASK in clean[2] and clean[0] is None and "token=token:abcdefg" in clean[3] and "a1b2c3" not in clean[3]
+    assert clean[8] == made[8]
+
+
+def test_battery_tells_random_from_text(spark):
+    rng = random.Random(5)
+    good = [base64.b64encode(rng.randbytes(30)).decode() for _ in range(10)] + [rng.randbytes(20).hex() for _ in range(5)] + ["".join(rng.choices(string.ascii_lowercase + string.digits, k=32)) for _ in range(5)]
+    bad = ["internationalizationConfig2", "aaaaaaaaaaaaaaaaaaaaaaaa1", "0123456789abcdef0123", "some-long-slug-with-words-and-2-numbers", "12345678901234567890123"]
+    df = spark.createDataFrame([(v,) for v in good + bad], "v string").select("v", secrets.evidence(F.col("v"), 1e-3).alias("e"))
+    e = {r.v: r.e for r in df.collect()}
+    assert all((e[v] or 0) > 10 for v in good) and all(e[v] is None for v in bad)
+
+
+def test_secrets_empty(empty):
+    assert secrets.spans(empty).count() == 0 and secrets.redact(empty).count() == 0
+
+
+# --- sentencepiece
+
+
+def test_pieces_match_the_library(rows):
+    sp = pytest.importorskip("sentencepiece")
+    lib, own = sp.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Pieces.load()
+    texts = [t for _, t in rows] + ["  a  b ", "", "\n\n x", "漢字🙂 <s> <0x0A> ▁x▁ y", "a" * 500, "    " * 30 + "x", "aaaabaaab" * 100, "0123456789" * 50, "=" * 100 + "-" * 77, "a\r\nb\tc\0d"]
+    got = list(own.encode_many(texts))
+    assert got == [lib.encode(t) for t in texts]
+    assert all(own.decode(ids) == t for t, ids in zip(texts, got) if "▁" not in t)
+    assert own.encode(None) == [] and own.decode([]) == "" and own.decode([10**9]) == ""
+
+
+def test_unigram_is_best_path():
+    rng = random.Random(2)
+    found = [("<unk>", 0.0, 2)] + [("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))), -rng.random() * 5, 1) for _ in range(60)]
+    found = list({p: (p, s, t) for p, s, t in found}.values())
+    own = pieces.Pieces(found, pieces.UNIGRAM, dummy_prefix=False)
+    score = {p: s for p, s, _ in found[1:]}
+    for _ in range(40):
+        text = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 120)))
+        best = [0.0]
+        for end in range(1, len(text) + 1):
+            best.append(max(best[end - k] + (score[text[end - k : end]] if text[end - k : end] in score else own.worst if k == 1 else -math.inf) for k in range(1, min(5, end) + 1)))
+        path = list(own.stream(text))
+        assert "".join(p for p, _ in path) == text
+        assert math.isclose(sum(score.get(p, own.worst) for p, _ in path), best[-1], abs_tol=1e-9)
+
+
+def test_pieces_rows(odd, empty):
+    own = pieces.Pieces.load()
+    back = pieces.decode_documents(pieces.encode_documents(odd, own), own).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, r.text or "") for r in odd.collect())
+    assert pieces.encode_documents(empty, own).count() == 0
+
+
+# --- simhash
+
+
+def brute_fp(t):
+    w = split_words(t)
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), seed=42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def brute_components(fp, ids):
+    label = list(range(len(fp)))
+    for i in range(len(fp)):
+        for j in range(i):
+            if (fp[i] ^ fp[j]).bit_count() <= 4:
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    least = {}
+    for x, i in zip(label, ids):
+        if i is not None:
+            least[x] = min(i, least.get(x, i))
+    return [least.get(x) for x in label]
+
+
+def test_simhash(rows, docs, odd, empty):
+    got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.near_dups(docs).collect()}
+    fp = [brute_fp(t) for _, t in rows]
+    assert got == {i: (f, c) for (i, _), f, c in zip(rows, fp, brute_components(fp, [i for i, _ in rows]))}
+    strange = odd.collect()
+    fp = [brute_fp(r.text) for r in strange]
+    want = Counter(zip([r.doc_id for r in strange], fp, brute_components(fp, [r.doc_id for r in strange])))
+    assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_dups(odd).collect()) == want
+    assert simhash.near_dups(empty).count() == 0
+    assert simhash.keep_one(odd).columns == odd.columns
+
+
+def test_trie_join_in_small_nodes(spark):
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 30, dtype=np.int64)
+    flips = [base ^ (1 << int(rng.integers(0, 63))) ^ (1 << int(rng.integers(0, 63))) ^ (1 << int(rng.integers(0, 63))) for _ in range(20)]
+    points = np.unique(np.concatenate([base, *flips]))
+    roots = dict(map(tuple, simhash.connected(simhash.trie_links(spark.createDataFrame([(int(x),) for x in points], "fp long"), 4, 16)).collect()))
+    want = brute_components([int(x) for x in points], [int(x) for x in points])
+    assert [roots.get(int(p), int(p)) for p in points] == want
+
+
+# --- toxicity
+
+
+def test_index_is_exact():
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(500):
+        at = np.sort(rng.choice(60, rng.integers(1, 8), replace=False)).astype(np.int32)
+        w = rng.random(len(at))
+        vectors.append((at, w / np.linalg.norm(w)))
+    index = toxicity.BlockMaxIndex(vectors, 60, block=16)
+    dense = np.zeros((500, 60))
+    for i, (at, w) in enumerate(vectors):
+        dense[i, at] = w
+    for at, w in vectors[:60]:
+        cos = dense[:, at] @ w
+        want = sorted((-c, i) for i, c in enumerate(cos) if c > 0)[:15]
+        who, c = index.search(at, w, 15)
+        assert np.allclose(c, [-x for x, _ in want]) and len(who) == len(want)
+        assert np.allclose(cos[who], c)
+
+
+def test_toxicity(spark, odd, empty):
+    d = "/root/testdata/sf0.01"
+    got = toxicity.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert got.score.between(0, 1).all() and ((held.predicted == 1) & (held.toxic == 0)).sum() <= 1
+    assert held[held.toxic == 1].predicted.mean() > 0.5
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
+    labels = spark.createDataFrame([(3, 1, 1), (3, 1, 0), (4, 0, None), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    for table, n in ((odd, odd.count()), (empty, 0)):
+        run = toxicity.scorer(spark, toxicity.fit(table, labels))
+        assert table.select(run(F.col("text")).alias("s")).where("s.score BETWEEN 0 AND 1").count() == n
+    run = toxicity.scorer(spark, toxicity.fit(odd, labels.limit(0)))
+    assert {r.s.score for r in odd.select(run(F.col("text")).alias("s")).collect()} == {0.5}
+
+
+# --- line dedup
+
+
+def brute_lines(rows):
+    key = lambda x: lower(x.strip(" \t\n\x0b\f\r"))
+    held = {}
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 20:
+                held.setdefault(key(x), set()).add(i)
+    keep = {k: max((i for i in s if i is not None), default=None) for k, s in held.items() if len(s) >= 3}
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if keep.get(key(x), i) == i]
+        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return Counter(out)
+
+
+def test_lines(odd, empty):
+    got = linededup.dedup_lines(odd)
+    assert got.columns == [*odd.columns, "_lines"]
+    found = Counter((r.doc_id, r._lines.n_lines, r._lines.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got.collect())
+    assert found == brute_lines([(r.doc_id, r.text) for r in odd.collect()])
+    assert linededup.dedup_lines(empty).count() == 0
+
+
+def test_runs_compact(spark, docs):
+    runs = linededup.LineRuns(spark, fanout=2, buckets=2)
+    hashes = linededup.line_hashes(docs).cache()
+    for k in range(5):
+        fresh = runs.add(hashes.where(F.col("doc_id") % 5 == k)).where("fresh").count()
+        assert fresh == hashes.where(F.col("doc_id") % 5 == k).select("h1", "h2").distinct().join(hashes.where(F.col("doc_id") % 5 < k), ["h1", "h2"], "left_anti").count()
+    assert len(runs.names()) == 2
+    assert sorted(map(tuple, runs.merged().collect())) == sorted(map(tuple, linededup.reduce_batch(hashes).collect()))
+
+
+# --- language model
+
+
+def test_lm(docs, rows, odd, empty):
+    got = {r.doc_id: r for r in lm.score_documents(docs, tokens=3000, share=2000).collect()}
+    counts, tokens = Counter(), {}
+    for i, t in rows:
+        tokens[i] = [*split_words(t), "\n"]
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(tokens[i])
+    n, v = sum(counts.values()), len(counts)
+    for i, w in tokens.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(counts[x] > 0 for x in w), n, zlib.crc32(str(i).encode()) % 7 == 2)
+        assert math.isclose(r.base_score, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert lm.score_documents(odd).count() == odd.count() and lm.score_documents(empty).count() == 0
+
+
+def test_weights_are_a_distribution():
+    import pandas as pd
+
+    w = lm.learn(pd.DataFrame({"cell": [5 * lm.STEPS**2 + 30 * lm.STEPS + 25, 5 * lm.STEPS**2 + 20], "n": [100, 10]}))
+    assert np.allclose(w.sum(1), 1) and (w >= 0).all() and w[5, 0] > 0.5
+
+
+# --- media
+
+
+def picture(rng, side=96):
+    a = media.resize(rng.normal(0, 1, (12, 12)), side, side)
+    return (a - a.min()) / (a.max() - a.min()) * 255
+
+
+def test_copies(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(24):
+        a = picture(rng)
+        rows.append((100 * i, bytearray(media.encode_pgm(a))))
+        edit = (a[8:90, 5:88], np.clip(a * 0.8 + 30 + rng.normal(0, 2, a.shape), 0, 255), np.rot90(a))[i % 3]
+        if i < 15:
+            rows.append((100 * i + 1, bytearray(media.encode_pgm(edit))))
+    rows += [(7, None), (8, bytearray(b"x")), (9, rows[0][1]), (None, rows[1][1])]
+    got = {r.id: r for r in media.find_copies(spark.createDataFrame(rows, "id long, image binary"), lambda i: i % 100 == 0).collect()}
+    assert len(got) == len(rows) and got[9].class_id == 0
+    assert sum(got[100 * i].match_id == 100 * i + 1 for i in range(15)) >= 14
+    assert all(got[100 * i].match_id is None for i in range(15, 24))
+    none = spark.createDataFrame([], "id long, image binary")
+    assert media.find_copies(none, lambda i: i % 100 == 0).count() == 0
+
+
+def test_png():
+    raw = np.random.default_rng(1).integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    chunk = lambda k, b: len(b).to_bytes(4, "big") + k + b + zlib.crc32(k + b).to_bytes(4, "big")
+    lines, before = b"", np.zeros((7, 3), int)
+    for y, line in enumerate(raw.astype(int)):
+        left = np.vstack([np.zeros((1, 3), int), line[:-1]])
+        body = [line, line - left, line - before, line - (left + before) // 2][y % 4]
+        lines += bytes([y % 4]) + (body & 255).astype(np.uint8).tobytes()
+        before = line
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (7).to_bytes(4, "big") + (5).to_bytes(4, "big") + bytes([8, 2, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    assert np.allclose(media.decode(data), raw.mean(2))
+    assert media.decode(data[:40]) is None and media.decode(b"P5 9 9 255\n") is None
+
+
+# --- token counts
+
+
+@pytest.fixture(scope="module")
+def counter():
+    return tokencount.Counter.load()
+
+
+def test_edits_equal_recounts(counter, monkeypatch):
+    rng, letters = random.Random(3), "ab  \n\t 1'sé!"
+    for _ in range(600):
+        monkeypatch.setattr(tokencount, "BLOCK", rng.choice([2, 5, 128]))
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 300)))
+        doc = tokencount.Document(text, counter)
+        for _ in range(5):
+            start = rng.randint(-1, len(text) + 2)
+            end, new = start + rng.choice([0, 1, 3, 30, 500]), "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 20])))
+            a = min(max(start, 0), len(text))
+            text = text[:a] + new + text[min(max(end, a), len(text)) :]
+            doc.replace(start, end, new)
+            assert doc.text == text and doc.n_tokens == len(counter.encoding.encode_ordinary(text))
+
+
+def test_token_counts(docs, odd, empty, counter):
+    got = tokencount.count_with_edits(docs, counter).toPandas()
+    assert got.n_recounted.sum() < 0.2 * got.n_pretokens.sum()
+    assert tokencount.count_with_edits(odd, counter).count() == odd.count() and tokencount.count_with_edits(empty, counter).count() == 0
+
+
+# --- fingerprints
+
+
+def test_fingerprints(rows, docs, odd, empty):
+    got = {r.doc_id: r for r in phrases.fingerprint_documents(docs).collect()}
+    for k, (i, t) in enumerate(rows):
+        after = rows[k - 1][1]
+        half = len(t) // 2
+        changed = t[: len(t) - half] + after[:half]
+        a, b, c = phrases.signatures([t, changed, after])
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == tuple(x.astype(">u4").tobytes().hex() for x in (a, b))
+        assert (r.near_edited, r.near_next) == (phrases.likeness(a, b), phrases.likeness(a, c))
+    assert phrases.fingerprint_documents(odd).count() == odd.count() and phrases.fingerprint_documents(empty).count() == 0
+
+
+def test_equal_substrings_share_names():
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefg ") for _ in range(4000))
+    a, b, c = phrases.signatures([text, "xyzzy" * 7 + text, "".join(rng.choice("abcdefg ") for _ in range(4000))])
+    assert phrases.likeness(a, a) == 1.0 and phrases.likeness(a, b) > 0.85 and phrases.likeness(a, c) < 0.1
+    assert phrases.likeness(*phrases.signatures(["", ""])) == 1.0 and phrases.likeness(*phrases.signatures(["", "a"])) == 0.0
+
+
+def test_likeness_is_jaccard_of_least_names():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        x, y = (np.unique(rng.integers(0, 90, rng.integers(1, 80))).astype(np.uint32)[: phrases.KEEP] for _ in range(2))
+        least = sorted(set(x) | set(y))[: phrases.KEEP]
+        assert math.isclose(phrases.likeness(x, y), sum(v in set(x) & set(y) for v in least) / len(least))
+
+
+# --- pipeline
+
+
+def test_pipeline(spark, odd, empty):
+    import corpus_pipeline as c
+
+    assert c.run(spark, SF).count() > 0
+    for table in (odd.select(SCHEMA.replace(" long", "").replace(" string", "").split(", ")), empty):
+        now = table
+        for k, (_, stage) in enumerate(c.STAGES):
+            now = stage(spark, now, SF)
+            if k + 1 < len(c.STAGES):
+                assert now.columns == table.columns
+        assert now.count() >= 0
