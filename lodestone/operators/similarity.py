@@ -33,20 +33,23 @@ def word_simhash(texts: DataFrame, key: str, text: str) -> DataFrame:
     return sums.select(key, S.bits_to_long(F.array(*[F.col(f"v{i}") > 0 for i in range(64)])).alias("hash"))
 
 
-def banded_pairs(hashes: DataFrame, key: str, most: int = 7, bands: int = 8) -> DataFrame:
+def banded_pairs(hashes: DataFrame, key: str, most: int = 7, bands: int = 4) -> DataFrame:
     """(a, b, hamming) of rows (key, hash) with at most `most` differing bits, a < b.
 
-    64 / bands bits make a band; rows that differ in fewer bits than there are
-    bands share one, so the join is complete while most < bands.  Equal hashes
-    are joined once: the bands are those of distinct hashes.
+    64 / bands bits make a band.  Rows that differ in fewer bits than twice the
+    bands agree in some band but for one bit at most; so one side is joined by its
+    band values, the other by its values and those one bit away.  Wide bands keep
+    the candidates few.  Equal hashes are joined once: the bands are those of
+    distinct hashes.
     """
-    if most >= bands:
-        raise ValueError("the bands are complete for fewer differing bits than bands only")
+    if most >= 2 * bands:
+        raise ValueError("the bands are complete for fewer differing bits than twice the bands only")
     width = 64 // bands
     distinct = hashes.select("hash").distinct()
     cut = F.array(*[F.shiftrightunsigned("hash", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(bands)])
     banded = distinct.select("hash", F.posexplode(cut).alias("band", "value"))
-    right = banded.withColumnRenamed("hash", "other")
+    flips = F.explode(F.lit([0, *(1 << i for i in range(width))]))
+    right = banded.select(F.col("hash").alias("other"), "band", "value", flips.alias("flip")).select("other", "band", F.col("value").bitwiseXOR(F.col("flip").cast("bigint")).alias("value"))
     near = banded.join(right, ["band", "value"]).where(F.col("hash") < F.col("other"))
     near = near.withColumn("hamming", S.hamming(F.col("hash"), F.col("other"))).where(F.col("hamming") <= most)
     near = near.select("hash", "other", "hamming").distinct()
