@@ -232,7 +232,7 @@ class Pieces:
                 cut.append(self.cut(text) if text else [])
                 size += len(text or "")
                 done += 1
-            new = {s for own in cut for s in own}.difference(self.known)
+            new = set(chain.from_iterable(cut)).difference(self.known)
             for s in new.intersection(self.older):
                 self.known[s] = self.older[s]
             self.learn(list(new.difference(self.older)))
@@ -246,10 +246,11 @@ class Pieces:
         return next(self.encode_many([text]))
 
     def decode(self, ids: list[int]) -> str:
-        raw = self.raw
-        if len(ids) and not (min(ids) >= 0 and max(ids) < len(raw)):
-            ids = [i for i in ids if 0 <= i < len(raw)]
-        text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
+        return self.text_of([i for i in ids if 0 <= i < len(self.raw)])
+
+    def text_of(self, ids: list[int]) -> str:
+        """What ids of the model decode to."""
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -295,7 +296,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL)
 
     def both(own: Pieces, texts: list) -> Iterator[tuple]:
         for text, ids in zip(texts, own.encode_many(texts)):
-            yield len(ids), digest(numbers(ids)), digest(raw(text)), digest(raw(own.decode(ids)))
+            yield len(ids), digest(numbers(ids)), digest(raw(text)), digest(raw(own.text_of(ids)))
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _over(docs, Pieces.load(model_file), "doc_id long, n_ids long, ids_sha256 string, text_sha256 string, decoded_sha256 string", both)
