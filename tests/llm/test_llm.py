@@ -363,6 +363,44 @@ def test_copies(spark):
     assert media.find_copies(none, lambda i: i % 100 == 0).count() == 0
 
 
+def all_pairs(images):
+    """(q_id, id) -> consensus of all pictures with those of ids divisible by 100, without any index."""
+    f = {i: media.describe(media.decode(bytes(data))) for i, data in images}
+    at = {i: np.stack([x[c] for c in ("x", "y", "scale", "angle")], 1).astype(float) for i, x in f.items()}
+    d = {i: np.stack([x["d0"], x["d1"]], 1) for i, x in f.items()}
+    out = {}
+    for q in (i for i in f if i % 100 == 0):
+        for o in f:
+            away = np.bitwise_count((d[q][:, None] ^ d[o][None]).view(np.uint64)).sum(2)
+            i, j = np.nonzero((away <= media.NEAR) & (away == away.min(0)) & (away == away.min(1, keepdims=True)))
+            if o != q and len(i) and (n := media.consensus(at[q][i], at[o][j])) >= media.MIN_INLIERS:
+                out[q, o] = n
+    return out
+
+
+def test_copies_equal_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(12):
+        a = media.resize(rng.normal(0, 1, (8, 8)), 48, 48)
+        a = (a - a.min()) / np.ptp(a) * 255
+        rows += [(100 * k + n, bytearray(media.encode_pgm(a + rng.normal(0, 3 * n, a.shape)))) for n in range(3)]
+    want = all_pairs(rows)
+    assert len(want) >= 20
+    images = spark.createDataFrame(rows, "id long, image binary")
+    assert {(r.q_id, r.id): r.n for r in media.search(images, lambda i: i % 100 == 0)[2].collect()} == want
+
+
+def test_small_crop_of_a_rich_picture(spark):
+    rng = np.random.default_rng(9)
+    a = media.resize(rng.normal(0, 1, (40, 40)), 240, 240)
+    a = (a - a.min()) / np.ptp(a) * 255
+    assert len(media.describe(a)) > 200
+    rows = [(0, bytearray(media.encode_pgm(a))), (1, bytearray(media.encode_pgm(a[150:190, 20:60])))]
+    (got,) = media.find_copies(spark.createDataFrame(rows, "id long, image binary"), lambda i: i % 100 == 0).where("id = 0").collect()
+    assert got.match_id == 1
+
+
 def test_png():
     raw = np.random.default_rng(1).integers(0, 256, (5, 7, 3), dtype=np.uint8)
     chunk = lambda k, b: len(b).to_bytes(4, "big") + k + b + zlib.crc32(k + b).to_bytes(4, "big")
