@@ -391,6 +391,17 @@ def test_copies_equal_all_pairs(spark):
     assert {(r.q_id, r.id): r.n for r in media.search(images, lambda i: i % 100 == 0)[2].collect()} == want
 
 
+def test_every_copy_is_linked(spark):
+    rng = np.random.default_rng(10)
+    a, b = picture(rng), picture(rng)
+    edits = [a, a[4:90, 6:92], np.rot90(a), np.clip(a * 0.8 + 30, 0, 255), b]
+    rows = [(i, bytearray(media.encode_pgm(e))) for i, e in enumerate(edits)] + [(5, bytearray(media.encode_pgm(edits[1])))]
+    got = media.copies_and_links(spark.createDataFrame(rows, "id long, image binary"), lambda i: i % 100 == 0).collect()
+    assert sorted((r.id, r.match_id) for r in got if r.kind == "link") == [(0, 1), (0, 2), (0, 3)]
+    of = {r.id: r for r in got if r.kind == "image"}
+    assert len(of) == len(rows) and of[0].n_links == 3 and of[0].match_id in (1, 2, 3) and of[5].class_id == 1 and of[1].n_links == 0
+
+
 def test_small_crop_of_a_rich_picture(spark):
     rng = np.random.default_rng(9)
     a = media.resize(rng.normal(0, 1, (40, 40)), 240, 240)
