@@ -3,8 +3,8 @@
 Only DataFrame functions are used.  Base spans come from three patterns.  Other
 spans are runs of key-like characters that look random:
 
-* the encoding is inferred from the characters (hexadecimal, base32, base36,
-  base64), which gives the alphabet;
+* the encoding is inferred from the characters (hexadecimal, letters of one case,
+  base32, base36, base64), which gives the alphabet;
 * three tests ask whether the run could be uniform over that alphabet: chi-squared
   uniformity of the letters, the number of runs above and below the middle of the
   alphabet, and the serial correlation of neighbours; Fisher's rule combines them,
@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import LOWER, materialise
 
 # The patterns of the contract.  A longer minimum stands for the
 # length filter where a match is a whole run of its class.
@@ -34,7 +34,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Runs of key-like characters; possessive, and not begun inside a run.
-LONG = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+"
+LONG = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
 PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, LONG)))
 MIN_VALUE = 6
@@ -44,7 +44,7 @@ LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6
 #: Shares of small letters, capitals, digits and signs in ordinary long tokens.
 SMALL, CAPITAL, DIGIT, SIGN = 0.90, 0.05, 0.04, 0.01
 #: Alphabets in the order that gives a letter its number.
-ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+ALPHABETS = {"hex": "0123456789abcdef", "letters": LOWER, "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 LEAST, MOST = -50, 400
 
 
@@ -60,13 +60,14 @@ def evidence(run: Column, alpha: float) -> Column:
     """
     small = F.translate(run, "-_", "+/")
     name = (
-        F.when(run.rlike("^[0-9]+$") | ~run.rlike("[0-9]|[a-z][A-Z]"), F.lit(None))
+        F.when(run.rlike("^[0-9]+$") | ~run.rlike("[0-9]|[a-z][A-Z]|^[a-z]+$|^[A-Z]+$"), F.lit(None))
         .when(run.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
+        .when(run.rlike("^([a-z]+|[A-Z]+)$"), "letters")
         .when(run.rlike("^[A-Z2-7]+$"), "base32")
         .when(run.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36")
         .otherwise("base64")
     )
-    text = F.when(name.isin("hex", "base36"), F.lower(small)).otherwise(small)
+    text = F.when(name.isin("hex", "letters", "base36"), F.lower(small)).otherwise(small)
     alphabet = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])[name]
     numbers = F.transform(F.split(text, ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
     n, k = F.length(run).cast("double"), F.length(alphabet).cast("double")
@@ -90,7 +91,8 @@ def evidence(run: Column, alpha: float) -> Column:
     share = [SMALL * f / 100 for f in LETTERS] + [CAPITAL * f / 100 for f in LETTERS] + [DIGIT / 10] * 10 + [SIGN / 2] * 2
     order = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
     logs = F.array(*[F.lit(math.log(f)) for f in share])
-    e = -F.aggregate(F.split(small, ""), F.lit(0.0), lambda t, c: t + F.get(logs, F.instr(F.lit(order), c) - 1)) - n * F.log(k)
+    # Words in capitals are ordinary too: the case of a run of one case says nothing.
+    e = -F.aggregate(F.split(F.when(name == "letters", text).otherwise(small), ""), F.lit(0.0), lambda t, c: t + F.get(logs, F.instr(F.lit(order), c) - 1)) - n * F.log(k)
     bound = F.struct(text.alias("text"), numbers.alias("x"), n.alias("n"), k.alias("k"), e.alias("e"))
     return F.when(name.isNotNull(), F.get(F.transform(F.array(bound), score), F.lit(0)))
 

@@ -149,6 +149,19 @@ def test_battery_tells_random_from_text(spark):
     assert all((e[v] or 0) > 10 for v in good) and all(e[v] is None for v in bad)
 
 
+def test_secrets_after_equals_and_in_one_case(spark):
+    rng = np.random.default_rng(12)
+    mixed = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 40))
+    small, large = ("".join(rng.choice(list(x), 40)) for x in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    words = "thisisanordinarysentencewithoutanyblankswrittenbysomeone"
+    texts = [f"AWS_SECRET_ACCESS_KEY={mixed} end", f"sig={mixed}&x", f"see {small} there", f"see {large} there", f"see {words} and {words.upper()} or={words}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.spans(df).collect()}
+    assert got == {0: ["random"], 1: ["random"], 2: ["random"], 3: ["random"], 4: []}
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean == {0: f"AWS_SECRET_ACCESS_KEY={secrets.MASK} end", 1: f"sig={secrets.MASK}&x", 2: f"see {secrets.MASK} there", 3: f"see {secrets.MASK} there", 4: texts[4]}
+
+
 def test_secrets_empty(empty):
     assert secrets.spans(empty).count() == 0 and secrets.redact(empty).count() == 0
 
