@@ -78,6 +78,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PE
     rows = rows.withColumn("shard", F.pmod(own, F.lit(shards)).cast("int"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(key[0]) << 32  # the key is a 32-bit number, which a shift by 32 would leave at 0
         pdf = pdf.sort_values(["doc_id", "cluster"], kind="stable").reset_index(drop=True)
         tokens = pdf["tokens"].tolist()
         sources = [str(s) if s is not None else "" for s in pdf["source"]]
@@ -89,11 +90,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PE
         for i, (doc_id, source, t) in enumerate(zip(pdf["doc_id"].astype("Int64"), pdf["source"], tokens)):
             doc_id = None if doc_id is pd.NA else int(doc_id)
             for piece in range(t // capacity):
-                out.append((doc_id, source, piece, piece * capacity, capacity, (key[0] << 32) + free, 0))
+                out.append((doc_id, source, piece, piece * capacity, capacity, shard + free, 0))
                 free += 1
             if i in packed:
                 b, place = packed[i]
-                out.append((doc_id, source, t // capacity, t - t % capacity, t % capacity, (key[0] << 32) + b, place))
+                out.append((doc_id, source, t // capacity, t - t % capacity, t % capacity, shard + b, place))
             elif not t:
                 out.append((doc_id, source, 0, 0, 0, None, None))
         got = pd.DataFrame(out, columns=["doc_id", "source", "piece", "first_token", "n_tokens", "bin", "place"])

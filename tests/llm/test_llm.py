@@ -107,6 +107,29 @@ def test_packing(spark, docs, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_over_shards(docs, rows):
+    capacity, most = 256, 2
+    got = packing.pack(docs, capacity, most, shard=48).toPandas()
+    placed = got[got.n_tokens > 0].copy()
+    placed["shard"] = placed.bin.astype("int64") // (1 << 32)
+    assert placed.shard.nunique() >= 4
+    text = dict(rows)
+    placed["copy"] = placed.doc_id.map(lambda i: text[i])
+    assert placed.groupby("bin").n_tokens.sum().max() <= capacity
+    assert not placed.duplicated(["bin", "place"]).any()
+    for _, b in placed.sort_values("place").groupby("bin"):
+        assert (b.place.to_numpy()[1:] >= (b.place + b.n_tokens).to_numpy()[:-1]).all()
+    rests = placed[placed.n_tokens < capacity]
+    assert rests.groupby(["bin", "source"], dropna=False).doc_id.count().max() <= most
+    assert not rests.duplicated(["bin", "copy"]).any()
+    # Every shard packed again by brute force fills bins alike: the same pieces together.
+    clusters = {r.doc_id: r.c for r in docs.select("doc_id", F.xxhash64("text").alias("c")).collect()}
+    for _, own in rests.groupby("shard"):
+        own = own.sort_values("doc_id")
+        want = brute_pack([(n, f"{s is None}{s or ''}", clusters[i]) for i, s, n in zip(own.doc_id, own.source, own.n_tokens)], capacity, most)
+        assert [(b - min(own.bin), p) for b, p in zip(own.bin, own.place)] == want
+
+
 # --- secrets
 
 
