@@ -49,17 +49,26 @@ LEAST, MOST = -50, 400
 
 
 def upper_normal(z: Column) -> Column:
-    """Upper tail of the normal distribution, by a logistic fit good to 2e-4."""
-    return 1 / (1 + F.exp(F.least(1.5976 * z + 0.070565992 * z * z * z, F.lit(700.0))))
-
-
-def evidence(run: Column, alpha: float) -> Column:
-    """Log of the e-value of a run that may be random, null for one that is not.
-
-    `run` is used several times: bind it to a column or a lambda variable.
-    """
-    small = F.translate(run, "-_", "+/")
-    name = (
+    """Upper tail of the normal distribution, to 0.3 % at any z: a rational fit up to 4, the asymptotic series beyond."""
+    a = F.least(F.abs(z), F.lit(37.0))
+    density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
+    t = 1 / (1 + 0.2316419 * a)
+    # The coefficients of the classical fit.
+    near = density * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    r = 1 / F.greatest(a * a, F.lit(1.0))
+    far = density / F.greatest(a, F.lit(1.0)) * (1 - r * (1 - r * (3 - r * (15 - r * 105))))
+    tail = F.when(a <= 4, near).otherwise(far)
+    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+def _bound(value: Column, body) -> Column:
+    """`body` of a value that is computed once: inside a lambda function nothing else keeps an expression from being evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def encoding(run: Column) -> Column:
+    """The name of the alphabet that a run's characters point to, null for digits only and for words in ordinary case."""
+    return (
         F.when(run.rlike("^[0-9]+$") | ~run.rlike("[0-9]|[a-z][A-Z]|^[a-z]+$|^[A-Z]+$"), F.lit(None))
         .when(run.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
         .when(run.rlike("^([a-z]+|[A-Z]+)$"), "letters")
@@ -67,34 +76,63 @@ def evidence(run: Column, alpha: float) -> Column:
         .when(run.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36")
         .otherwise("base64")
     )
-    text = F.when(name.isin("hex", "letters", "base36"), F.lower(small)).otherwise(small)
-    alphabet = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])[name]
-    numbers = F.transform(F.split(text, ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
-    n, k = F.length(run).cast("double"), F.length(alphabet).cast("double")
-
-    def score(s: Column) -> Column:
-        text, x, n, k = s["text"], s["x"], s["n"], s["k"]
-        pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda t, v: t + f(v))
-        squares = total(F.split(text, ""), lambda c: (n - F.length(F.replace(text, c, F.lit("")))).cast("double"))
-        df = k - 1
-        uniform = (F.pow((k / n * squares - n) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        changes = total(pairs, lambda p: F.when((p["a"] >= k / 2) != (p["b"] >= k / 2), 1.0).otherwise(0.0))
-        runs = (changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-        mean = (k - 1) / 2
-        serial = total(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean)) / ((k * k - 1) / 12) / F.sqrt(n - 1)
-        p = [upper_normal(uniform), 2 * upper_normal(F.abs(runs)), 2 * upper_normal(F.abs(serial))]
-        half = -sum(F.log(F.greatest(F.least(x, F.lit(1.0)), F.lit(1e-300))) for x in p)
-        fisher = F.exp(-half) * (1 + half + half * half / 2)
-        return F.when(fisher >= alpha, s["e"])
-
-    share = [SMALL * f / 100 for f in LETTERS] + [CAPITAL * f / 100 for f in LETTERS] + [DIGIT / 10] * 10 + [SIGN / 2] * 2
+
+
+def battery(s: Column) -> Column:
+    """Struct of the three statistics (uniform, runs, serial: each about standard normal for a random run) and Fisher's combined p-value.
+
+    `s` holds text, alphabet, n and k (the lengths of both), and x, the letters' numbers.  Every pass is linear in the run.
+    """
+    text, alphabet, x, n, k = s["text"], s["alphabet"], s["x"], s["n"], s["k"]
+    pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda t, v: t + f(v))
+    # A pass over the run for each letter of the alphabet, 64 at most: the squares of the counts.
+    squares = total(F.split(alphabet, ""), lambda c: F.pow((n - F.length(F.replace(text, c, F.lit("")))).cast("double"), F.lit(2.0)))
+    df = k - 1
+    uniform = (F.pow((k / n * squares - n) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    changes = total(pairs, lambda p: F.when((p["a"] >= k / 2) != (p["b"] >= k / 2), 1.0).otherwise(0.0))
+    runs = (changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+    mean = (k - 1) / 2
+    serial = total(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean)) / ((k * k - 1) / 12) / F.sqrt(n - 1)
+
+    def fisher(z: Column) -> Column:
+        p = [upper_normal(z["uniform"]), 2 * upper_normal(F.abs(z["runs"])), 2 * upper_normal(F.abs(z["serial"]))]
+        half = -sum(F.log(F.greatest(F.least(v, F.lit(1.0)), F.lit(1e-300))) for v in p)
+        joined = _bound(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+        return F.struct(z["uniform"].alias("uniform"), z["runs"].alias("runs"), z["serial"].alias("serial"), joined.alias("p"))
+
+    return _bound(F.struct(uniform.alias("uniform"), runs.alias("runs"), serial.alias("serial")), fisher)
+
+
+def tested(run: Column) -> Column:
+    """Struct of name (the encoding), uniform, runs, serial, p, and e: the log of the e-value; null for a run without an encoding."""
+    logs = [SMALL * f / 100 for f in LETTERS] + [CAPITAL * f / 100 for f in LETTERS] + [DIGIT / 10] * 10 + [SIGN / 2] * 2
     order = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
-    logs = F.array(*[F.lit(math.log(f)) for f in share])
-    # Words in capitals are ordinary too: the case of a run of one case says nothing.
-    e = -F.aggregate(F.split(F.when(name == "letters", text).otherwise(small), ""), F.lit(0.0), lambda t, c: t + F.get(logs, F.instr(F.lit(order), c) - 1)) - n * F.log(k)
-    bound = F.struct(text.alias("text"), numbers.alias("x"), n.alias("n"), k.alias("k"), e.alias("e"))
-    return F.when(name.isNotNull(), F.get(F.transform(F.array(bound), score), F.lit(0)))
+    share = F.create_map(*[F.lit(v) for c, f in zip(order, logs) for v in (c, math.log(f))])
+    alphabets = F.create_map(*[F.lit(v) for kv in ALPHABETS.items() for v in kv])
+
+    def named(s: Column) -> Column:
+        folded = F.when(s["name"].isin("hex", "letters", "base36"), F.lower(s["plain"])).otherwise(s["plain"])
+        # Words in capitals are ordinary too: the case of a run of one case says nothing.
+        judged = F.when(s["name"] == "letters", F.lower(s["plain"])).otherwise(s["plain"])
+        return F.struct(s["name"].alias("name"), folded.alias("text"), judged.alias("judged"), alphabets[s["name"]].alias("alphabet"))
+
+    def numbered(s: Column) -> Column:
+        x = F.transform(F.split(s["text"], ""), lambda c: F.instr(s["alphabet"], c).cast("double") - 1)
+        n, k = F.length(s["text"]).cast("double"), F.length(s["alphabet"]).cast("double")
+        return F.struct(s["name"].alias("name"), s["text"].alias("text"), s["judged"].alias("judged"), s["alphabet"].alias("alphabet"), x.alias("x"), n.alias("n"), k.alias("k"))
+
+    def scored(s: Column) -> Column:
+        plain = F.aggregate(F.split(s["judged"], ""), F.lit(0.0), lambda t, c: t + share[c])
+        return F.struct(s["name"].alias("name"), battery(s).alias("z"), (-plain - s["n"] * F.log(s["k"])).alias("e"))
+
+    first = F.struct(encoding(run).alias("name"), F.translate(run, "-_", "+/").alias("plain"))
+    return _bound(first, lambda s: F.when(s["name"].isNotNull(), _bound(_bound(_bound(s, named), numbered), scored)))
+
+
+def evidence(run: Column, alpha: float) -> Column:
+    """Log of the e-value of a run that may be random, null for one that is not."""
+    return _bound(tested(run), lambda s: F.when(s["z"]["p"] >= alpha, s["e"]))
 
 
 def hits(kind: str, text: Column) -> Column:

@@ -172,6 +172,71 @@ def test_battery_tells_random_from_text(spark):
     assert all((e[v] or 0) > 10 for v in good) and all(e[v] is None for v in bad)
 
 
+def brute_battery(run):
+    """(encoding, p-value by Fisher's rule, log e-value) of a run, from the definitions."""
+    if re.fullmatch("[0-9]+", run) or not re.search("[0-9]|[a-z][A-Z]|^[a-z]+$|^[A-Z]+$", run):
+        return None
+    kinds = [("hex", "[0-9a-f]+|[0-9A-F]+"), ("letters", "[a-z]+|[A-Z]+"), ("base32", "[A-Z2-7]+"), ("base36", "[0-9a-z]+|[0-9A-Z]+"), ("base64", ".*")]
+    name = next(k for k, p in kinds if re.fullmatch(p, run))
+    plain = run.replace("-", "+").replace("_", "/")
+    text = plain.lower() if name in ("hex", "letters", "base36") else plain
+    alphabet = secrets.ALPHABETS[name]
+    x, n, k = [alphabet.index(c) for c in text], len(text), len(alphabet)
+    chi = sum((v - n / k) ** 2 / (n / k) for v in np.bincount(x, minlength=k))
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    d = 2 / (9 * (k - 1))
+    p1 = tail(((chi / (k - 1)) ** (1 / 3) - (1 - d)) / math.sqrt(d))
+    changes = sum((a >= k / 2) != (b >= k / 2) for a, b in zip(x, x[1:]))
+    p2 = 2 * tail(abs(changes - (n - 1) / 2) / math.sqrt((n - 1) / 4))
+    m = (k - 1) / 2
+    p3 = 2 * tail(abs(sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / ((k * k - 1) / 12) / math.sqrt(n - 1)))
+    h = -sum(math.log(max(min(p, 1.0), 1e-300)) for p in (p1, p2, p3))
+    judged = plain.lower() if name == "letters" else plain
+    share = lambda c: secrets.SMALL * secrets.LETTERS[ord(c) - 97] / 100 if c.islower() else secrets.CAPITAL * secrets.LETTERS[ord(c) - 65] / 100 if c.isupper() else secrets.DIGIT / 10 if c.isdigit() else secrets.SIGN / 2
+    return name, math.exp(-h) * (1 + h + h * h / 2), -sum(math.log(share(c)) for c in judged) - n * math.log(k)
+
+
+def test_battery_is_the_definition(spark):
+    rng = random.Random(7)
+    runs = [base64.b64encode(rng.randbytes(rng.randint(15, 60))).decode().rstrip("=") for _ in range(40)] + [rng.randbytes(rng.randint(10, 40)).hex() for _ in range(20)]
+    runs += ["".join(rng.choices("abcdefgh01", k=rng.randint(20, 60))) for _ in range(20)] + ["".join(rng.choices(string.ascii_lowercase, k=40)) for _ in range(10)] + ["".join(rng.choices(string.ascii_uppercase + "234567", k=30)) for _ in range(10)]
+    runs += ["a" * 30, "aB" * 20, "0" * 25, "camelCaseWordsInALongIdentifier", "some-slug-1-with_words", "Ab1" * 2000]
+    got = {r.v: r.t for r in spark.createDataFrame([(v,) for v in runs], "v string").select("v", secrets.tested(F.col("v")).alias("t")).collect()}
+    for v in runs:
+        want = brute_battery(v)
+        assert (got[v] is None) == (want is None)
+        if want:
+            assert got[v].name == want[0] and math.isclose(got[v].z.p, want[1], rel_tol=0.02, abs_tol=1e-12) and math.isclose(got[v].e, want[2], rel_tol=1e-9)
+    z = [-6.0, -2.5, -0.1, 0.0, 0.7, 2.0, 3.0, 3.99, 4.01, 5.0, 7.0, 12.0]
+    tails = [r[0] for r in spark.createDataFrame([(v,) for v in z], "z double").select(secrets.upper_normal(F.col("z"))).collect()]
+    assert all(math.isclose(a, math.erfc(v / math.sqrt(2)) / 2, rel_tol=3e-3) for a, v in zip(tails, z))
+
+
+def test_random_spans_by_brute_force(spark, docs):
+    """Which runs the false-discovery rule keeps, from the definition of the e-Benjamini-Hochberg rule over all runs of the table."""
+    rng = random.Random(11)
+    made = [(5000 + i, f"log {base64.b64encode(rng.randbytes(30)).decode().rstrip('=')} and AVeryOrdinaryIdentifier{i}Name") for i in range(20)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    tests = []
+    for r in df.collect():
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", r.text or ""):
+            b = brute_battery(m[0])
+            tests.append((r.doc_id, m.start(), m.end(), min(max(math.floor(b[2]), secrets.LEAST), secrets.MOST) if b and b[1] >= 1e-3 else None))
+    values = sorted((e for *_, e in tests if e is not None), reverse=True)
+    least = min((e for i, e in enumerate(values) if e >= math.log(len(tests) / (0.01 * sum(v >= e for v in values)))), default=math.inf)
+    base = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in base_spans(r.text).split(",") if x] for r in df.collect()}
+    want = {(i, a, b) for i, a, b, e in tests if e is not None and e >= least and not any(a < d and c < b for c, d in base[i])}
+    got = {(r.doc_id, x.start, x.end) for r in secrets.spans(df).collect() for x in r.spans if x.kind == "random"}
+    assert got == want and sum(i >= 5000 for i, *_ in got) >= 18
+
+
+def test_long_run_of_key_characters(spark):
+    key = base64.b64encode(random.Random(3).randbytes(225_000)).decode()
+    df = spark.createDataFrame([(1, f"see {key} end"), (2, "ab/" * 100_000), (3, "f" * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in secrets.spans(df).collect()}
+    assert got == {1: [("random", 4, 4 + len(key))], 2: [], 3: [("hex", 0, 300_000)]}
+
+
 def test_secrets_after_equals_and_in_one_case(spark):
     rng = np.random.default_rng(12)
     mixed = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 40))
