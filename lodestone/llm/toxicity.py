@@ -1,16 +1,19 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and beginnings of words (`STEMS` code points).  A count over every
-training document finds the terms that go with the label; those that a likelihood-
-ratio test keeps are the vocabulary, so that the cosine looks at what tells the classes
-apart and not at names and function words.  The labelled examples (a bounded
-sample of rows, `max_examples`) make an inverted index in blocks of documents:
-each block keeps the largest weight of each term, so that the sum of largest
-weights bounds every cosine in it.  Blocks are searched from the highest bound
-down until the k-th best cosine reaches the next bound: the neighbours are exact.
-Neighbours vote by their cosine.  A text that has no term of the vocabulary, or
-that is far from all examples, leans on the rate of the label among examples
-without terms; leave-one-out scores of the examples calibrate the vote.
+Terms are words and beginnings of words (`STEMS` code points).  They are counted
+over every labelled training document, and those that go with the label by a
+likelihood-ratio test are the vocabulary, however many pass.  The cosine over all
+terms was measured and is no substitute: most of a text is function words and
+names, so its nearest examples share its language and not its tone (figures in the
+README).  The labelled examples (a bounded sample of rows, `max_examples`) make an
+inverted index in blocks of documents: each block keeps the largest weight of each
+term, so that the sum of largest weights bounds every cosine in it.  Blocks are
+searched from the highest bound down until the k-th best cosine reaches the next
+bound: the neighbours are exact.  Neighbours vote by one over their distance.  A
+text that has no term of the vocabulary, or that is far from all examples, leans
+on the rate of the label among examples without terms.  Every example is scored
+without itself, on the executors, and a logistic fit of those votes to the labels
+calibrates the score.
 
 Defined cases: a null or empty text has no term and gets the score of such
 texts; several labels of a document count as toxic if one does; labels without a
@@ -55,10 +58,12 @@ def terms(text: str | None) -> dict[str, int]:
     return out
 
 
-def select_terms(train: DataFrame, n: int, n_toxic: int, size: int, least: int = 4, g2: float = 24.0, purity: float = 0.6) -> pd.DataFrame:
-    """(term, df): at most `size` terms whose documents go with the label, by a likelihood-ratio test, from all training rows.
+def select_terms(train: DataFrame, n: int, n_toxic: int, g2: float = 16.0, purity: float = 0.6) -> pd.DataFrame:
+    """(term, df): the terms whose documents go with the label, by a likelihood-ratio test over all training rows.
 
-    At least `purity` of the documents with the term are toxic.
+    At least `purity` of the documents with the term are toxic.  The test is at
+    least as strict as `g2` and stricter the more terms there are, so that about
+    as many pass by luck at any size.
     """
 
     def count(batches):
@@ -76,8 +81,9 @@ def select_terms(train: DataFrame, n: int, n_toxic: int, size: int, least: int =
     cell = lambda o, row, column: F.when(o > 0, o * F.log(o * n / (row * column))).otherwise(0.0)
     stat = 2 * (cell(F.col("bad"), with_term, F.lit(n_toxic)) + cell(F.col("clean"), with_term, F.lit(n_clean)) + cell(n_toxic - F.col("bad"), n - with_term, F.lit(n_toxic)) + cell(n_clean - F.col("clean"), n - with_term, F.lit(n_clean)))
     more = (F.col("bad") >= purity * with_term) & (F.col("bad") * n_clean > F.col("clean") * n_toxic)
-    best = df.withColumn("g2", stat).where((F.col("bad") >= least) & more & (F.col("g2") >= g2)).orderBy(F.desc("g2"), "term").limit(size)
-    return best.select("term", (F.col("bad") + F.col("clean")).alias("df")).toPandas()
+    asked = materialise(df.where(more).select("term", with_term.alias("df"), stat.alias("g2")), "terms")
+    least = max(g2, 2 * math.log(max(asked.count(), 1) / 10))
+    return asked.where(F.col("g2") >= least).select("term", "df").orderBy("term").toPandas()
 
 
 def vector(counts: dict[str, int], places: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,19 +143,32 @@ class Model:
         self.places = {t: i for i, t in enumerate(vocabulary["term"])}
         self.idf = np.log((n + 1) / (vocabulary["df"].to_numpy(float) + 1)) + 1
         self.ids, self.toxic, self.k = examples["doc_id"].tolist(), examples["toxic"].to_numpy(float), k
-        vectors = [vector(dict(zip(t, c)), self.places, self.idf) for t, c in zip(examples["terms"], examples["counts"])]
-        self.index = BlockMaxIndex(vectors, len(self.places))
+        self.index = BlockMaxIndex([self.vector(t, c) for t, c in zip(examples["terms"], examples["counts"])], len(self.places))
         n_none = without[0] + without[1]
-        self.none = (without[1] + 0.5) / (n_none + 1) if n_none or len(vectors) else 0.5
-        # Leave one out; then a logistic fit of a slope and an offset by Newton steps, drawn to (1, 0), kept near it, and never above the vote by its offset.
-        votes = np.array([self.vote(v, i)[0] for i, v in enumerate(vectors)])
-        x = np.stack([np.log(np.clip(votes, 1e-3, 1 - 1e-3) / np.clip(1 - votes, 1e-3, 1)), np.ones(len(votes))], 1) if len(votes) else np.zeros((0, 2))
+        self.none = (without[1] + 0.5) / (n_none + 1) if n_none or len(examples) else 0.5
         self.fit = np.array([1.0, 0.0])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-x @ self.fit))
-            ridge = np.diag([1.0, 1.0]) * (1 + 0.01 * len(x))
-            step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (self.toxic - p) - ridge @ (self.fit - [1, 0]))
-            self.fit = np.clip(self.fit + step, [0.5, -2], [2, 0])
+
+    def vector(self, own: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        return vector(dict(zip(own, counts)), self.places, self.idf)
+
+    def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
+        """A logistic fit of slope and offset of the votes to the labels, by Newton steps; one example's worth of a prior at (1, 0) keeps it finite."""
+        if not len(votes):
+            return
+        votes = np.clip(votes, 1e-3, 1 - 1e-3)
+        x = np.stack([np.log(votes / (1 - votes)), np.ones(len(votes))], 1)
+        loss = lambda f: np.logaddexp(0, x @ f).sum() - toxic @ (x @ f) + 0.5 * ((f - [1, 0]) ** 2).sum()
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ self.fit, -500, 500)))
+            step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.eye(2), x.T @ (toxic - p) - (self.fit - [1, 0]))
+            size = 1.0
+            while size > 1e-6 and loss(self.fit + size * step) > loss(self.fit):
+                size /= 2
+            self.fit = self.fit + size * step
+            if np.abs(size * step).max() < 1e-9:
+                break
+        if self.fit[0] <= 0:  # votes that say nothing of the labels keep their order
+            self.fit = np.array([1.0, 0.0])
 
     def vote(self, v: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """The share of toxic weight among the neighbours, and who they are; `PRIOR` votes stand for texts without terms."""
@@ -167,32 +186,55 @@ class Model:
         return float(1 / (1 + math.exp(-(self.fit[0] * math.log(vote / (1 - vote)) + self.fit[1])))), [self.ids[i] for i in who], cosine.tolist()
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[DataFrame, int, int]:
-    """(doc_id, text, toxic) of at most `max_examples` labelled documents outside the held-out fold, and their counts."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+    """(doc_id, text, toxic) of every labelled document outside the held-out fold, and their counts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "labelled")  # max_examples rows of two numbers
+    rows = materialise(docs.select("doc_id", "text").join(known, "doc_id"), "labelled")
     counts = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     return rows, int(counts[0]), int(counts[1] or 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 40_000, size: int = 4_000, k: int = 31) -> Model:
-    """A model from `docs` (doc_id, text) and `labels` (doc_id, toxic), by the rows outside the held-out fold."""
-    small_batches(docs.sparkSession)
-    train, n, n_toxic = training_rows(docs, labels, max_examples)
-    vocabulary = select_terms(train, n, n_toxic, size)
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 40_000, k: int = 31) -> Model:
+    """A model from `docs` (doc_id, text) and `labels` (doc_id, toxic), by the rows outside the held-out fold.
+
+    Terms and their document frequencies come from all of them, neighbours from
+    `max_examples` of them, chosen by a hash of the id.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    train, n, n_toxic = training_rows(docs, labels)
+    vocabulary = select_terms(train, n, n_toxic)
     places = set(vocabulary["term"])
+    sample = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples) if n > max_examples else None
+    chosen = train if sample is None else train.join(F.broadcast(sample), "doc_id")  # max_examples numbers
 
     def keep(batches):
         for pdf in batches:
             own = [{t: c for t, c in terms(x).items() if t in places} for x in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "terms": [list(x) for x in own], "counts": [list(x.values()) for x in own]})
 
-    found = train.mapInPandas(keep, "doc_id long, toxic int, terms array<string>, counts array<long>").orderBy("doc_id").toPandas()
-    empty = found["terms"].map(len) == 0
-    bad = int(found.loc[empty, "toxic"].sum())
-    return Model(vocabulary, n, found[~empty].reset_index(drop=True), (int(empty.sum()) - bad, bad), k)
+    found = materialise(chosen.mapInPandas(keep, "doc_id long, toxic int, terms array<string>, counts array<long>"), "examples")
+    empty = {int(r["toxic"]): int(r["n"]) for r in found.where(F.size("terms") == 0).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    examples = found.where(F.size("terms") > 0).orderBy("doc_id", "toxic").toPandas()
+    model = Model(vocabulary, n, examples, (empty.get(0, 0), empty.get(1, 0)), k)
+    if len(examples):
+        model.calibrate(*votes(spark, model, examples))
+    return model
+
+
+def votes(spark: SparkSession, model: Model, examples: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The vote for every example without itself, and its label."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    rows = spark.createDataFrame(examples[["terms", "counts", "toxic"]].assign(at=range(len(examples))), "terms array<string>, counts array<long>, toxic int, at int")
+
+    def run(batches):
+        own = cloudpickle.loads(sent.value)
+        for pdf in batches:
+            yield pd.DataFrame({"vote": [own.vote(own.vector(t, c), i)[0] for t, c, i in zip(pdf["terms"], pdf["counts"], pdf["at"])], "toxic": pdf["toxic"].astype(float)})
+
+    got = rows.repartition(max(1, min(64, len(examples) // 256))).mapInPandas(run, "vote double, toxic double").toPandas()
+    return got["vote"].to_numpy(), got["toxic"].to_numpy()
 
 
 def scorer(spark: SparkSession, model: Model) -> Column:
@@ -221,4 +263,4 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     run = scorer(spark, fit(docs, table(spark, sf_dir, "labels")))
     out = docs.select("doc_id", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), run(F.col("text")).alias("s"))
-    return out.select("doc_id", "held_out", F.col("s.score").alias("score"), (F.col("s.score") >= CUT).cast("int").alias("predicted"), F.slice("s.neighbours", 1, 3).alias("evidence"), F.slice("s.cosines", 1, 3).alias("cosines"))
+    return out.select("doc_id", "held_out", F.col("s.score").alias("score"), (F.col("s.score") >= CUT).cast("int").alias("predicted"), F.col("s.neighbours").alias("evidence"), F.col("s.cosines").alias("cosines"))
