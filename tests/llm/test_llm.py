@@ -374,6 +374,70 @@ def test_toxicity(spark, odd, empty):
     assert {r.s.score for r in odd.select(run(F.col("text")).alias("s")).collect()} == {0.5}
 
 
+def test_toxicity_by_brute_force(spark):
+    """Vocabulary, neighbours, vote and calibration from their definitions, over all rows of a table."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    toxic = {}
+    for r in labels.collect():
+        if r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            toxic[r.doc_id] = max(toxic.get(r.doc_id, 0), r.toxic)
+    own = {i: toxicity.terms(text[i]) for i in toxic}
+    n, n_bad = len(toxic), sum(toxic.values())
+    bad, clean = Counter(t for i in own if toxic[i] for t in own[i]), Counter(t for i in own if not toxic[i] for t in own[i])
+
+    def ratio(b, c):
+        observed = np.array([[b, c], [n_bad - b, n - n_bad - c]], float)
+        expected = observed.sum(1, keepdims=True) * observed.sum(0) / n
+        return 2 * sum(o * math.log(o / e) for o, e in zip(observed.ravel(), expected.ravel()) if o)
+
+    asked = {t: (b, clean[t]) for t, b in bad.items() if b >= 0.6 * (b + clean[t]) and b * (n - n_bad) > clean[t] * n_bad}
+    least = max(16.0, 2 * math.log(len(asked) / 10))
+    df = {t: b + c for t, (b, c) in asked.items() if ratio(b, c) >= least}
+    assert set(df) == set(model.places) and df
+
+    def weights(counts):
+        w = {t: (1 + math.log(c)) * (math.log((n + 1) / (df[t] + 1)) + 1) for t, c in counts.items() if t in df}
+        size = math.sqrt(sum(v * v for v in w.values()))
+        return {t: v / size for t, v in w.items()}
+
+    examples = {i: w for i in sorted(own) if (w := weights(own[i]))}
+    without = [toxic[i] for i in own if i not in examples]
+    none = (sum(without) + 0.5) / (len(without) + 1)
+
+    def vote(w, skip=None):
+        near = sorted(((-sum(v * e.get(t, 0.0) for t, v in w.items()), i) for i, e in examples.items() if i != skip), key=lambda x: (round(x[0], 12), x[1]))
+        near = [(-c, i) for c, i in near if c < 0][:31]
+        size = [c / (1.001 - min(c, 1.0)) for c, _ in near]
+        return (sum(s * toxic[i] for s, (_, i) in zip(size, near)) + 2 * none) / (sum(size) + 2), near
+
+    x = np.array([[math.log(v / (1 - v)), 1] for i, w in examples.items() for v in [min(max(vote(w, i)[0], 1e-3), 1 - 1e-3)]])
+    y = np.array([toxic[i] for i in examples], float)
+    slope = x.T @ (y - 1 / (1 + np.exp(-x @ model.fit))) - (model.fit - [1, 0])
+    assert np.abs(slope).max() < 1e-4  # the fit stands at the top of its likelihood
+    got = {r.doc_id: r for r in toxicity.op5_toxicity(spark, d).collect()}
+    for i, t in text.items():
+        w = weights(toxicity.terms(t))
+        if not w:
+            assert got[i].score == none and got[i].evidence == []
+            continue
+        v, near = vote(w)
+        v = min(max(v, 1e-3), 1 - 1e-3)
+        assert math.isclose(got[i].score, 1 / (1 + math.exp(-(model.fit[0] * math.log(v / (1 - v)) + model.fit[1]))), rel_tol=1e-6)
+        assert np.allclose(got[i].cosines, [c for c, _ in near], atol=1e-9)
+
+
+def test_toxicity_of_odd_rows(spark, docs, odd):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    scores = [(r.text, r.s.score) for r in odd.select("text", toxicity.scorer(spark, model)(F.col("text")).alias("s")).collect()]
+    blank = {round(x, 12) for t, x in scores if not (t or "").strip()}
+    assert blank == {round(float(model.none), 12)}
+    assert all(len({x for u, x in scores if u == t}) == 1 for t, _ in scores)  # repeated rows score alike
+
+
 # --- line dedup
 
 
