@@ -2,11 +2,15 @@
 
 Every line of at least `min_chars` code points has a key (the line stripped of
 white space at both ends, A-Z in lower case) and the key two 64-bit hashes.  The
-documents are dealt into batches.  A batch reduces its lines to a run with one
-row a key (documents that hold it, largest doc_id), sorted by the hashes and
-bucketed by them, so that it merge-joins the runs before it without moving them.
-The anti-join tells its new keys from the known ones.  When a level holds
-`fanout` runs they are compacted into one run of the next level.
+documents are dealt into batches.  A batch reduces its lines to one row a key
+(documents that hold it, largest doc_id) and merge-anti-joins them with the runs
+before it, newest first: a key that no run holds is fresh and enters with its own
+counts; a known key enters with the counts of the newest run that holds it added to
+its own.  These rows are the batch's own run, sorted by the hashes and bucketed by
+them, so that joins between runs move nothing.  The newest row of a key therefore
+stands for all batches, and the answer is the newest run, and of each older one
+what the merge-anti-join with the newer ones leaves.  When a level holds `fanout`
+runs they are compacted the same way into one run of the next level.
 
 Defined cases: a null or empty text is one empty line; rows that share a doc_id
 are one document and each comes out with its own text; a null doc_id is a
@@ -20,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, materialise, shared_dir
+from .common import SPACES, ascii_lower, discard, materialise, setting, shared_dir
 
 KEY = ["h1", "h2"]
 HEAVY = 4096
@@ -41,24 +45,30 @@ def reduce_batch(hashes: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """Sorted runs of line keys in levels, kept as bucketed tables in the shared folder."""
+    """Sorted runs of line keys in levels, kept as bucketed tables in the shared folder until `close`."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
-        # A union of bucketed scans must not pass for partitioned: Spark 4.1 then drops the exchange of a
-        # grouping above it, while another rule turns the bucketed scans into plain ones.
-        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+        self.spent: list[str] = []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        rows = rows.repartition(self.buckets, *KEY)
-        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        # A union of bucketed scans must not pass for partitioned: Spark 4.1 then drops the exchange
+        # above it, while another rule turns the bucketed scans into plain ones.
+        with setting(self.spark, "spark.sql.unionOutputPartitioning", "false"):
+            rows = rows.repartition(self.buckets, *KEY)
+            rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
         return name
 
-    def names(self) -> list[str]:
-        return [name for level in self.levels for name in level]
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(self.spark, f"{shared_dir(self.spark)}/{name}")
+
+    def newest_first(self) -> list[str]:
+        """The live runs: low levels are newer than high ones, and in a level the last is the newest."""
+        return [name for level in self.levels for name in reversed(level)]
 
     def add(self, hashes: DataFrame) -> DataFrame:
         """Merge-anti-join a batch with the runs, add its own run, and return that run.
@@ -66,43 +76,60 @@ class LineRuns:
         Its column `fresh` is true for keys that no earlier run holds.
         """
         own = reduce_batch(hashes)
-        fresh = F.lit(True)
-        for k, name in enumerate(self.names()):
-            known = self.spark.table(name).select(*KEY, F.lit(True).alias(f"known{k}")).hint("merge")
+        n, top = [], []
+        for k, name in enumerate(self.newest_first()):
+            known = self.spark.table(name).select(*KEY, F.col("n_docs").alias(f"n{k}"), F.col("max_doc").alias(f"top{k}")).hint("merge")
             own = own.join(known, KEY, "left")
-            fresh = fresh & F.col(f"known{k}").isNull()
-        name = self._write(own.select(*KEY, "n_docs", "max_doc", fresh.alias("fresh")))
+            n.append(F.col(f"n{k}"))
+            top.append(F.when(F.col(f"n{k}").isNotNull(), F.struct(F.col(f"top{k}").alias("doc"))))
+        none = F.lit(None)
+        before, holder = F.coalesce(*n, none.cast("long")), F.coalesce(*top, none.cast("struct<doc:long>"))
+        total = F.col("n_docs") + F.coalesce(before, F.lit(0))
+        name = self._write(own.select(*KEY, total.alias("n_docs"), F.greatest("max_doc", holder["doc"]).alias("max_doc"), before.isNull().alias("fresh")))
         self.levels[0].append(name)
         self._compact()
         return self.spark.table(name)
 
     def _compact(self) -> None:
+        """Full levels become one run of the next; a run whose batch was returned last stays readable until `close`."""
         for at in range(99):
             if at == len(self.levels) or len(self.levels[at]) < self.fanout:
                 return
             if at + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[at + 1].append(self._write(self._merged(self.levels[at]).withColumn("fresh", F.lit(True))))
+            self.levels[at + 1].append(self._write(self._newest(list(reversed(self.levels[at])))))
+            self.spent += self.levels[at]
             self.levels[at] = []
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        rows = self.spark.table(names[0])
-        for name in names[1:]:
-            rows = rows.unionByName(self.spark.table(name))
-        return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+    def _newest(self, names: list[str]) -> DataFrame:
+        """The newest row of every key in runs that are given newest first."""
+        out = self.spark.table(names[0])
+        for k, name in enumerate(names[1:], 1):
+            rows = self.spark.table(name)
+            for newer in names[:k]:
+                rows = rows.join(self.spark.table(newer).select(*KEY).hint("merge"), KEY, "left_anti")
+            out = out.unionByName(rows)
+        return out
 
     def merged(self) -> DataFrame:
         """(h1, h2, n_docs, max_doc) over every batch so far."""
-        return self._merged(self.names())
+        return self._newest(self.newest_first()).select(*KEY, "n_docs", "max_doc")
+
+    def close(self) -> None:
+        """Drop every table and its files."""
+        for name in self.spent + self.newest_first():
+            self._drop(name)
+        self.spent, self.levels = [], [[]]
 
 
-def line_drops(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4) -> DataFrame:
+def line_drops(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
     """(doc_id, row, drops): the positions of the lines that a document loses."""
     hashes = materialise(line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "lines")
     runs = LineRuns(docs.sparkSession, fanout)
     for batch in range(batches):
         runs.add(hashes.where(F.col("batch") == batch))
-    shared = materialise(runs.merged().where(F.col("n_docs") >= min_docs).select(*KEY, "n_docs", "max_doc"), "shared-lines")
+    shared = materialise(runs.merged().where(F.col("n_docs") >= min_docs), "shared-lines")
+    runs.close()
     # Each of the very common keys has a part in HEAVY of all rows, so there are HEAVY of them at most: they are broadcast.
     common = F.col("n_docs") * HEAVY >= hashes.count()
     heavy, light = F.broadcast(shared.where(common)), shared.where(~common)
@@ -111,7 +138,7 @@ def line_drops(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     return lost.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
     """`docs` with its columns, its text without the lost lines, and n_lines, n_dropped in a struct `_lines`.
 
     Lines whose key stands in `min_docs` documents or more go, except in the

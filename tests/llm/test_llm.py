@@ -471,8 +471,10 @@ def test_runs_compact(spark, docs):
     for k in range(5):
         fresh = runs.add(hashes.where(F.col("doc_id") % 5 == k)).where("fresh").count()
         assert fresh == hashes.where(F.col("doc_id") % 5 == k).select("h1", "h2").distinct().join(hashes.where(F.col("doc_id") % 5 < k), ["h1", "h2"], "left_anti").count()
-    assert len(runs.names()) == 2
+    assert len(runs.newest_first()) == 2 and len(runs.levels[2]) == 1
     assert sorted(map(tuple, runs.merged().collect())) == sorted(map(tuple, linededup.reduce_batch(hashes).collect()))
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
 # --- language model
