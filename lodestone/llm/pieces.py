@@ -4,8 +4,15 @@ A text runs through a lattice of its code points.  At every boundary the search
 keeps the best last piece and a backpointer to where that piece begins.  Only
 boundaries less than the longest piece back can still begin a piece: they are the
 window.  Whenever the backpointer paths of the whole window meet in one boundary
-the ids before it are committed and forgotten; a boundary that no piece can cross
-(before a run of blanks) is one where they always meet.
+the ids before it are committed, and what lies before it is forgotten (`stream`,
+which takes its code points one by one and keeps only those behind the last commit).
+A boundary that no piece can cross (before a run of blanks) is one where all paths
+meet, so the ids of a segment between two of them are committed at its end; only a
+segment longer than the window can commit earlier, and all of those go through
+`stream`.  Shorter ones run through the same recurrence in `learn`, where sorted
+segments share the boundaries of their common beginnings.  The test for a meeting is
+made after a window of code points, and after twice the backlog if the paths have
+not met, so that its cost stays in proportion to the text.
 
 Two kinds of models give the best last piece in two ways:
 
@@ -27,10 +34,11 @@ come out; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import pandas as pd
@@ -41,7 +49,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 BLANK = "▁"
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The model of the query: a setting of the environment, or where the public files usually are.
+MODEL = os.environ.get("LODESTONE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 # Fixed values of the model file's format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -86,6 +95,8 @@ class Pieces:
         """Read a model file, on the driver."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
+        if not os.path.exists(model_file):
+            raise FileNotFoundError(f"no piece model at {model_file}: give model_file or set LODESTONE_PIECE_MODEL")
         model = pb.ModelProto()
         with open(model_file, "rb") as f:
             model.ParseFromString(f.read())
@@ -115,48 +126,55 @@ class Pieces:
         found = self.pairs[a << 32 | b] = self.merges(left + right) == [left, right]
         return found
 
-    def stream(self, text: str) -> Iterator[tuple[str, int]]:
-        """(piece, id or -1) in order, each as soon as it is certain."""
+    def stream(self, text: Iterable[str]) -> Iterator[tuple[str, int]]:
+        """(piece, id or -1) in order, each as soon as it is certain; `text` gives code points one by one."""
         ids, longest, bpe, pairs = self.ids, self.longest, self.kind == BPE, self.pairs
-        # begin[k], last[k] (the id, or -1) and best[k] belong to boundary done + k; the window is the last `longest` of them.
-        done, begin, last, best = 0, [0], [-1], [0.0]
-        for end in range(1, len(text) + 1):
+        # held: the code points behind the last commit; begin[k], last[k] (the id, or -1) and best[k] belong
+        # to the boundary after k of them; the window is the last `longest` boundaries.
+        held, end, begin, last, best, test_at = "", 0, [0], [-1], [0.0], 2 * longest
+        for c in text:
+            held += c
+            end += 1
             # Without a piece of its own a code point stands alone; it is never merged.
             at, own, top = end - 1, -1, best[-1] + self.worst
-            for start in range(max(done, end - longest), end):
-                i = ids.get(text[start:end])
+            for start in range(max(0, end - longest), end):
+                i = ids.get(held[start:end])
                 if i is None:
                     continue
                 if bpe:
-                    before = last[start - done]
+                    before = last[start]
                     if before < 0 or (pairs[key] if (key := before << 32 | i) in pairs else self.together(before, i)):
                         at, own = start, i
                         break
-                elif (total := best[start - done] + self.score[i]) > top or own < 0:
+                elif (total := best[start] + self.score[i]) > top or own < 0:
                     at, own, top = start, i, total
             begin.append(at)
             last.append(own)
             best.append(top)
-            if end - done >= 4 * longest:
-                # Step the farthest paths of the window back until all are at one boundary.
-                live = set(range(end - longest + 1, end + 1))
-                while len(live) > 1:
-                    far = max(live)
-                    live.remove(far)
-                    live.add(begin[far - done])
-                meet = live.pop()
-                if meet > done:
-                    yield from self._path(text, begin, last, done, meet)
-                    keep = meet - done
-                    begin, last, best, done = begin[keep:], last[keep:], best[keep:], meet
-        yield from self._path(text, begin, last, done, len(text))
+            if end >= test_at:
+                meet = self._meeting(begin, end)
+                if meet:
+                    yield from self._path(held, begin, last, meet)
+                    held, end = held[meet:], end - meet
+                    begin, last, best = [max(b - meet, 0) for b in begin[meet:]], last[meet:], best[meet:]
+                test_at = max(2 * longest, end + longest if meet else 2 * end)
+        yield from self._path(held, begin, last, end)
+
+    def _meeting(self, begin: list[int], end: int) -> int:
+        """The last boundary that the paths from all boundaries of the window share; 0 if there is none behind the last commit."""
+        live = set(range(max(0, end - self.longest + 1), end + 1))
+        while len(live) > 1:
+            far = max(live)
+            live.remove(far)
+            live.add(begin[far])
+        return live.pop()
 
     @staticmethod
-    def _path(text: str, begin: list[int], last: list[int], done: int, end: int) -> list[tuple[str, int]]:
+    def _path(text: str, begin: list[int], last: list[int], end: int) -> list[tuple[str, int]]:
         out = []
-        while end > done:
-            start = begin[end - done]
-            out.append((text[start:end], last[end - done]))
+        while end > 0:
+            start = begin[end]
+            out.append((text[start:end], last[end]))
             end = start
         return out[::-1]
 
@@ -169,7 +187,7 @@ class Pieces:
         find, known, together, reach = self.ids.get, self.pairs.get, self.together, self.reach
         begin, last, before = [0], [-1], ""
         for text in sorted(texts):
-            if self.kind != BPE or len(text) > 4 * self.longest:
+            if self.kind != BPE or len(text) > self.longest:
                 path = self.stream(text)
             else:
                 common, most = 0, min(len(text), len(before))
@@ -198,7 +216,7 @@ class Pieces:
                     out.reverse()
                     self.known[text] = tuple(out)
                     continue
-                path = self._path(text, begin, last, 0, len(text))
+                path = self._path(text, begin, last, len(text))
             self.known[text] = self._with_bytes(path)
 
     def _with_bytes(self, path) -> tuple[int, ...]:

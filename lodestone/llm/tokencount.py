@@ -17,6 +17,7 @@ come out; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import os
 
 import pandas as pd
 import regex
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table
 
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The vocabulary of the query: a setting of the environment, or where the public files usually are.
+RANKS = os.environ.get("LODESTONE_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: how the vocabulary's texts are cut before merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK, REMEMBER = 128, 1 << 18
@@ -55,6 +57,8 @@ class Counter:
     @classmethod
     def load(cls, path: str = RANKS) -> Counter:
         """Read a file of ranks, on the driver."""
+        if not os.path.exists(path):
+            raise FileNotFoundError(f"no ranks at {path}: give the path or set LODESTONE_BPE_RANKS")
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 

@@ -283,6 +283,34 @@ def test_unigram_is_best_path():
         assert math.isclose(sum(score.get(p, own.worst) for p, _ in path), best[-1], abs_tol=1e-9)
 
 
+def test_stream_commits_while_it_reads(rows):
+    """Ids come out while code points are still to come: what is held back stays near the window, in texts without any cut too."""
+    own = pieces.Pieces.load()
+    prose = "".join(t for _, t in rows[:40] if t).replace(" ", "")[:60_000].replace("\n", "x")
+    rng = random.Random(6)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20_000))
+    uni = pieces.Pieces([("<unk>", 0.0, 2)] + [(p, -1.0 - rng.random(), 1) for p in ("a", "b", "c", "ab", "bc", "abc", "ca", "bca")], pieces.UNIGRAM, dummy_prefix=False)
+    for model, text, most in ((own, prose, 200), (own, noise, 200), (uni, "".join(rng.choice("abc") for _ in range(5000)), 100)):
+        read, given, lag = 0, 0, 0
+
+        def points():
+            nonlocal read
+            for c in text:
+                read += 1
+                yield c
+
+        out = []
+        for piece, i in model.stream(points()):
+            lag = max(lag, read - given) if read < len(text) else lag
+            given += len(piece)
+            out.append((piece, i))
+        assert "".join(p for p, _ in out) == text and 0 < lag <= most
+        assert list(model._with_bytes(out)) == [x for x in model._with_bytes(model.stream(text))]
+    # Paths that never meet cost no more than a few passes: one letter over and over.
+    path = list(own.stream("a" * 100_000))
+    assert "".join(p for p, _ in path) == "a" * 100_000
+
+
 def test_pieces_rows(odd, empty):
     own = pieces.Pieces.load()
     back = pieces.decode_documents(pieces.encode_documents(odd, own), own).collect()
