@@ -586,6 +586,19 @@ def test_copies_equal_all_pairs(spark):
     assert {(r.q_id, r.id): r.n for r in media.search(images, lambda i: i % 100 == 0)[2].collect()} == want
 
 
+def test_query_against_all_pairs(spark):
+    """Recall of the tables over a whole table of pictures, a tenth of them asked: no false link, and at least 0.9 of the true ones."""
+    images = media.render(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
+    images = images.withColumn("id", F.when(F.col("id") >= 0, F.col("id") * 10))
+    every = images.union(media.edited(images, lambda i: i % 100 == 0)).where("id IS NOT NULL")
+    rows = [(r.id, r.image) for r in every.collect()]
+    want = all_pairs([(i, x) for i, x in rows if x is not None])
+    got = {(r.q_id, r.id): r.n for r in media.search(every, lambda i: (i >= 0) & (i % 100 == 0))[2].collect()}
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
+    edits = {q for q, i in want if i == -1 - q}
+    assert len(edits) >= 3 and all((q, -1 - q) in got for q in edits)
+
+
 def test_every_copy_is_linked(spark):
     rng = np.random.default_rng(10)
     a, b = picture(rng), picture(rng)
