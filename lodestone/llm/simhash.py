@@ -12,6 +12,14 @@ with more than `leaf` fingerprints is dealt into chunks that meet pair by pair,
 so no task gets an unbounded group.  Each group returns a spanning forest of its
 links.  Components come from alternating large and small stars.
 
+`keep_one` is the wide form for a corpus: five-word shingles and a similarity of
+0.8.  Two texts of that similarity differ in about ten bits on average, so the budget
+is 13 (nine of ten such pairs are within it, nearly all of 0.85 and more), and what the
+trie finds is checked.  Every leaf carries a sketch of 64 least hashes; in a group
+pairs become edges of a spanning forest in the order of their likeness by the sketch,
+so that a group of copies gives as many edges as texts and not all its pairs, and each
+edge stays only if the exact Jaccard similarity of the two shingle sets reaches 0.8.
+
 Defined cases: null and empty texts have fingerprint zero and link like others;
 rows with a null doc_id belong to their component without naming it (a component
 of such rows only has a null component_id); repeated rows each come out; an empty
@@ -21,6 +29,7 @@ table gives no rows.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -30,24 +39,57 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
 
-SLICE = 1 << 20
+#: Leaf pairs that are compared and node pairs that are split at a time.
+SLICE, CHUNK = 1 << 19, 1 << 16
 
 
-def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """The fingerprint of a text, as a signed 64-bit number."""
-    words = (text or "").encode().lower().split()
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole sequence if it has fewer words; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - shingle + 1)
     last = ends[len(words) - n :].tolist()
     first = [0, *(ends[: n - 1] + 1).tolist()]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for k in range(0, n, 8192):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(first[k : k + 8192], last[k : k + 8192])], ">u8")
-        ones += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(0, np.int64)
-    return int(np.packbits(ones * 2 > n).view(">i8")[0])
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], seed) for a, b in zip(first, last)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have set, as a signed 64-bit number."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), 8192):
+        ones += np.unpackbits(h[k : k + 8192].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, np.int64)
+    return int(np.packbits(ones * 2 > len(h)).view(">i8")[0])
+
+
+def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The fingerprint of a text, as a signed 64-bit number."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+#: Odd factors that turn one hash into 64, and the four bits that a sketch keeps of each least one.
+FACTORS = np.random.default_rng(77).integers(0, 1 << 63, 64, np.uint64) << np.uint64(1) | np.uint64(1)
+NIBBLES = np.uint64(0x1111111111111111)
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """64 times four bits: of the least of all hashes under each factor; equal for equal sets, zero for none."""
+    least = np.full(64, np.iinfo(np.uint64).max)
+    for k in range(0, len(h), 4096):
+        np.minimum(least, (h[k : k + 4096, None] * FACTORS).min(0), out=least)
+    four = (least >> np.uint64(32) & np.uint64(15)).astype(np.uint8) if len(h) else np.zeros(64, np.uint8)
+    return (four[::2] << 4 | four[1::2]).tobytes()
+
+
+def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many of the 64 places sketches (rows of four numbers) differ."""
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    return np.bitwise_count(x & NIBBLES).sum(1, np.int64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -74,46 +116,60 @@ def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int, half: int, depth: int = 0) -> np.ndarray:
-    """Root of each leaf of the sorted `a` (then `b`; None: join `a` with itself).
+def walk(a: np.ndarray, b: np.ndarray | None, budget: int, half: int, depth: int, near, skip=None) -> None:
+    """Traverse two copies of a trie together and call near(i, j) with the places of leaves at most `budget` bits apart.
 
-    `depth` levels are common to all of `a` and to all of `b`.
+    `a` and `b` are sorted (b None: `a` with itself, pairs with i < j); `depth`
+    levels are common to all of `a` and to all of `b`.  Node pairs for which
+    skip(pairs) holds are dropped.  They are taken depth first, a bounded number at
+    a time.
     """
     same = b is None
     b = a if same else b
-    shift = 0 if same else len(a)
-    label = np.arange(len(a) + (0 if same else len(b)))
     if not len(a) or not len(b):
-        return label
+        return
     err = int(np.bitwise_count((a[0] ^ b[0]) >> np.uint64(64 - depth))) if depth else 0
-    # A row for each pair of nodes: the leaves [a0, a1) and [b0, b1), and the bits in which their paths differ.
-    pairs = np.array([[0, len(a), 0, len(b), err]], np.int64)
 
     def compare(p: np.ndarray) -> None:
         """Every leaf of one node against every leaf of the other, for small nodes."""
-        na, nb = p[:, 1] - p[:, 0], p[:, 3] - p[:, 2]
-        for s in np.split(p, np.flatnonzero(np.diff(np.cumsum(na * nb) // SLICE)) + 1) if len(p) else []:
-            na, nb = s[:, 1] - s[:, 0], s[:, 3] - s[:, 2]
-            size = na * nb
+        size = (p[:, 1] - p[:, 0]) * (p[:, 3] - p[:, 2])
+        for s in np.split(p, np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1) if len(p) else []:
+            nb = s[:, 3] - s[:, 2]
+            size = (s[:, 1] - s[:, 0]) * nb
             row = np.repeat(np.arange(len(s)), size)
             at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            i, j = s[row, 0] + at // nb[row], s[row, 2] + at % nb[row]
-            near = np.bitwise_count(a[i] ^ b[j]) <= budget
+            up, over = np.divmod(at, nb[row])
+            i, j = s[row, 0] + up, s[row, 2] + over
+            hit = np.bitwise_count(a[i] ^ b[j]) <= budget
             if same:
-                near &= i < j
-            _hook(label, i[near], j[near] + shift)
+                hit &= i < j
+            if hit.any():
+                near(i[hit], j[hit])
 
-    for level in range(depth, 64):
-        small = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= 32
-        compare(pairs[small])
-        pairs = pairs[~small]
+    # A row for each pair of nodes: the leaves [a0, a1) and [b0, b1), and the bits in which their paths differ.
+    stack = [(depth, np.array([[0, len(a), 0, len(b), err]], np.int64))]
+    while stack:
+        level, pairs = stack.pop()
+        if len(pairs) > CHUNK:
+            stack += [(level, pairs[CHUNK:]), (level, pairs[:CHUNK])]
+            continue
+        if skip is not None:
+            pairs = pairs[~skip(pairs)]
+        size = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
+        compare(pairs[size <= 64])
+        pairs = pairs[size > 64]
         if not len(pairs):
-            return label
+            continue
+        if level == 64:  # equal leaves only, many of them: slices of one side meet the other in turn
+            for a0, a1, b0, b1, _ in pairs:
+                step = max(1, SLICE // int(b1 - b0))
+                compare(np.array([[k, min(k + step, a1), b0, b1, 0] for k in range(a0, a1, step)]))
+            continue
         bit = np.uint64(63 - level)
 
         def middle(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
             """Where the leaves with the bit set begin in each node."""
-            top = (x[lo] >> bit | np.uint64(1)) << bit
+            top = (x[lo] >> bit | np.uint64(1)) << bit  # noqa: B023
             return np.clip(np.searchsorted(x, top), lo, hi)
 
         a0, a1, b0, b1, e = pairs.T
@@ -123,46 +179,173 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int, half: int, depth
         if same:  # a node with itself: its children meet once
             children[3] = children[3][(a0 != b0) | (a1 != b1)]
         pairs = np.concatenate(children)
-        pairs = pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3]) & (pairs[:, 4] <= limit)]
-    for a0, a1, b0, b1, _ in pairs:  # equal leaves only, many of them
-        _hook(label, np.full(b1 - b0, a0), np.arange(b0, b1) + shift)
-        _hook(label, np.arange(a0, a1), np.full(a1 - a0, b0 + shift))
+        stack.append((level + 1, pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3]) & (pairs[:, 4] <= limit)]))
+
+
+def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int, half: int, depth: int = 0) -> np.ndarray:
+    """Root of each leaf of the sorted distinct `a` (then `b`; None: join `a` with itself)."""
+    shift = 0 if b is None else len(a)
+    label = np.arange(len(a) + (0 if b is None else len(b)))
+    walk(a, b, budget, half, depth, lambda i, j: _hook(label, i, j + shift))
     return label
 
 
-def trie_links(nodes: DataFrame, budget: int = 4, leaf: int = 4096) -> DataFrame:
-    """(a, b): a spanning forest of the links between distinct fingerprints, from each pair of top nodes."""
-    depth = min(20, max(0, math.ceil(math.log2(max(1, nodes.count() / leaf)))))
+#: Places of 64 in which sketches may differ: of texts that are alike for certain, and of texts that may be (0.8 and four deviations).
+SURE, MAYBE = 5, 25
+
+
+def forest(key: np.ndarray, sk: np.ndarray, cut: int | None, budget: int, half: int, depth: int = 0) -> np.ndarray:
+    """(i, j) rows: a spanning forest of the likely links between leaves, the most like first.
+
+    Leaves up to `cut` are one node's, sorted by key, and the others another's
+    (None: one node with itself).  What sure links have joined is not looked at again.
+    """
+    n = len(key)
+    label = np.arange(n)
+    edges: list[np.ndarray] = []
+    held: list[np.ndarray] = []
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        """Merge trees one link at a time where they meet; keep the links that merge."""
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        while len(i):
+            # Of the links between two trees, and then of each tree, the first goes ahead.
+            lo, hi = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+            _, one = np.unique(hi, return_index=True)
+            edges.append(np.stack([i[one], j[one]], 1))
+            label[hi[one]] = lo[one]
+            while not np.array_equal(up := label[label], label):
+                label[:] = up
+            rest = label[i] != label[j]
+            i, j = i[rest], j[rest]
+
+    def near(i: np.ndarray, j: np.ndarray) -> None:
+        j = j if cut is None else j + cut
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        unlike = _unlike(sk[i], sk[j])
+        sure = unlike <= SURE
+        join(i[sure], j[sure])
+        rest = ~sure & (unlike <= MAYBE)
+        rest[rest] = label[i[rest]] != label[j[rest]]
+        if rest.any():
+            held.append(np.stack([unlike[rest], i[rest], j[rest]], 1))
+        if sum(map(len, held)) > 4 * max(n, CHUNK):
+            settle()
+
+    def settle() -> None:
+        """Of the held links keep a spanning forest, the most like first; it stays open for links still to come."""
+        x = np.concatenate(held)
+        x = x[np.argsort(x[:, 0], kind="stable")]
+        own, kept = label.copy(), []
+        for at, (_, i, j) in enumerate(x.tolist()):
+            while own[i] != i:
+                own[i] = i = own[own[i]]
+            while own[j] != j:
+                own[j] = j = own[own[j]]
+            if i != j:
+                own[max(i, j)] = min(i, j)
+                kept.append(at)
+        held[:] = [x[kept]] if kept else []
+
+    # Neighbours in the order of the keys first: groups of copies grow together at once.
+    for lo, hi in ((0, n if cut is None else cut), (0 if cut is None else cut, n)):
+        for step in (1, 2, 3):
+            i = np.arange(lo, max(lo, hi - step))
+            i = i[np.bitwise_count(key[i] ^ key[i + step]) <= budget]
+            join(*(lambda i: (i, i + step))(i[_unlike(sk[i], sk[i + step]) <= SURE]))
+
+    def skip(p: np.ndarray) -> np.ndarray:
+        """Node pairs whose leaves are one tree already."""
+        change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+        a0, a1, b0, b1, _ = p.T
+        shift = 0 if cut is None else cut
+        return (change[a1 - 1] == change[a0]) & (change[b1 - 1 + shift] == change[b0 + shift]) & (label[a0] == label[b0 + shift])
+
+    walk(key[:cut] if cut is not None else key, None if cut is None else key[cut:], budget, half, depth, near, skip)
+    if held:
+        settle()
+    return np.concatenate([*edges, *(x[:, 1:] for x in held)]) if edges or held else np.zeros((0, 2), np.int64)
+
+
+def deal(nodes: DataFrame, payload: list[str], budget: int, leaf: int, least_depth: int = 0) -> tuple[DataFrame, int, dict[int, int]]:
+    """Rows (fp, *payload) dealt to pairs of top nodes (view, n0, c0, n1, c1), the depth of these nodes, and the first half's budget in each view.
+
+    A row goes to as many groups as nodes are within the budget of its own; a node
+    with more than `leaf` rows is dealt into chunks that meet pair by pair.
+    """
+    depth = min(20, max(least_depth, math.ceil(math.log2(max(1, nodes.count() / leaf)))))
     halves = {0: budget // 2, 1: budget - budget // 2 - 1}
     view = F.explode(F.array(F.struct(F.lit(0).alias("view"), F.col("fp").alias("key")), F.struct(F.lit(1).alias("view"), F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32)).alias("key"))))
     top = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
-    keys = nodes.select(view.alias("v")).select("v.view", "v.key", top.alias("node"))
+    keys = nodes.select(view.alias("v"), *payload).select("v.view", "v.key", top.alias("node"), *payload)
     counts = keys.groupBy("view", "node").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("chunks"))
     if depth <= 14:  # 2 ** 15 rows at most
         counts = F.broadcast(counts)
     masks = {v: [m for m in range(1 << depth) if m.bit_count() <= h] if h >= 0 else [] for v, h in halves.items()}
     mask = F.when(F.col("view") == 0, F.lit(masks[0])).otherwise(F.lit(masks[1]).cast("array<int>"))
-    met = keys.join(counts.withColumnRenamed("chunks", "own"), ["view", "node"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("own")).cast("int"))
+    met = keys.join(counts.withColumnRenamed("chunks", "own"), ["view", "node"]).withColumn("chunk", F.pmod(F.xxhash64("key", *payload[:1]), F.col("own")).cast("int"))
     met = met.withColumn("mask", F.explode(mask)).withColumn("other", F.col("node").bitwiseXOR(F.col("mask").cast("long")))
     met = met.join(counts.withColumnRenamed("node", "other"), ["view", "other"])
     met = met.withColumn("their", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     own, their = F.struct(F.col("node").alias("node"), F.col("chunk").alias("chunk")), F.struct(F.col("other").alias("node"), F.col("their").alias("chunk"))
-    met = met.select("view", "key", F.least(own, their).alias("lo"), F.greatest(own, their).alias("hi"), (own > their).alias("right"))
-    met = met.select("view", "key", "right", F.col("lo.node").alias("n0"), F.col("lo.chunk").alias("c0"), F.col("hi.node").alias("n1"), F.col("hi.chunk").alias("c1"))
+    met = met.select("view", "key", *payload, F.least(own, their).alias("lo"), F.greatest(own, their).alias("hi"), (own > their).alias("right"))
+    return met.select("view", "key", *payload, "right", F.col("lo.node").alias("n0"), F.col("lo.chunk").alias("c0"), F.col("hi.node").alias("n1"), F.col("hi.chunk").alias("c1")), depth, halves
+
+
+GROUP = ["view", "n0", "c0", "n1", "c1"]
+
+
+def trie_links(nodes: DataFrame, budget: int = 4, leaf: int = 4096) -> DataFrame:
+    """(a, b): a spanning forest of the links between distinct fingerprints, from each pair of top nodes."""
+    met, depth, halves = deal(nodes, [], budget, leaf)
 
     def join(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         at, n0, c0, n1, c1 = group
         key, right = pdf["key"].to_numpy().view(np.uint64), pdf["right"].to_numpy(bool)
         a, b = np.sort(key[~right]), np.sort(key[right])
         alone = (n0, c0) == (n1, c1)
-        label = trie_join(a, None if alone else b, budget, halves[at], depth)
+        label = trie_join(a, None if alone else b, budget, halves[int(at)], depth)
         leaves = a if alone else np.concatenate([a, b])
         if at:
             leaves = leaves << np.uint64(32) | leaves >> np.uint64(32)
         linked = label != np.arange(len(label))
         return pd.DataFrame({"a": leaves[linked].view(np.int64), "b": leaves[label[linked]].view(np.int64)})
 
-    return met.groupBy("view", "n0", "c0", "n1", "c1").applyInPandas(join, "a long, b long")
+    return met.groupBy(*GROUP).applyInPandas(join, "a long, b long")
+
+
+def likely_links(classes: DataFrame, budget: int, leaf: int = 1 << 18) -> DataFrame:
+    """(a, b): forests of the likely links between the texts of rows (k, fp, sk)."""
+    met, depth, halves = deal(classes, ["k", "sk"], budget, leaf, 3)
+
+    def join(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at, n0, c0, n1, c1 = group
+        key, right, k = pdf["key"].to_numpy().view(np.uint64), pdf["right"].to_numpy(bool), pdf["k"].to_numpy()
+        order = np.lexsort((k, key, right))
+        sk = np.frombuffer(b"".join(pdf["sk"]), np.uint64).reshape(-1, 4)[order]
+        alone = (n0, c0) == (n1, c1)
+        ij = forest(key[order], sk, None if alone else int(np.count_nonzero(~right)), budget, halves[int(at)], depth)
+        return pd.DataFrame({"a": k[order][ij[:, 0]], "b": k[order][ij[:, 1]]})
+
+    return met.groupBy(*GROUP).applyInPandas(join, "a long, b long")
+
+
+def like_enough(pairs: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
+    """(a, b) of rows (a, b, ta, tb) whose shingle sets have a Jaccard similarity of `similarity` or more."""
+
+    def run(batches):
+        for pdf in batches:
+            keep = []
+            for x, y in zip(pdf["ta"], pdf["tb"]):
+                p, q = (np.unique(shingle_hashes(t, shingle, seed)) for t in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                union = len(p) + len(q) - both
+                keep.append(both >= similarity * union)  # two texts without words are alike
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+    return pairs.mapInPandas(run, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -194,15 +377,49 @@ def near_dups(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int = 42
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """`docs` without near copies: the document with the least doc_id of each component stays.
+def keep_one(docs: DataFrame, budget: int = 13, shingle: int = 5, seed: int = 42, similarity: float = 0.8, leaf: int = 1 << 18) -> DataFrame:
+    """`docs` without near copies: of each component of texts with `similarity` or more one document stays, the one with the least doc_id.
 
-    Rows that repeat that doc_id stay with it, and so do rows without a doc_id, as
-    nothing tells them apart.
+    Rows without a doc_id come after all others, and of rows that repeat the doc_id
+    and the text of the one that stays one stays.  Equal texts are told by 64 bits of
+    a hash.
     """
-    found = near_dups(docs, **params)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    spark = docs.sparkSession
+    small_batches(spark)
+    of_text = F.xxhash64(F.coalesce("text", F.lit("")))
+
+    def run(batches):
+        for pdf in batches:
+            h = [shingle_hashes(t, shingle, seed) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "k": pdf["k"], "fp": [majority(x) if len(x) else 0 for x in h], "sk": [sketch(x) for x in h]})
+
+    prints = materialise(docs.select("doc_id", "text", of_text.alias("k")).mapInPandas(run, "doc_id long, k long, fp long, sk binary"), "prints")
+    classes = materialise(prints.groupBy("k").agg(F.first("fp").alias("fp"), F.first("sk").alias("sk")), "texts")
+    edges = materialise(likely_links(classes, budget, leaf).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely")
+    ends = edges.select(F.col("a").alias("k")).union(edges.select("b")).distinct()
+    if edges.count() <= 1 << 18:  # half a million numbers at most
+        ends = F.broadcast(ends)
+    texts = docs.select(of_text.alias("k"), F.coalesce("text", F.lit("")).alias("t")).join(ends, "k", "left_semi").dropDuplicates(["k"])
+    pairs = edges.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+    roots = connected(like_enough(pairs, shingle, seed, similarity))
+    ids = prints.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"))
+    rooted = materialise(ids.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")), "rooted")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    best = rooted.groupBy("root").agg(F.min(order).alias("best"))
+    # Rows of components with one row need no mark.
+    many = rooted.groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1").select("root")
+    marked = rooted.join(many, "root", "left_semi").join(best, "root").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), (order == F.col("best")).alias("_best"), "n")
+    marked = materialise(marked, "marked")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (of_text == F.col("_k"))
+    gone = marked.where("NOT _best")
+    repeated = marked.where("_best AND n > 1").select("_id", "_k")
+    out = docs.join(gone, same, "left_anti")
+    if repeated.isEmpty():
+        return out
+    # One of each repeated row: only these rows move.
+    key = f"_{uuid.uuid4().hex}"
+    twice = out.join(repeated, same, "left_semi").withColumn(key, of_text).dropDuplicates(["doc_id", key]).drop(key)
+    return out.join(repeated, same, "left_anti").unionByName(twice)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

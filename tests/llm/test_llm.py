@@ -352,7 +352,6 @@ def test_simhash(rows, docs, odd, empty):
     want = Counter(zip([r.doc_id for r in strange], fp, brute_components(fp, [r.doc_id for r in strange])))
     assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_dups(odd).collect()) == want
     assert simhash.near_dups(empty).count() == 0
-    assert simhash.keep_one(odd).columns == odd.columns
 
 
 def test_trie_join_in_small_nodes(spark):
@@ -365,6 +364,66 @@ def test_trie_join_in_small_nodes(spark):
     assert [roots.get(int(p), int(p)) for p in points] == want
 
 
+def shingle_sets(t, n=5):
+    w = split_words(t)
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_keep_one_by_brute_force(spark, docs, odd):
+    """Near copies of a similarity around 0.8 and a large group of copies, against all pairs."""
+    rng = random.Random(9)
+    vocab = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(500)]
+    texts = []
+    for k in range(30):
+        base = rng.choices(vocab, k=rng.choice([60, 200, 400]))
+        texts.append(base)
+        for m in range(rng.randint(0, 3)):
+            own = list(base)
+            for _ in range(max(1, int(len(own) * rng.choice([0.005, 0.02, 0.04, 0.1])))):
+                own[rng.randrange(len(own))] = rng.choice(vocab)
+            texts.append(own)
+    group = rng.choices(vocab, k=300)
+    for m in range(120):
+        own = list(group)
+        own[rng.randrange(300)] = f"w{m}"
+        texts.append(own)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000 + r.doc_id, r.text) for r in docs.collect()]
+    rng.shuffle(rows)
+    sets = {i: shingle_sets(t) for i, t in rows}
+    ids = sorted(sets)
+    label = {i: i for i in ids}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    links = 0
+    for a in range(len(ids)):
+        for b in range(a):
+            x, y = sets[ids[a]], sets[ids[b]]
+            if len(x & y) >= 0.8 * len(x | y):
+                links += ids[a] < 1000
+                p, q = find(ids[a]), find(ids[b])
+                label[max(p, q)] = min(p, q)
+    want = {i for i in ids if find(i) == i}
+    got = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), leaf=64).collect()]
+    assert len(got) == len(set(got)) and want <= set(got)  # no document that is like no other goes
+    missed = set(got) - want
+    assert links > 1000 and len(missed) <= 0.05 * (len(ids) - len(want))
+    for i in missed:  # what stays too much is at the edge of the similarity
+        assert max(len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for j in ids if j != i) < 0.87
+
+
+def test_keep_one_of_odd_rows(spark, odd, empty):
+    got = simhash.keep_one(odd)
+    assert got.columns == odd.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted({(1, None), (3, odd.where("doc_id = 3").first().text), (4, "same text here again"), (6, odd.where("doc_id = 6").first().text), (7, odd.where("doc_id = 7").first().text), (9, "é" * 30)})  # 8 has 4 of the 5 shingles of 6
+    ties = spark.createDataFrame([(5, "one two three four five six")] * 3 + [(None, "one two three four five six")] * 2 + [(None, "alone in here")] * 2, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(ties).collect()), key=str) == [(5, "one two three four five six"), (None, "alone in here")]
+    assert simhash.keep_one(empty).count() == 0
+
+
 # --- toxicity
 
 
@@ -588,7 +647,7 @@ def test_copies_equal_all_pairs(spark):
 
 def test_query_against_all_pairs(spark):
     """Recall of the tables over a whole table of pictures, a tenth of them asked: no false link, and at least 0.9 of the true ones."""
-    images = media.render(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
+    images = media.render(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 60"))
     images = images.withColumn("id", F.when(F.col("id") >= 0, F.col("id") * 10))
     every = images.union(media.edited(images, lambda i: i % 100 == 0)).where("id IS NOT NULL")
     rows = [(r.id, r.image) for r in every.collect()]
