@@ -6,10 +6,11 @@ one before it, and its value there) shortens the names to six labels in a few
 rounds, and local maxima of the labels begin phrases.  A phrase is named by a
 hash of what it holds, and the phrase names are the sequence of the next level.
 Where a phrase begins depends on a few neighbours only, so that equal substrings
-get equal names inside, wherever they stand.  The names of the levels from the
-second up are the signature of a text, and its fingerprint is the `KEEP` smallest
-of them, 32 bits each; the likeness of two fingerprints estimates the Jaccard
-similarity of the signatures from the smallest names of their union.
+get equal names inside, wherever they stand.  Levels go on until one name is left,
+the name of the whole text.  The names of the levels from the second up are the
+signature of a text, and its fingerprint is the `KEEP` smallest of them, 32 bits each;
+the likeness of two fingerprints estimates the Jaccard similarity of the signatures
+from the smallest names of their union, with a standard error of 0.0625 at most.
 
 Defined cases: a null text is an empty text; empty texts have an empty
 fingerprint, and two of them have likeness 1; repeated rows each come out, and
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-KEEP, FIRST_LEVEL, LEVELS = 64, 2, 4
+KEEP, FIRST_LEVEL = 64, 2
 #: Code points that are parsed together; a longer text is parsed alone.
 CHUNK = 1 << 19
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -90,12 +91,17 @@ def signatures(texts: list[str]) -> list[np.ndarray]:
     names = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     begins = np.zeros(len(names), bool)
     begins[(np.cumsum(sizes) - sizes)[full]] = True
-    found, owner = [], []
-    for level in range(1, LEVELS + 1):
+    found, owner, live, level = [], [], np.arange(len(full)), 0
+    while len(names):
+        level += 1
         names, begins = _level(names, begins)
         if level >= FIRST_LEVEL:
-            found.append((_mix(names + np.uint64(level)) >> np.uint64(32)))
-            owner.append(np.cumsum(begins) - 1)
+            own = np.cumsum(begins) - 1
+            found.append(_mix(names + np.uint64(level)) >> np.uint64(32))
+            owner.append(live[own])
+            # A text that is one name is done; the others lose at least half of their names at the next level.
+            several = np.bincount(own) > 1
+            names, begins, live = names[several[own]], begins[several[own]], live[several]
     both = np.unique(np.concatenate(owner).astype(np.uint64) << np.uint64(32) | np.concatenate(found))
     owner = (both >> np.uint64(32)).astype(np.int64)
     first = np.searchsorted(owner, np.arange(len(full) + 1))

@@ -405,10 +405,11 @@ def keep_one(docs: DataFrame, budget: int = 13, shingle: int = 5, seed: int = 42
     ids = prints.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"))
     rooted = materialise(ids.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")), "rooted")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
-    best = rooted.groupBy("root").agg(F.min(order).alias("best"))
     # Rows of components with one row need no mark.
-    many = rooted.groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1").select("root")
-    marked = rooted.join(many, "root", "left_semi").join(best, "root").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), (order == F.col("best")).alias("_best"), "n")
+    many = materialise(rooted.groupBy("root").agg(F.min(order).alias("best"), F.sum("n").alias("rows")).where("rows > 1"), "components")
+    if many.count() <= 1 << 18:
+        many = F.broadcast(many)
+    marked = rooted.join(many, "root").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), (order == F.col("best")).alias("_best"), "n")
     marked = materialise(marked, "marked")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (of_text == F.col("_k"))
     gone = marked.where("NOT _best")

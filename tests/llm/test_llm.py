@@ -739,6 +739,56 @@ def test_fingerprints(rows, docs, odd, empty):
     assert phrases.fingerprint_documents(odd).count() == odd.count() and phrases.fingerprint_documents(empty).count() == 0
 
 
+def parse(text):
+    """All names of the levels from the second up, by the definition: one code point after another, no arrays."""
+    size = 1 << 64
+    mix = lambda x: (y := (x ^ x >> 31) * int(phrases.MIX) % size) ^ y >> 29
+    toss = lambda x, before: 2 * ((d := x ^ before) & -d).bit_length() - 2 + (x >> (d & -d).bit_length() - 1 & 1)
+    names, out, level = [ord(c) + 1 for c in text], set(), 0
+    while names:
+        level += 1
+        runs = [[names[0], 1]]
+        for x in names[1:]:
+            if x == runs[-1][0]:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [x if n == 1 else mix(x ^ n * int(phrases.MIX) % size) for x, n in runs]
+        # Two unlike runs may have one name only by a collision of hashes.
+        label = [toss(x, b) for x, b in zip(names, [names[0] ^ 1, *names])]
+        for _ in range(3):
+            label = [toss(x, b) for x, b in zip(label, [label[0] ^ 1, *label])]
+        cuts = [0] + [k for k in range(1, len(names) - 1) if label[k] > label[k - 1] and label[k] > label[k + 1]]
+        power, powers = 1, []
+        for _ in range(max(b - a for a, b in zip(cuts, [*cuts[1:], len(names)]))):
+            power = power * 0xD6E8FEB86659FD93 % size
+            powers.append(power)
+        names = [mix(sum(x * p for x, p in zip(names[a:b], powers)) % size) for a, b in zip(cuts, [*cuts[1:], len(names)])]
+        if level >= phrases.FIRST_LEVEL:
+            out |= {mix((x + level) % size) >> 32 for x in names}
+            if len(names) == 1:
+                return out
+    return out
+
+
+def test_signature_by_an_independent_parse(rows):
+    texts = [t for _, t in rows[:60] if t and len(t) < 6000] + ["a", "aa", "ab", "aba" * 30, "é🙂" * 7, "word " * 50, ""]
+    whole = [parse(t) for t in texts]
+    got = phrases.signatures(texts)
+    assert [x.tolist() for x in got] == [sorted(w)[: phrases.KEEP] for w in whole]
+    # A text's signature does not depend on the texts that are parsed with it.
+    assert all((phrases.signatures([t])[0] == x).all() for t, x in zip(texts[::5], got[::5]))
+    # The likeness estimates the Jaccard similarity of whole signatures.
+    rng, off = random.Random(8), []
+    for t in [t for t in texts if len(t) > 800][:25]:
+        at = rng.randrange(len(t) // 2)
+        u = t[: len(t) // 2 + at] + "".join(rng.choices("abc def", k=len(t) // 5)) + t[len(t) // 2 + at :]
+        p, q = parse(t), parse(u)
+        a, b = phrases.signatures([t, u])
+        off.append(phrases.likeness(a, b) - len(p & q) / len(p | q))
+    assert max(map(abs, off)) < 0.25 and abs(sum(off) / len(off)) < 0.04
+
+
 def test_equal_substrings_share_names():
     rng = random.Random(4)
     text = "".join(rng.choice("abcdefg ") for _ in range(4000))
