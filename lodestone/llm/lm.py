@@ -15,8 +15,12 @@ The score of a word w after a history h is
 with weights chosen by the frequency bucket of h (the power of two of c(h .)).
 The weights are learned by expectation-maximisation on a deleted part of the
 training documents (one fold in seven), with that part taken out of the counts.
-The held-out counts are gathered in a grid over the ratios of the three
-estimates, one for each frequency bucket, of fixed size whatever the corpus.
+The held-out counts of all of that part are gathered in a grid over the ratios of the
+three estimates, one for each frequency bucket: an eighth of a power of two a step,
+no ratio left out, so a ratio is off by 4.4 % at most and the weights by under 0.01
+(tested against expectation-maximisation on the estimates themselves).  Its size does
+not grow with the corpus.  n-grams end at pairs: triples would take the shuffle beyond
+its limit (README).
 
 Defined cases: a null text is an empty text, one end token; a null doc_id has the
 fold of an empty text; rows that share an id each come out and each count; an
@@ -40,8 +44,10 @@ from .common import crc_fold, materialise, small_batches
 FOLDS, HELD_OUT, DELETED = 7, 2, 5
 END = np.uint64(xxhash.xxh64_intdigest(b"\n", seed=7))
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: The grid of held-out counts: frequency buckets, and steps of half a power of two for the ratios to the uniform estimate.
-FREQUENCIES, STEPS = 24, 80
+#: The grid of held-out counts: frequency buckets (the powers of two of any 64-bit count), and steps of an eighth
+#: of a power of two for the ratios to the uniform estimate, which cover every ratio of two such counts.
+FREQUENCIES, FINE, MIDDLE = 65, 8, 520
+STEPS = 2 * MIDDLE
 
 
 def words(text: str | None) -> list[bytes]:
@@ -212,14 +218,14 @@ def _estimates(row, rows: list, n: int, v: int, without: bool) -> tuple[np.ndarr
 
 def frequency(c: np.ndarray) -> np.ndarray:
     """The bucket of a history: 0 for unseen, else the power of two of its count, from 1."""
-    return np.where(c > 0, np.minimum(1 + np.log2(np.maximum(c, 1)).astype(int), FREQUENCIES - 1), 0)
+    return np.where(c > 0, 1 + np.log2(np.maximum(c, 1)).astype(np.int64), 0)
 
 
 def _grid(row, rows: list, n: int, v: int) -> pd.DataFrame:
     """The held-out counts of a block's deleted documents: tokens by bucket and ratio step (0: an estimate of zero)."""
     doc, fold, _, c_before, p2, p1, p0 = _estimates(row, rows, n, v, True)
     own = fold == DELETED
-    step = lambda p: np.where(p > 0, np.clip(np.rint(2 * np.log2(np.maximum(p, 1e-300) / p0)) + 20, 1, STEPS - 1), 0).astype(int)
+    step = lambda p: np.where(p > 0, np.rint(FINE * np.log2(np.maximum(p, 1e-300) / p0)) + MIDDLE, 0).astype(np.int64)
     cell = ((frequency(c_before) * STEPS + step(p2)) * STEPS + step(p1))[own]
     cells, count = np.unique(cell, return_counts=True)
     return pd.DataFrame({"cell": cells, "n": count})
@@ -231,7 +237,7 @@ def learn(grid: pd.DataFrame, rounds: int = 40) -> np.ndarray:
     weights[0] = 0, 0.5, 0.5
     cell, n = grid["cell"].to_numpy(np.int64), grid["n"].to_numpy(np.float64)
     at, s2, s1 = cell // STEPS**2, cell // STEPS % STEPS, cell % STEPS
-    ratio = lambda s: np.where(s > 0, 2.0 ** ((s - 20) / 2), 0)
+    ratio = lambda s: np.where(s > 0, 2.0 ** ((s - MIDDLE) / FINE), 0)
     p = np.stack([ratio(s2), ratio(s1), np.ones(len(cell))], 1)
     for _ in range(rounds):
         share = p * weights[at]

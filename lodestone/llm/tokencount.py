@@ -9,9 +9,17 @@ old cut, and only pre-tokens that are new are encoded.  The sums of the changed
 blocks and of the nodes above them are set anew; the rest of the document is not
 read.
 
+`keep_trees` writes the leaves of every document as columns and `apply_edits` takes a
+table of edits (doc_id, seq, start, end, new) to them: the edits of a document follow
+one another by seq, each on the text that the one before it left, and the result is
+the trees to keep, so that edits can come in batches.
+
 Defined cases: a null or empty text has no tokens; an edit may lie at either end,
 delete everything, or reach past the end, where it is cut off; repeated rows each
-come out; an empty table gives no rows.
+come out, and edits go to every row with their doc_id; an edit without a document or
+with a null doc_id does nothing; a null start or end is the end of the text, a null
+new text is empty; a null seq comes first and ties go by start, end and new; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +32,7 @@ import regex
 import tiktoken
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
@@ -93,6 +102,19 @@ class Document:
         self.encoded = 0  # by edits
         self._build()
 
+    @classmethod
+    def of(cls, text: str, lengths: list[int], tokens: list[int], counter: Counter) -> Document:
+        """A kept document: nothing is cut or encoded."""
+        own = cls.__new__(cls)
+        own.text, own.counter, own.encoded = text, counter, 0
+        own.blocks = cls._blocks(lengths, tokens)
+        own._build()
+        return own
+
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """The lengths and the tokens of all pre-tokens in order."""
+        return [n for b in self.blocks for n in b.lengths], [n for b in self.blocks for n in b.tokens]
+
     def _count(self, part: str) -> int:
         self.encoded += 1
         return self.counter.known.get(part) or self.counter.tokens(part)
@@ -214,6 +236,49 @@ def count_with_edits(docs: DataFrame, counter: Counter) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, n_pretokens long, n_tokens_edited long, n_recounted long")
 
 
+TREES = "doc_id long, text string, lengths array<int>, tokens array<int>"
+
+
+def _tree(doc_id, doc: Document) -> tuple:
+    return (doc_id, doc.text, *doc.leaves())
+
+
+def keep_trees(docs: DataFrame, counter: Counter) -> DataFrame:
+    """(doc_id, text, lengths, tokens): the leaves of every document, to be written."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(counter))
+
+    def run(batches):
+        own = cloudpickle.loads(sent.value)
+        for pdf in batches:
+            rows = [_tree(i, Document(t, own)) for i, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"])]
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "lengths", "tokens"]).astype({"doc_id": "Int64"})
+
+    return docs.select("doc_id", "text").mapInPandas(run, TREES)
+
+
+def apply_edits(trees: DataFrame, edits: DataFrame, counter: Counter) -> DataFrame:
+    """The kept trees after a table of edits, with n_tokens and n_recounted (pre-tokens that the edits made it encode)."""
+    small_batches(trees.sparkSession)
+    sent = trees.sparkSession.sparkContext.broadcast(cloudpickle.dumps(counter))
+    # The edits of a document are applied one after another: its own log is one row.
+    log = edits.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", *[F.coalesce(F.col(c).cast("long"), F.lit(1 << 60)).alias(c) for c in ("start", "end")], F.coalesce("new", F.lit("")).alias("new")))).alias("log"))
+    rows = trees.select("doc_id", "text", "lengths", "tokens").join(log, "doc_id", "left")
+
+    def run(batches):
+        own = cloudpickle.loads(sent.value)
+        for pdf in batches:
+            out = []
+            for i, text, lengths, tokens, log in zip(pdf["doc_id"].astype("Int64"), pdf["text"], pdf["lengths"], pdf["tokens"], pdf["log"]):
+                doc = Document.of(text, list(lengths), list(tokens), own)
+                for edit in log if log is not None else ():
+                    doc.replace(int(edit["start"]), int(edit["end"]), edit["new"])
+                out.append((*_tree(i, doc), doc.n_tokens, doc.encoded))
+            yield pd.DataFrame(out, columns=["doc_id", "text", "lengths", "tokens", "n_tokens", "n_recounted"]).astype({"doc_id": "Int64"})
+
+    return rows.mapInPandas(run, TREES + ", n_tokens long, n_recounted long")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
     """Token counts of whole `documents` before and after the edits."""
     return count_with_edits(table(spark, sf_dir, "documents"), Counter.load(ranks))

@@ -568,7 +568,7 @@ def test_runs_compact(spark, docs):
 
 
 def test_lm(docs, rows, odd, empty):
-    got = {r.doc_id: r for r in lm.score_documents(docs, tokens=3000, share=2000).collect()}
+    got = {r.doc_id: r for r in lm.score_documents(docs, tokens=30000, share=20000).collect()}
     counts, tokens = Counter(), {}
     for i, t in rows:
         tokens[i] = [*split_words(t), "\n"]
@@ -581,13 +581,54 @@ def test_lm(docs, rows, odd, empty):
         assert math.isclose(r.base_score, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert lm.score_documents(odd).count() == odd.count() and lm.score_documents(empty).count() == 0
+    strange = lm.score_documents(odd).collect()
+    want = Counter((r.doc_id, len(split_words(r.text)) + 1) for r in odd.collect())
+    assert Counter((r.doc_id, r.n_tokens) for r in strange) == want and all(r.score < 0 and r.base_score < 0 for r in strange)
+    assert lm.score_documents(empty).count() == 0
+
+
+def test_lm_model_by_brute_force(docs, rows):
+    """The model's score with weights from expectation-maximisation on every held-out token, no grid."""
+    got = {r.doc_id: r.score for r in lm.score_documents(docs, tokens=30000, share=20000).collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 7 for i, _ in rows}
+    tokens = {i: [*split_words(t), "\n"] for i, t in rows}
+
+    def count(keep):
+        one, two = Counter(), Counter()
+        for i, w in tokens.items():
+            if keep(fold[i]):
+                one.update(w)
+                two.update(zip(["\n", *w], w))
+        return one, two, sum(one.values()), len(one)
+
+    def estimates(w, one, two, n, v):
+        for h, x in zip(["\n", *w], w):
+            c = one[h]
+            yield (int(math.log2(c)) + 1 if c else 0), (two[h, x] / c if c else 0.0, one[x] / n, 1 / (v + 1))
+
+    left = count(lambda f: f not in (2, 5))
+    seen = [e for i, w in tokens.items() if fold[i] == 5 for e in estimates(w, *left)]
+    at, p = np.array([b for b, _ in seen]), np.array([e for _, e in seen])
+    weights = np.full((lm.FREQUENCIES, 3), 1 / 3)
+    weights[0] = 0, 0.5, 0.5
+    for _ in range(40):
+        share = p * weights[at]
+        share /= share.sum(1, keepdims=True)
+        gained = np.zeros_like(weights)
+        np.add.at(gained, at, share)
+        mass = gained.sum(1)
+        gained[:, 2] += 1e-3 * np.maximum(mass, 1)
+        weights = np.where(mass[:, None] > 0, gained / np.maximum(gained.sum(1), 1e-9)[:, None], weights)
+    train = count(lambda f: f != 2)
+    for i, w in tokens.items():
+        want = sum(math.log10(weights[b] @ e) for b, e in estimates(w, *train))
+        assert math.isclose(got[i], want, rel_tol=3e-3, abs_tol=0.02)
 
 
 def test_weights_are_a_distribution():
     import pandas as pd
 
-    w = lm.learn(pd.DataFrame({"cell": [5 * lm.STEPS**2 + 30 * lm.STEPS + 25, 5 * lm.STEPS**2 + 20], "n": [100, 10]}))
+    w = lm.learn(pd.DataFrame({"cell": [5 * lm.STEPS**2 + (lm.MIDDLE + 40) * lm.STEPS + lm.MIDDLE + 20, 5 * lm.STEPS**2 + lm.MIDDLE], "n": [100, 10]}))
     assert np.allclose(w.sum(1), 1) and (w >= 0).all() and w[5, 0] > 0.5
 
 
@@ -722,6 +763,36 @@ def test_token_counts(docs, odd, empty, counter):
     assert tokencount.count_with_edits(odd, counter).count() == odd.count() and tokencount.count_with_edits(empty, counter).count() == 0
 
 
+def test_counts_of_odd_rows(odd, counter):
+    want = Counter((r.doc_id, len(counter.encoding.encode_ordinary(r.text or ""))) for r in odd.collect())
+    assert Counter((r.doc_id, r.n_tokens) for r in tokencount.count_with_edits(odd, counter).collect()) == want
+
+
+def test_table_of_edits(spark, docs, counter):
+    """Two batches of edits on kept trees against whole texts that are edited and counted anew."""
+    rng = random.Random(4)
+    some = docs.where("doc_id % 4 = 0").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in some.collect()}
+    trees = tokencount.keep_trees(some, counter)
+    for _ in range(2):
+        rows = []
+        for i in rng.sample(sorted(texts), 20):
+            for seq in range(rng.randint(1, 5)):
+                n = len(texts[i])
+                start = rng.randint(0, n + 2)
+                rows.append((i, seq, start, start + rng.choice([0, 1, 30, 4000]), rng.choice(["", " new words", "x", "\n\n", None])))
+        rows += [(None, 1, 0, 5, "z"), (10**9, 1, 0, 5, "z"), (max(texts), 99, None, None, " the end")]
+        for i, _, start, end, new in sorted((r for r in rows if r[0] in texts), key=lambda r: (r[0], r[1])):
+            t = texts[i]
+            start, end = (min(len(t) if x is None else x, len(t)) for x in (start, end))
+            texts[i] = t[:start] + (new or "") + t[max(end, start) :]
+        trees = tokencount.apply_edits(trees, spark.createDataFrame(rows, "doc_id long, seq int, start long, end long, new string"), counter)
+        got = {r.doc_id: r for r in trees.collect()}
+        assert {i: r.text for i, r in got.items()} == texts
+        assert all(r.n_tokens == sum(r.tokens) == len(counter.encoding.encode_ordinary(texts[i])) for i, r in got.items())
+        assert sum(r.n_recounted for r in got.values()) < 0.2 * sum(len(r.lengths) for r in got.values())
+
+
 # --- fingerprints
 
 
