@@ -52,6 +52,7 @@ def roles(grouped: DataFrame, side: int = 227) -> DataFrame:
     varied = F.coalesce(F.size("chain"), F.lit(0)) > 0
     return rows.withColumns(
         {
+            # The names of roles, confidences and rules.
             "role": F.when(varied, "augmented_variant").otherwise("original_candidate"),
             "role_confidence": F.when(varied, "high").when(square & F.col("_sized"), "high").otherwise("medium"),
             "role_rule": F.when(varied, "filename_chain_explicit").when(square, f"chain_free+base_dimension_{side}x{side}").otherwise("chain_free_only(off_base_dimension)"),
@@ -103,26 +104,31 @@ def allocation_units(bag_rows: DataFrame, pairs: DataFrame) -> DataFrame:
 def allocate(units: DataFrame) -> DataFrame:
     """(unit_id, split): largest unit first, to the split whose worst class is filled least, ties to train, val, test.
 
-    Every choice depends on all before it, so the units (not their instances) are
-    folded in one row; there is one for each component of bags.
+    Every choice depends on all before it, so one task takes the units (one for each
+    component of bags, not their instances) in order; it sorts them with spill and
+    streams over them with six sums in hand.
     """
-    zero = F.struct(*[F.lit(0.0).alias(f"{s}_{c}") for s in SPLITS for c in ("benign", "malignant")])
-    class_total = lambda c: F.aggregate("us", F.lit(0.0), lambda t, u: t + u[c])
-    total = {c: class_total(c) for c in ("benign", "malignant")}
-    rows = units.agg(F.array_sort(F.collect_list(F.struct((-F.col("instance_count")).alias("n"), F.element_at("bag_ids", 1).alias("bag"), "unit_id", "benign", "malignant"))).alias("us"))
-    rows = rows.select("us", *[F.greatest(v, F.lit(1e-9)).alias(f"t_{c}") for c, v in total.items()])
-
-    def step(state: Column, u: Column) -> Column:
-        fill = state["fill"]
-        gap = {s: F.greatest(*[(fill[f"{s}_{c}"] + u[c]) / (F.col(f"t_{c}") * SHARES[s]) for c in ("benign", "malignant")]) for s in SPLITS}
-        val = gap["val"] < gap["train"] - 1e-12
-        best = F.when(val, gap["val"]).otherwise(gap["train"])
-        split = F.when(gap["test"] < best - 1e-12, "test").when(val, "val").otherwise("train")
-        new = F.struct(*[(fill[f"{s}_{c}"] + F.when(split == s, u[c]).otherwise(0).cast("double")).alias(f"{s}_{c}") for s in SPLITS for c in ("benign", "malignant")])
-        return F.struct(new.alias("fill"), F.concat(state["out"], F.array(F.struct(u["unit_id"].alias("unit_id"), split.alias("split")))).alias("out"))
-
-    start = F.struct(zero.alias("fill"), F.array().cast("array<struct<unit_id:string,split:string>>").alias("out"))
-    return rows.select(F.explode(F.aggregate("us", start, step, lambda s: s["out"])).alias("o")).select("o.unit_id", "o.split")
+    classes = ("benign", "malignant")
+    ordered = units.select("unit_id", F.element_at("bag_ids", 1).alias("bag"), "instance_count", *classes)
+    sums = ordered.agg(*[F.sum(c).cast("double").alias(c) for c in classes]).first()
+    total = {c: max(sums[c] or 0.0, 1e-9) for c in classes}
+
+    def run(batches):
+        fill = {s: [0.0, 0.0] for s in SPLITS}
+        room = {s: [total[c] * SHARES[s] for c in classes] for s in SPLITS}
+        for pdf in batches:
+            out = []
+            for own in zip(pdf["benign"].tolist(), pdf["malignant"].tolist()):
+                best, least = None, None
+                for s in SPLITS:
+                    gap = max((f + u) / r for f, u, r in zip(fill[s], own, room[s]))
+                    if best is None or gap < least - 1e-12:
+                        best, least = s, gap
+                fill[best] = [f + u for f, u in zip(fill[best], own)]
+                out.append(best)
+            yield pdf[["unit_id"]].assign(split=out)
+
+    return ordered.repartition(1).sortWithinPartitions(F.desc("instance_count"), "bag", "unit_id").mapInPandas(run, "unit_id string, split string")
 
 
 def split_manifest(bag_rows: DataFrame, units: DataFrame, allocated: DataFrame) -> DataFrame:

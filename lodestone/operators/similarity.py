@@ -24,13 +24,20 @@ def difference_hash(values: Column) -> Column:
 def word_simhash(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, hash): bit i is set if more words than not have it set in the first 64 bits of their md5.
 
-    Words are summed by key before they move; the sums are 64 numbers a text.
+    A text's words are counted in its row first, so that each distinct one is hashed
+    once and moves with its count.  Two bits share a sum, in the halves of a 64-bit
+    number, which holds for up to 2**31 words a text.
     """
-    words = texts.select(key, F.explode(F.split(F.coalesce(text, F.lit("")), " ", -1)).alias("w")).where("w <> ''")
-    halves = words.select(key, S.half_hash(F.md5("w"), 1).alias("h0"), S.half_hash(F.md5("w"), 9).alias("h1"))
-    votes = [F.sum(F.shiftright(f"h{i // 32}", 31 - i % 32).bitwiseAND(F.lit(1).cast("bigint")) * 2 - 1).alias(f"v{i}") for i in range(64)]
-    sums = halves.groupBy(key).agg(*votes)
-    return sums.select(key, S.bits_to_long(F.array(*[F.col(f"v{i}") > 0 for i in range(64)])).alias("hash"))
+    listed = F.split(F.coalesce(text, F.lit("")), " ", -1)
+    words = texts.select(key, F.explode(listed).alias("w")).where("w <> ''").groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
+    halves = words.select(key, "n", F.md5("w").alias("m")).select(key, "n", S.half_hash(F.col("m"), 1).alias("h0"), S.half_hash(F.col("m"), 9).alias("h1"))
+    # Lane k holds bit k of the first half in its upper 32 bits and bit k of the second in its lower ones.
+    one = F.lit(1).cast("bigint")
+    lanes = [F.sum((F.shiftleft(F.shiftright("h0", 31 - k).bitwiseAND(one), 32) + F.shiftright("h1", 31 - k).bitwiseAND(one)) * F.col("n")).alias(f"v{k}") for k in range(32)]
+    sums = halves.groupBy(key).agg(F.sum("n").alias("n"), *lanes)
+    upper = [F.shiftright(f"v{k}", 32) * 2 > F.col("n") for k in range(32)]
+    lower = [F.col(f"v{k}").bitwiseAND(F.lit((1 << 32) - 1)) * 2 > F.col("n") for k in range(32)]
+    return sums.select(key, S.bits_to_long(F.array(*upper, *lower)).alias("hash"))
 
 
 def banded_pairs(hashes: DataFrame, key: str, most: int = 7, bands: int = 4) -> DataFrame:
@@ -42,21 +49,34 @@ def banded_pairs(hashes: DataFrame, key: str, most: int = 7, bands: int = 4) ->
     the candidates few.  Equal hashes are joined once: the bands are those of
     distinct hashes.
     """
+    near = near_hashes(hashes.select("hash").distinct(), most, bands)
+    both = near.union(hashes.select("hash", F.col("hash").alias("other"), F.lit(0).alias("hamming")).distinct())
+    a, b = hashes.select(F.col(key).alias("a"), "hash"), hashes.select(F.col(key).alias("b"), F.col("hash").alias("other"))
+    pairs = both.join(a, "hash").join(b, "other").where((F.col("hash") != F.col("other")) | (F.col("a") < F.col("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "hamming")
+
+
+def near_edges(hashes: DataFrame, key: str, most: int = 7, bands: int = 4) -> DataFrame:
+    """(a, b): edges with the components of `banded_pairs`: near distinct hashes by their least rows, and a star for the rows of one hash."""
+    heads = hashes.groupBy("hash").agg(F.min(key).alias("head"))
+    near = near_hashes(heads.select("hash"), most, bands)
+    a, b = heads.select("hash", F.col("head").alias("a")), heads.select(F.col("hash").alias("other"), F.col("head").alias("b"))
+    stars = hashes.join(heads, "hash").where(F.col(key) != F.col("head")).select(F.col(key).alias("a"), F.col("head").alias("b"))
+    return near.join(a, "hash").join(b, "other").select("a", "b").union(stars)
+
+
+def near_hashes(distinct: DataFrame, most: int = 7, bands: int = 4) -> DataFrame:
+    """(hash, other, hamming) of distinct hashes with at most `most` differing bits, hash < other."""
     if most >= 2 * bands:
         raise ValueError("the bands are complete for fewer differing bits than twice the bands only")
     width = 64 // bands
-    distinct = hashes.select("hash").distinct()
     cut = F.array(*[F.shiftrightunsigned("hash", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(bands)])
     banded = distinct.select("hash", F.posexplode(cut).alias("band", "value"))
     flips = F.explode(F.lit([0, *(1 << i for i in range(width))]))
     right = banded.select(F.col("hash").alias("other"), "band", "value", flips.alias("flip")).select("other", "band", F.col("value").bitwiseXOR(F.col("flip").cast("bigint")).alias("value"))
     near = banded.join(right, ["band", "value"]).where(F.col("hash") < F.col("other"))
     near = near.withColumn("hamming", S.hamming(F.col("hash"), F.col("other"))).where(F.col("hamming") <= most)
-    near = near.select("hash", "other", "hamming").distinct()
-    both = near.union(distinct.select("hash", F.col("hash").alias("other"), F.lit(0).alias("hamming")))
-    a, b = hashes.select(F.col(key).alias("a"), "hash"), hashes.select(F.col(key).alias("b"), F.col("hash").alias("other"))
-    pairs = both.join(a, "hash").join(b, "other").where((F.col("hash") != F.col("other")) | (F.col("a") < F.col("b")))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "hamming")
+    return near.select("hash", "other", "hamming").distinct()
 
 
 def pairs_in_groups(rows: DataFrame, key: str, group: str, found: DataFrame, most: int = 7) -> DataFrame:

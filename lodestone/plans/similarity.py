@@ -40,7 +40,7 @@ def within_group(spark, d):
 
 
 def near_components(spark, d):
-    roots = components(pairs(spark, d).select("a", "b"))
+    roots = components(X.near_edges(hashes(spark, d), "doc_id"))
     members = roots.join(contents(spark, d).select(F.col("doc_id").alias("node"), "md5", "source"), "node")
     return members.groupBy("root").agg(S.content_id("near-", F.collect_list("md5")).alias("near_group"), F.count(F.lit(1)).alias("n_files"), (F.countDistinct("source") > 1).alias("crosses"))
 
