@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names (a session without one gets a temporary folder)."""
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that the cluster names; only a local session without one gets a temporary folder."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint()
 
@@ -25,21 +27,21 @@ def components(edges: DataFrame) -> DataFrame:
     have edges and the jumps double their length each time, so the work follows
     the square of the logarithm of the number of nodes, not the diameter.
     """
-    edges = _cut(edges.select("a", "b").where("a <> b").distinct())
+    edges = cut(edges.select("a", "b").where("a <> b").distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     parent = nodes.select("node", F.col("node").alias("root"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         # A node's parent is never larger than the node, and has edges itself.
-        jump = _cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("up")))
+        jump = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("up")))
         while True:
-            far = _cut(jump.join(jump.select(F.col("a").alias("up"), F.col("up").alias("up2")), "up").select("a", F.col("up2").alias("up"), (F.col("up") != F.col("up2")).alias("moved")))
+            far = cut(jump.join(jump.select(F.col("a").alias("up"), F.col("up").alias("up2")), "up").select("a", F.col("up2").alias("up"), (F.col("up") != F.col("up2")).alias("moved")))
             jump = far.select("a", "up")
             if far.where("moved").isEmpty():
                 break
-        parent = _cut(parent.join(jump.select(F.col("a").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        parent = cut(parent.join(jump.select(F.col("a").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         moved = edges.join(jump.select("a", F.col("up").alias("x")), "a").join(jump.select(F.col("a").alias("b"), F.col("up").alias("y")), "b")
-        edges = _cut(moved.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        edges = cut(moved.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     return parent
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import groups as G
+from ..operators.graph import cut
 from ..sources.tables import table
 from .audit import PARSED_SQL, parsed
 from .similarity import SIM_SQL, pairs
@@ -24,13 +25,19 @@ def path_pairs(s, d):
     return pairs(s, d).join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
 
 
+def bags_and_units(s, d):
+    """Bags and allocation units, each computed once for what reads them several times."""
+    b = cut(bag_rows(s, d))
+    return b, cut(G.allocation_units(b, path_pairs(s, d)))
+
+
 def units(s, d):
-    return G.allocation_units(bag_rows(s, d), path_pairs(s, d))
+    return bags_and_units(s, d)[1]
 
 
 def instances(s, d):
-    u = units(s, d)
-    return G.split_manifest(bag_rows(s, d), u, G.allocate(u))
+    b, u = bags_and_units(s, d)
+    return G.split_manifest(b, u, G.allocate(u))
 
 
 def statistics(s, d):

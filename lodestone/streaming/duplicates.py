@@ -25,7 +25,11 @@ def windowed_counts(stream: DataFrame, by: str, time: str = "ts", late: str = "1
 def drain(spark: SparkSession, out: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over what there is and return its table."""
     name = f"stream_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="lodestone-")
     query = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)

@@ -15,6 +15,7 @@ from lodestone.operators import audit as A
 from lodestone.operators import evaluate as E
 from lodestone.operators import explain as X
 from lodestone.operators import groups as G
+from lodestone.operators import integrity as I
 from lodestone.operators import mil as M
 from lodestone.operators import similarity as Y
 from lodestone.operators.graph import components
@@ -141,3 +142,48 @@ def test_empty_tables(spark):
     assert E.roc_points(E.predicted(none), []).count() == 0
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
     assert Y.banded_pairs(spark.createDataFrame([], "id int, hash long"), "id").count() == 0
+
+
+def test_dangling_keys_raise(spark):
+    bag_of = spark.createDataFrame([("x", "b1"), ("y", "b2")], "path string, bag_id string")
+    pairs = spark.createDataFrame([("x", "y")], "a string, b string")
+    assert [tuple(r) for r in I.pairs_to_bags(pairs, bag_of).collect()] == [("x", "y", "b1", "b2")]
+    for bad in (spark.createDataFrame([("x", "z")], pairs.schema), spark.createDataFrame([("x", None)], pairs.schema)):
+        with pytest.raises(PySparkException):
+            I.pairs_to_bags(bad, bag_of).collect()
+    with pytest.raises(PySparkException):
+        I.pairs_to_bags(pairs, bag_of.union(bag_of.limit(1))).collect()
+
+
+def test_validated_instances_raise(spark):
+    splits = spark.createDataFrame([("train", "b1", "p1", "m1", "benign")], "split string, bag_id string, image_path string, md5 string, bag_label string")
+    files = spark.createDataFrame([("p1", "m1", 1, 1)], "path string, md5 string, width int, height int")
+    bags = spark.createDataFrame([("b1", "benign", 1)], "bag_id string, bag_label string, instance_count int")
+    assert I.validated_instances(splits, files, bags).count() == 1
+    for broken in ((splits.union(splits), files, bags), (splits, files.where("path = 'q'"), bags), (splits, files.withColumn("md5", F.lit("m2")), bags), (splits, files, bags.withColumn("bag_label", F.lit("malignant"))), (splits, files, bags.limit(0))):
+        with pytest.raises(PySparkException):
+            I.validated_instances(*broken).collect()
+
+
+def test_guards_raise(spark):
+    found = spark.createDataFrame([(0.3165, 0.245)], "mean double, std double")
+    assert I.drift_guard(found, {"mean": 0.3165, "std": 0.245}).count() == 2
+    with pytest.raises(PySparkException):
+        I.drift_guard(found, {"mean": 0.3165, "std": 0.2451}).collect()
+    rows = spark.createDataFrame([(1,), (None,)], "v int")
+    with pytest.raises(PySparkException):
+        I.assert_none(I.violations({"v is one": (rows, F.col("v") != 1)})).collect()
+    with pytest.raises(PySparkException):
+        I.unique_by(spark.createDataFrame([("a/b",), ("a/b",)], "p string"), "p").collect()
+
+
+def test_allocation_by_hand(spark):
+    units = spark.createDataFrame([(f"u{i}", [f"b{i:02d}"], n, b, n - b) for i, (n, b) in enumerate([(40, 20), (30, 10), (20, 20), (10, 0), (10, 5), (5, 5), (1, 0)])], "unit_id string, bag_ids array<string>, instance_count int, benign int, malignant int")
+    total, fill, want = (60, 56), {s: [0, 0] for s in G.SPLITS}, {}
+    for u, b, m in [("u0", 20, 20), ("u1", 10, 20), ("u2", 20, 0), ("u3", 0, 10), ("u4", 5, 5), ("u5", 5, 0), ("u6", 0, 1)]:
+        gap = {s: max((fill[s][0] + b) / (total[0] * G.SHARES[s]), (fill[s][1] + m) / (total[1] * G.SHARES[s])) for s in G.SPLITS}
+        best = min(G.SPLITS, key=lambda s: gap[s])
+        fill[best] = [fill[best][0] + b, fill[best][1] + m]
+        want[u] = best
+    assert dict(map(tuple, G.allocate(units).collect())) == want
+    assert G.allocate(units.limit(0)).count() == 0
