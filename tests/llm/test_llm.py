@@ -882,11 +882,15 @@ def test_likeness_is_jaccard_of_least_names():
 def test_pipeline(spark, odd, empty):
     import corpus_pipeline as c
 
-    assert c.run(spark, SF).count() > 0
+    rows = c.run(spark, SF).where("n_tokens > 0").toPandas()
+    assert rows.doc_id.nunique() > 100 and rows.groupby("bin").n_tokens.sum().max() <= packing.CAPACITY and not rows.duplicated(["bin", "place"]).any()
     for table in (odd.select(SCHEMA.replace(" long", "").replace(" string", "").split(", ")), empty):
         now = table
         for k, (_, stage) in enumerate(c.STAGES):
             now = stage(spark, now, SF)
             if k + 1 < len(c.STAGES):
                 assert now.columns == table.columns
-        assert now.count() >= 0
+        placed = now.where("n_tokens > 0").toPandas()
+        assert now.where("n_tokens > 0 AND bin IS NULL").isEmpty() and not placed.duplicated(["bin", "place"]).any()
+        assert placed.empty or placed.groupby("bin").n_tokens.sum().max() <= packing.CAPACITY
+        assert table is not empty or now.isEmpty()
