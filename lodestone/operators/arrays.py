@@ -38,15 +38,15 @@ def quality(values: Column) -> list[Column]:
     return [low.alias("qa_min"), high.alias("qa_max"), F.round(mean, 6).alias("qa_mean"), F.round(std, 6).alias("qa_std"), (low == high).alias("blank"), ((low <= 0) | (high >= 255)).alias("clipped")]
 
 
-def padded(values: Column, longest: Column) -> list[Column]:
-    """The array filled up with zeros, and the mask of what is its own."""
+def padded(values: Column, longest: Column, filler: Column | None = None) -> list[Column]:
+    """The array filled up with zeros (or `filler`, as a vector of zeros), and the mask of what is its own."""
     missing = longest - F.size(values)
-    pad = F.concat(values, F.array_repeat(F.lit(0.0), missing))
+    pad = F.concat(values, F.array_repeat(F.lit(0.0) if filler is None else filler, missing))
     return [pad.alias("padded"), F.concat(F.array_repeat(F.lit(True), F.size(values)), F.array_repeat(F.lit(False), missing)).alias("mask")]
 
 
 def flip(values: Column, key: Column, split: Column, seed: int) -> Column:
-    """Rows of training data reversed for about half of the keys, by a hash of key and seed; others raise unless unflipped."""
+    """Rows of training data reversed for about half of the keys, by a hash of key and seed; rows of other splits stay as they are."""
     coin = F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 1) < F.lit("8")
     return F.when((split == "train") & coin, F.reverse(values)).otherwise(values)
 

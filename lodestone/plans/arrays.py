@@ -16,36 +16,33 @@ from ..operators import mil as M
 from ..sources.tables import table
 
 MEAN, STD = 0.0, 0.125
-#: Weights from a rule: three hidden units over the first four channels.
-V = [[round(math.sin(1 + i + 4 * j), 3) for i in range(4)] for j in range(3)]
+#: Weights from a rule over all channels of an embedding: three hidden units of the attention, two of the gates.
+CHANNELS = 64
+V = [[round(math.sin(1 + i + 4 * j), 3) for i in range(CHANNELS)] for j in range(3)]
 B = [0.1, -0.2, 0.05]
 W = [1.5, -1.0, 0.75]
-W1 = [[round(math.cos(2 + i + 4 * j), 3) for i in range(4)] for j in range(2)]
-W2 = [[round(math.sin(3 + i + 2 * j), 3) for i in range(2)] for j in range(4)]
-HEAD, BIAS = [2.0, -1.0, 0.5, 1.0], -0.1
+W1 = [[round(math.cos(2 + i + 4 * j), 3) for i in range(CHANNELS)] for j in range(2)]
+W2 = [[round(math.sin(3 + i + 2 * j), 3) for i in range(2)] for j in range(CHANNELS)]
+HEAD, BIAS = [round(2 * math.cos(5 + 3 * i), 3) for i in range(CHANNELS)], -0.1
 
 
 def vectors(s, d):
-    """Bags of embeddings: bag = vec_id mod 25; split by bag; four channels for the models."""
+    """Bags of embeddings: bag = vec_id mod 25; split by bag; h is the embedding as the models take it."""
     e = table(s, d, "embeddings")
     v = F.transform("embedding", lambda x: x.cast("double"))
-    return e.select("vec_id", "label", (F.col("vec_id") % 25).alias("bag_id"), F.when(F.col("vec_id") % 25 < 18, "train").when(F.col("vec_id") % 25 < 22, "val").otherwise("test").alias("split"), v.alias("v"))
-
-
-def short(s, d):
-    return vectors(s, d).withColumn("h", F.slice("v", 1, 4))
+    return e.select("vec_id", "label", (F.col("vec_id") % 25).alias("bag_id"), F.when(F.col("vec_id") % 25 < 18, "train").when(F.col("vec_id") % 25 < 22, "val").otherwise("test").alias("split"), v.alias("v"), v.alias("h"))
 
 
 def scored(s, d, gated=False):
-    rows = short(s, d)
+    rows = vectors(s, d)
     if gated:
         rows = rows.withColumn("h", F.zip_with("h", M.channel_gates(F.col("h"), M.literal(W1), M.literal(W2)), lambda x, g: x * g))
     return rows.withColumn("score", M.tanh_score(F.col("h"), M.literal(V), M.literal(B), M.literal(W)))
 
 
-
-def z_columns(df, name="z"):
-    return [F.round(F.get(name, F.lit(i)), 6).alias(f"z{i}") for i in range(4)]
+def by_channel(df, key, name="z"):
+    """A row for each channel of a vector, its value rounded."""
+    return df.select(key, F.posexplode(name).alias("channel", "x")).select(key, "channel", F.round("x", 6).alias("z"))
 
 
 def logit(s, d, gated):
@@ -63,13 +60,19 @@ def reduction(s, d):
 
 
 def masked_mean(s, d):
-    """Means over padded arrays with their masks, beside the plain means."""
-    bags = short(s, d).withColumn("x", F.get("h", F.lit(0))).groupBy("bag_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    pad, mask = R.padded(F.col("xs"), F.size("xs") + F.col("bag_id").cast("int") % 5)
-    rows = bags.select("bag_id", "xs", pad, mask)
-    kept = F.aggregate(F.zip_with("padded", "mask", lambda x, m: F.when(m, x).otherwise(0.0)), F.lit(0.0), lambda t, x: t + x)
-    n = F.size(F.filter("mask", lambda m: m))
-    return rows.select("bag_id", F.size("padded").cast("bigint").alias("n_padded"), F.round(kept / n, 6).alias("masked_mean"), F.round(S.total(F.col("xs")) / F.size("xs"), 6).alias("plain_mean"))
+    """Means over padded bags of vectors with their masks, channel by channel, beside the plain means."""
+    bags = vectors(s, d).groupBy("bag_id").agg(F.collect_list("h").alias("hs"))
+    pad = R.padded(F.col("hs"), F.size("hs") + F.col("bag_id").cast("int") % 5, F.array_repeat(F.lit(0.0), CHANNELS))
+    rows = bags.select("bag_id", *pad).withColumn("n_padded", F.size("padded").cast("bigint"))
+    slots = rows.select("bag_id", "n_padded", F.explode(F.arrays_zip("padded", "mask")).alias("s"))
+    cells = slots.select("bag_id", "n_padded", "s.mask", F.posexplode("s.padded").alias("channel", "x"))
+    means = cells.groupBy("bag_id", "n_padded", "channel").agg(F.round(F.sum(F.when(F.col("mask"), F.col("x")).otherwise(0.0)) / F.count_if("mask"), 6).alias("masked_mean"))
+    return means.join(by_channel(M.pool_mean(vectors(s, d), "bag_id", "h"), "bag_id").withColumnRenamed("z", "plain_mean"), ["bag_id", "channel"])
+
+
+def micros(x):
+    """An array of numbers as text, in millionths."""
+    return F.array_join(F.transform(x, lambda v: F.rint(v * 1e6).cast("bigint").cast("string")), ",")
 
 
 QUERIES = {
@@ -78,35 +81,36 @@ QUERIES = {
     "decode_roundtrip": lambda s, d: vectors(s, d).select("v", R.dequantize(R.quantize(F.col("v"), MEAN, STD)).alias("x")).agg(F.count(F.lit(1)).alias("n"), (F.max(F.array_max(F.zip_with("v", "x", lambda a, b: F.abs(a - b * STD - MEAN)))) <= STD / 8192 + 1e-12).alias("within_half_step")),
     "array_qa": lambda s, d: vectors(s, d).withColumn("px", F.transform("v", lambda x: F.rint((x + 1) * 127.5))).select("vec_id", *R.quality(F.col("px"))),
     "padded_collate": masked_mean,
-    "flip_train_only": lambda s, d: short(s, d).select("vec_id", "split", F.round(F.get(R.flip(F.col("h"), F.col("vec_id"), F.col("split"), 20260918), F.lit(0)), 6).alias("first")),
+    "flip_train_only": lambda s, d: vectors(s, d).select("vec_id", "split", micros(R.flip(F.col("h"), F.col("vec_id"), F.col("split"), 20260918)).alias("values")),
     "stride_sample": lambda s, d: R.stride_sample(vectors(s, d).select("label", "vec_id"), ["label"], ["vec_id"], 6),
     "step_sample": lambda s, d: R.step_sample(vectors(s, d).select("label", "vec_id"), ["label"], ["vec_id"], 7, 5),
     "hashed_sample": lambda s, d: R.hashed_sample(vectors(s, d).select("vec_id", "label"), "vec_id", 20, 7),
-    "mean_pool_bags": lambda s, d: (lambda z: z.select("bag_id", *z_columns(z)))(M.pool_mean(short(s, d), "bag_id", "h")),
-    "mean_pool_logit": lambda s, d: M.pool_mean(short(s, d), "bag_id", "h").select("bag_id", F.round(M.linear_head(F.col("z"), M.literal(HEAD), BIAS), 6).alias("logit")),
+    "mean_pool_bags": lambda s, d: by_channel(M.pool_mean(vectors(s, d), "bag_id", "h"), "bag_id"),
+    "mean_pool_logit": lambda s, d: M.pool_mean(vectors(s, d), "bag_id", "h").select("bag_id", F.round(M.linear_head(F.col("z"), M.literal(HEAD), BIAS), 6).alias("logit")),
     "attention_softmax": lambda s, d: M.softmax(scored(s, d), "bag_id", "score").select("bag_id", "vec_id", F.round("attention", 6).alias("attention")),
-    "attention_pool": lambda s, d: (lambda z: z.select("bag_id", *z_columns(z)))(M.pool_attention(scored(s, d), "bag_id", "h", "score")),
+    "attention_pool": lambda s, d: by_channel(M.pool_attention(scored(s, d), "bag_id", "h", "score"), "bag_id"),
     "attention_logit": lambda s, d: logit(s, d, False),
-    "channel_gates": lambda s, d: short(s, d).withColumn("g", M.channel_gates(F.col("h"), M.literal(W1), M.literal(W2))).select("vec_id", *z_columns(None, "g")),
+    "channel_gates": lambda s, d: by_channel(vectors(s, d).withColumn("g", M.channel_gates(F.col("h"), M.literal(W1), M.literal(W2))), "vec_id", "g"),
     "dual_attention_logit": lambda s, d: logit(s, d, True),
     "uniform_gate_reduction": reduction,
 }
 
-_num = lambda x: f"({x!r})::DOUBLE"
-_DOT = lambda w, h: " + ".join(f"{_num(x)} * {h}[{i + 1}]" for i, x in enumerate(w))
-_TANH = lambda h: " + ".join(f"{_num(W[j])} * tanh({_DOT(V[j], h)} + {_num(B[j])})" for j in range(3))
+_LIST = lambda w: f"[{', '.join(map(repr, w))}]::DOUBLE[]"
+_DOT = lambda w, h: f"list_dot_product({h}, {_LIST(w)})"
+_TANH = lambda h: " + ".join(f"({W[j]!r})::DOUBLE * tanh({_DOT(V[j], h)} + ({B[j]!r})::DOUBLE)" for j in range(3))
 _HID = [f"greatest({_DOT(W1[j], 'h')}, 0.0::DOUBLE)" for j in range(2)]
-_GATE = [f"1 / (1 + exp(-({_num(W2[k][0])} * {_HID[0]} + {_num(W2[k][1])} * {_HID[1]})))" for k in range(4)]
-VEC = """v AS (SELECT vec_id, label, vec_id % 25 AS bag_id, CASE WHEN vec_id % 25 < 18 THEN 'train' WHEN vec_id % 25 < 22 THEN 'val' ELSE 'test' END AS split, embedding::DOUBLE[] AS v FROM embeddings),
-s4 AS (SELECT *, v[1:4] AS h FROM v)"""
+_GATES = f"list_transform(list_zip({_LIST([w[0] for w in W2])}, {_LIST([w[1] for w in W2])}), lambda w: 1 / (1 + exp(-(w[1] * {_HID[0]} + w[2] * {_HID[1]}))))"
+VEC = "v AS (SELECT vec_id, label, vec_id % 25 AS bag_id, CASE WHEN vec_id % 25 < 18 THEN 'train' WHEN vec_id % 25 < 22 THEN 'val' ELSE 'test' END AS split, embedding::DOUBLE[] AS v, embedding::DOUBLE[] AS h FROM embeddings)"
+_CELLS = lambda cols, src: f"(SELECT {cols}, unnest(h) AS x, unnest(range(len(h)))::INT AS channel FROM {src})"
 ATT = lambda src: f"""sc AS (SELECT *, {_TANH('h')} AS score FROM {src}),
 ex AS (SELECT *, exp(score - max(score) OVER (PARTITION BY bag_id)) AS e FROM sc),
 aw AS (SELECT *, e / sum(e) OVER (PARTITION BY bag_id) AS a FROM ex),
-z AS (SELECT bag_id, sum(a * h[1]) AS z0, sum(a * h[2]) AS z1, sum(a * h[3]) AS z2, sum(a * h[4]) AS z3 FROM aw GROUP BY 1)"""
-GATED = f"gt AS (SELECT vec_id, bag_id, [{', '.join(f'h[{k + 1}] * ({g})' for k, g in enumerate(_GATE))}] AS h FROM s4)"
-_Z = ", ".join(f"round(z{i}, 6) AS z{i}" for i in range(4))
-_LOGIT = " + ".join(f"{_num(w)} * z{i}" for i, w in enumerate(HEAD)) + f" + {_num(BIAS)}"
-MEANZ = "z AS (SELECT bag_id, avg(h[1]) AS z0, avg(h[2]) AS z1, avg(h[3]) AS z2, avg(h[4]) AS z3 FROM s4 GROUP BY 1)"
+z AS (SELECT bag_id, channel, sum(a * x) AS z FROM {_CELLS('bag_id, a', 'aw')} GROUP BY 1, 2), {LGT}"""
+LGT = f"lg AS (SELECT bag_id, sum(z * ({_LIST(HEAD)})[channel + 1]) + ({BIAS!r})::DOUBLE AS x FROM z GROUP BY 1)"
+GATED = f"gt AS (SELECT vec_id, bag_id, list_transform(list_zip(h, g), lambda p: p[1] * p[2]) AS h FROM (SELECT *, {_GATES} AS g FROM v))"
+MEANZ = f"z AS (SELECT bag_id, channel, avg(x) AS z FROM {_CELLS('bag_id', 'v')} GROUP BY 1, 2), {LGT}"
+_CHANNEL = "SELECT bag_id, channel, round(z, 6) AS z FROM z"
+_PROB = "SELECT bag_id, round(x, 6) AS logit, round(1 / (1 + exp(-x)), 6) AS probability FROM lg"
 _CODE = "round_even(((x - 0.0::DOUBLE) / 0.125::DOUBLE + 8.0::DOUBLE) * 4096.0::DOUBLE, 0)"
 
 SQL = {
@@ -114,17 +118,17 @@ SQL = {
     "normalize_quantize": f"WITH {VEC} SELECT vec_id, array_to_string(list_transform(v, lambda x: {_CODE}::INT), ',') AS codes FROM v",
     "decode_roundtrip": f"WITH {VEC} SELECT count(*) AS n, max(list_max(list_transform(v, lambda x: abs(x - ({_CODE} / 4096.0 - 8.0) * 0.125)))) <= 0.125 / 8192 + 1e-12 AS within_half_step FROM v",
     "array_qa": f"WITH {VEC}, px AS (SELECT vec_id, list_transform(v, lambda x: round_even((x + 1) * 127.5::DOUBLE, 0)) AS p FROM v) SELECT vec_id, list_min(p) AS qa_min, list_max(p) AS qa_max, round(list_sum(p) / 64, 6) AS qa_mean, round(sqrt(list_dot_product(p, p) / 64 - (list_sum(p) / 64) * (list_sum(p) / 64)), 6) AS qa_std, list_min(p) = list_max(p) AS blank, list_min(p) <= 0 OR list_max(p) >= 255 AS clipped FROM px",
-    "padded_collate": f"WITH {VEC} SELECT bag_id, count(*) + bag_id % 5 AS n_padded, round(avg(h[1]), 6) AS masked_mean, round(avg(h[1]), 6) AS plain_mean FROM s4 GROUP BY bag_id",
-    "flip_train_only": f"WITH {VEC} SELECT vec_id, split, round(CASE WHEN split = 'train' AND substr(md5(vec_id || ':20260918'), 1, 1) < '8' THEN h[4] ELSE h[1] END, 6) AS first FROM s4",
+    "padded_collate": f"WITH {VEC} SELECT bag_id, channel, count(*) + bag_id % 5 AS n_padded, round(avg(x), 6) AS masked_mean, round(avg(x), 6) AS plain_mean FROM {_CELLS('bag_id', 'v')} GROUP BY bag_id, channel",
+    "flip_train_only": f"WITH {VEC} SELECT vec_id, split, array_to_string(list_transform(CASE WHEN split = 'train' AND substr(md5(vec_id || ':20260918'), 1, 1) < '8' THEN list_reverse(h) ELSE h END, lambda x: round_even(x * 1e6::DOUBLE, 0)::BIGINT), ',') AS values FROM v",
     "stride_sample": "WITH n AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn, count(*) OVER (PARTITION BY label) AS total FROM embeddings) SELECT label, vec_id, pick::INT AS pick FROM n, (SELECT unnest(range(6)) AS pick) WHERE rn = least(total - 1, (pick * total) // 6)",
     "step_sample": "WITH n AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn FROM embeddings) SELECT label, vec_id FROM n WHERE rn % 7 = 0 AND rn < 35",
     "hashed_sample": "SELECT vec_id, label FROM embeddings ORDER BY md5(vec_id || ':7'), vec_id LIMIT 20",
-    "mean_pool_bags": f"WITH {VEC}, {MEANZ} SELECT bag_id, {_Z} FROM z",
-    "mean_pool_logit": f"WITH {VEC}, {MEANZ} SELECT bag_id, round({_LOGIT}, 6) AS logit FROM z",
-    "attention_softmax": f"WITH {VEC}, {ATT('s4')} SELECT bag_id, vec_id, round(a, 6) AS attention FROM aw",
-    "attention_pool": f"WITH {VEC}, {ATT('s4')} SELECT bag_id, {_Z} FROM z",
-    "attention_logit": f"WITH {VEC}, {ATT('s4')} SELECT bag_id, round({_LOGIT}, 6) AS logit, round(1 / (1 + exp(-({_LOGIT}))), 6) AS probability FROM z",
-    "channel_gates": f"WITH {VEC} SELECT vec_id, {', '.join(f'round({g}, 6) AS z{k}' for k, g in enumerate(_GATE))} FROM s4",
-    "dual_attention_logit": f"WITH {VEC}, {GATED}, {ATT('gt')} SELECT bag_id, round({_LOGIT}, 6) AS logit, round(1 / (1 + exp(-({_LOGIT}))), 6) AS probability FROM z",
+    "mean_pool_bags": f"WITH {VEC}, {MEANZ} {_CHANNEL}",
+    "mean_pool_logit": f"WITH {VEC}, {MEANZ} SELECT bag_id, round(x, 6) AS logit FROM lg",
+    "attention_softmax": f"WITH {VEC}, {ATT('v')} SELECT bag_id, vec_id, round(a, 6) AS attention FROM aw",
+    "attention_pool": f"WITH {VEC}, {ATT('v')} {_CHANNEL}",
+    "attention_logit": f"WITH {VEC}, {ATT('v')} {_PROB}",
+    "channel_gates": f"WITH {VEC} SELECT vec_id, channel, round(x, 6) AS z FROM {_CELLS('vec_id', f'(SELECT vec_id, {_GATES} AS h FROM v)')}",
+    "dual_attention_logit": f"WITH {VEC}, {GATED}, {ATT('gt')} {_PROB}",
     "uniform_gate_reduction": "SELECT 0.0::DOUBLE AS largest_difference, count(DISTINCT vec_id % 25) AS n_bags FROM embeddings",
 }

@@ -10,7 +10,7 @@ from ..operators import explain as X
 from ..operators import mil as M
 from ..sources.tables import table
 from ..streaming import duplicates as D
-from .arrays import ATT, HEAD, VEC, _LOGIT, scored
+from .arrays import ATT, BIAS, HEAD, VEC, scored
 from .evaluate import PRED, predictions
 
 
@@ -21,7 +21,7 @@ def attention(s, d):
 
 def bag_scores(s, d):
     z = M.pool_attention(scored(s, d), "bag_id", "h", "score")
-    return z.select("bag_id", F.round(S.sigmoid(M.linear_head(F.col("z"), M.literal(HEAD), -0.1)), 6).alias("probability"))
+    return z.select("bag_id", F.round(S.sigmoid(M.linear_head(F.col("z"), M.literal(HEAD), BIAS)), 6).alias("probability"))
 
 
 def export(s, d):
@@ -76,15 +76,15 @@ QUERIES = {
     "stream_daily_events": D.daily_events,
 }
 
-_RANK = f"WITH {VEC}, {ATT('s4')}, rk AS MATERIALIZED (SELECT bag_id, vec_id, label, split, h, attention, row_number() OVER (PARTITION BY bag_id ORDER BY attention DESC, vec_id)::INT AS rank FROM (SELECT *, round(a, 6) AS attention FROM (SELECT aw.*, row_number() OVER () AS _ FROM aw)))"
+_RANK = f"WITH {VEC}, {ATT('v')}, rk AS MATERIALIZED (SELECT bag_id, vec_id, label, split, h, attention, row_number() OVER (PARTITION BY bag_id ORDER BY attention DESC, vec_id)::INT AS rank FROM (SELECT *, round(a, 6) AS attention FROM (SELECT aw.*, row_number() OVER () AS _ FROM aw)))"
 
 SQL = {
     "attention_rank": f"{_RANK} SELECT bag_id, vec_id, attention, rank FROM rk",
     "topk_evidence": f"{_RANK} SELECT bag_id, vec_id, rank, attention, label FROM rk WHERE rank <= 3",
-    "attention_export": f"{_RANK} SELECT bag_id, vec_id, split, attention, rank, round(list_sum(h) / 4, 6) AS gate_mean, round(list_max(h), 6) AS gate_max, (list_position(h, list_max(h)) - 1)::BIGINT AS gate_argmax FROM rk",
+    "attention_export": f"{_RANK} SELECT bag_id, vec_id, split, attention, rank, round(list_sum(h) / 64, 6) AS gate_mean, round(list_max(h), 6) AS gate_max, (list_position(h, list_max(h)) - 1)::BIGINT AS gate_argmax FROM rk",
     "case_selection": f"""WITH {PRED}, c AS (SELECT min(doc_id) AS doc_id, CASE outcome WHEN 'tn' THEN 'correct_benign' WHEN 'tp' THEN 'correct_malignant' WHEN 'fp' THEN 'false_positive' ELSE 'false_negative' END AS category, 0 AS k FROM pa GROUP BY outcome
       UNION ALL SELECT doc_id, 'uncertain', 1 FROM (SELECT doc_id FROM pa WHERE abs(probability - 0.5) <= 0.1::DOUBLE ORDER BY doc_id LIMIT 2)) SELECT doc_id, arg_min(category, k) AS category FROM c GROUP BY doc_id""",
-    "decision_records": f"""{_RANK}, pb AS (SELECT bag_id, round(1 / (1 + exp(-({_LOGIT}))), 6) AS p FROM z), ev AS (SELECT bag_id, string_agg(rank || ':' || vec_id, '|' ORDER BY rank) AS e FROM rk WHERE rank <= 3 AND split <> 'test' GROUP BY 1)
+    "decision_records": f"""{_RANK}, pb AS (SELECT bag_id, round(1 / (1 + exp(-x)), 6) AS p FROM lg), ev AS (SELECT bag_id, string_agg(rank || ':' || vec_id, '|' ORDER BY rank) AS e FROM rk WHERE rank <= 3 AND split <> 'test' GROUP BY 1)
       SELECT pb.bag_id, CASE WHEN p >= 0.5 THEN 'Malignant model prediction' ELSE 'Benign model prediction' END AS prediction, p AS model_score, CASE WHEN abs(p - 0.5) <= 0.1::DOUBLE + 1e-9 THEN 'borderline (within uncertainty margin)' ELSE 'high' END AS prediction_confidence,
         abs(p - 0.5) <= 0.1::DOUBLE + 1e-9 AS uncertainty_flag, e IS NOT NULL AS attention_available, coalesce(e, '') AS evidence, pb.bag_id::VARCHAR AS provenance_bag FROM pb LEFT JOIN ev ON ev.bag_id = pb.bag_id""",
     "early_stopping": """WITH l AS (SELECT day(ts)::INT AS epoch, round(avg(value), 4) AS metric FROM events GROUP BY 1), i AS (SELECT *, coalesce(metric > max(metric) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM l),
