@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,51 +43,82 @@ def word_simhash(texts: DataFrame, key: str, text: str) -> DataFrame:
     return sums.select(key, S.bits_to_long(F.array(*upper, *lower)).alias("hash"))
 
 
-def banded_pairs(hashes: DataFrame, key: str, most: int = 7, bands: int = 4) -> DataFrame:
+def band_plan(n: int, most: int = 7) -> dict[str, int]:
+    """bands and radius for n hashes: few rows and candidates, so wider bands for more hashes.
+
+    With b bands some band of a near pair differs in at most most // b bits.
+    """
+    ball = lambda width, r: sum(math.comb(width, k) for k in range(r + 1))
+
+    def cost(b: int) -> float:
+        width, r = 64 // b, most // b
+        return b * n * (ball(width, r // 2) + ball(width, r - r // 2) + n * ball(width, r) / 2**width)
+
+    bands = min(range(2, most + 2), key=cost)
+    return {"bands": bands, "radius": most // bands}
+
+
+def banded_pairs(hashes: DataFrame, key: str, most: int = 7, bands: int = 4, radius: int = 1) -> DataFrame:
     """(a, b, hamming) of rows (key, hash) with at most `most` differing bits, a < b.
 
-    64 / bands bits make a band.  Rows that differ in fewer bits than twice the
-    bands agree in some band but for one bit at most; so one side is joined by its
-    band values, the other by its values and those one bit away.  Wide bands keep
-    the candidates few.  Equal hashes are joined once: the bands are those of
-    distinct hashes.
+    The candidates are those of `near_hashes`.  Equal hashes are joined once: the
+    bands are those of distinct hashes.
     """
-    near = near_hashes(hashes.select("hash").distinct(), most, bands)
+    near = near_hashes(hashes.select("hash").distinct(), most, bands, radius)
     both = near.union(hashes.select("hash", F.col("hash").alias("other"), F.lit(0).alias("hamming")).distinct())
     a, b = hashes.select(F.col(key).alias("a"), "hash"), hashes.select(F.col(key).alias("b"), F.col("hash").alias("other"))
-    pairs = both.join(a, "hash").join(b, "other").where((F.col("hash") != F.col("other")) | (F.col("a") < F.col("b")))
+    return _expanded(both.join(a, "hash").join(b, "other"))
+
+
+def _expanded(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.where((F.col("hash") != F.col("other")) | (F.col("a") < F.col("b")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "hamming")
 
 
-def near_edges(hashes: DataFrame, key: str, most: int = 7, bands: int = 4) -> DataFrame:
+def near_edges(hashes: DataFrame, key: str, most: int = 7, bands: int = 4, radius: int = 1) -> DataFrame:
     """(a, b): edges with the components of `banded_pairs`: near distinct hashes by their least rows, and a star for the rows of one hash."""
     heads = hashes.groupBy("hash").agg(F.min(key).alias("head"))
-    near = near_hashes(heads.select("hash"), most, bands)
+    near = near_hashes(heads.select("hash"), most, bands, radius)
     a, b = heads.select("hash", F.col("head").alias("a")), heads.select(F.col("hash").alias("other"), F.col("head").alias("b"))
     stars = hashes.join(heads, "hash").where(F.col(key) != F.col("head")).select(F.col(key).alias("a"), F.col("head").alias("b"))
     return near.join(a, "hash").join(b, "other").select("a", "b").union(stars)
 
 
-def near_hashes(distinct: DataFrame, most: int = 7, bands: int = 4) -> DataFrame:
-    """(hash, other, hamming) of distinct hashes with at most `most` differing bits, hash < other."""
-    if most >= 2 * bands:
-        raise ValueError("the bands are complete for fewer differing bits than twice the bands only")
-    width = 64 // bands
-    cut = F.array(*[F.shiftrightunsigned("hash", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(bands)])
-    banded = distinct.select("hash", F.posexplode(cut).alias("band", "value"))
-    flips = F.explode(F.lit([0, *(1 << i for i in range(width))]))
-    right = banded.select(F.col("hash").alias("other"), "band", "value", flips.alias("flip")).select("other", "band", F.col("value").bitwiseXOR(F.col("flip").cast("bigint")).alias("value"))
-    near = banded.join(right, ["band", "value"]).where(F.col("hash") < F.col("other"))
+def near_hashes(distinct: DataFrame, most: int = 7, bands: int = 4, radius: int = 1, within: tuple[str, ...] = ()) -> DataFrame:
+    """(*within, hash, other, hamming) of distinct rows (*within, hash) with at most `most` differing bits, hash < other.
+
+    64 / bands bits make a band.  Rows that differ in fewer bits than (radius + 1)
+    times the bands agree in some band but for `radius` bits: one side is joined by
+    its band values with half of these turned, the other with the rest.
+    """
+    if most >= (radius + 1) * bands:
+        raise ValueError("the bands are complete for fewer differing bits than (radius + 1) times the bands only")
+    edges = [64 * k // bands for k in range(bands + 1)]
+    masks = [F.lit((1 << (b - a)) - 1) for a, b in itertools.pairwise(edges)]
+    cut = F.array(*[F.shiftrightunsigned("hash", a).bitwiseAND(m.cast("bigint")) for a, m in zip(edges, masks)])
+    banded = distinct.select(*within, "hash", F.posexplode(cut).alias("band", "value"))
+
+    def turned(bits: int) -> DataFrame:
+        if bits == 0:
+            return banded
+        width = max(b - a for a, b in itertools.pairwise(edges))
+        flips = [sum(1 << i for i in c) for k in range(bits + 1) for c in itertools.combinations(range(width), k)]
+        return banded.withColumn("value", F.explode(F.transform(F.lit(flips), lambda m: F.col("value").bitwiseXOR(m.cast("bigint")))))
+
+    right = turned(radius - radius // 2).withColumnRenamed("hash", "other")
+    near = turned(radius // 2).join(right, [*within, "band", "value"]).where(F.col("hash") < F.col("other"))
     near = near.withColumn("hamming", S.hamming(F.col("hash"), F.col("other"))).where(F.col("hamming") <= most)
-    return near.select("hash", "other", "hamming").distinct()
+    return near.select(*within, "hash", "other", "hamming").distinct()
 
 
-def pairs_in_groups(rows: DataFrame, key: str, group: str, found: DataFrame, most: int = 7) -> DataFrame:
-    """(a, b, hamming) of close rows (key, group, hash) of one group that `found` lacks."""
-    left = rows.select(F.col(key).alias("a"), group, F.col("hash").alias("ha"))
-    right = rows.select(F.col(key).alias("b"), group, F.col("hash").alias("hb"))
-    near = left.join(right, group).where("a < b").withColumn("hamming", S.hamming(F.col("ha"), F.col("hb"))).where(F.col("hamming") <= most)
-    return near.select("a", "b", "hamming").join(found.select("a", "b"), ["a", "b"], "left_anti")
+def pairs_in_groups(rows: DataFrame, key: str, group: str, found: DataFrame, most: int = 7, bands: int = 4, radius: int = 1) -> DataFrame:
+    """(a, b, hamming) of close rows (key, group, hash) of one group that `found` lacks, by bands inside the groups."""
+    distinct = rows.select(group, "hash").distinct()
+    near = near_hashes(distinct, most, bands, radius, (group,))
+    both = near.union(distinct.select(group, "hash", F.col("hash").alias("other"), F.lit(0).alias("hamming")))
+    a, b = rows.select(F.col(key).alias("a"), group, "hash"), rows.select(F.col(key).alias("b"), group, F.col("hash").alias("other"))
+    pairs = _expanded(both.join(a, [group, "hash"]).join(b, [group, "other"]))
+    return pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def ssim_center(a: Column, b: Column, span: float = 255.0) -> Column:

@@ -14,7 +14,7 @@ from .audit import PARSED_SQL, parsed
 from .audit import SQL as AUDIT_SQL
 from .evaluate import PRED, predictions
 from .groups import GROUP_SQL, SPLIT_SQL, bag_rows, grouped, instances, path_pairs
-from .similarity import PX_SQL, SIM_SQL, contents, hashes, pairs, within_group
+from .similarity import PX_SQL, SIM_SQL, contents, edges, hashes, pairs, within_group
 
 
 def pixels(s, d, name):
@@ -39,7 +39,7 @@ def all_pairs(s, d):
 
 
 def near_summary(s, d):
-    roots = components(X.near_edges(hashes(s, d), "doc_id"))
+    roots = components(edges(s, d))
     return I.near_dup_summary(pairs(s, d), roots, contents(s, d).select(F.col("doc_id").alias("node"), F.col("source").alias("group")))
 
 

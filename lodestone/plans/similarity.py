@@ -22,8 +22,17 @@ def hashes(spark, d):
     return X.word_simhash(contents(spark, d), "doc_id", "text")
 
 
+def bands(spark, d, most=7):
+    """Bands for as many hashes as there are documents; the count comes from the files' footers."""
+    return X.band_plan(table(spark, d, "documents").count(), most)
+
+
 def pairs(spark, d):
-    return X.banded_pairs(hashes(spark, d), "doc_id")
+    return X.banded_pairs(hashes(spark, d), "doc_id", **bands(spark, d))
+
+
+def edges(spark, d):
+    return X.near_edges(hashes(spark, d), "doc_id", **bands(spark, d))
 
 
 def crosstab(spark, d):
@@ -36,11 +45,11 @@ def crosstab(spark, d):
 def within_group(spark, d):
     rows = hashes(spark, d).join(contents(spark, d).select("doc_id", "source"), "doc_id")
     # Pairs up to 9 bits inside a source that the join up to 7 has not found.
-    return X.pairs_in_groups(rows, "doc_id", "source", pairs(spark, d), 9)
+    return X.pairs_in_groups(rows, "doc_id", "source", pairs(spark, d), 9, **bands(spark, d, 9))
 
 
 def near_components(spark, d):
-    roots = components(X.near_edges(hashes(spark, d), "doc_id"))
+    roots = components(edges(spark, d))
     members = roots.join(contents(spark, d).select(F.col("doc_id").alias("node"), "md5", "source"), "node")
     return members.groupBy("root").agg(S.content_id("near-", F.collect_list("md5")).alias("near_group"), F.count(F.lit(1)).alias("n_files"), (F.countDistinct("source") > 1).alias("crosses"))
 

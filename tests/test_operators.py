@@ -125,6 +125,22 @@ def test_banded_pairs(spark):
         Y.banded_pairs(rows, "id", most=8)
 
 
+@pytest.mark.parametrize(("n", "most"), [(10, 7), (10**5, 7), (10**7, 7), (10**9, 7), (10**4, 9), (10**9, 9)])
+def test_band_plans(spark, n, most):
+    rng = np.random.default_rng(n % 97)
+    base = np.repeat(rng.integers(-(2**63), 2**63, 6, dtype=np.int64), 4)
+    for k in range(len(base)):
+        for bit in rng.integers(0, 64, k % 6):
+            base[k] ^= np.int64(-(2**63)) if bit == 63 else np.int64(1 << int(bit))
+    rows = spark.createDataFrame([(i, i % 2, int(x)) for i, x in enumerate(base)], "id int, g int, hash long")
+    u = base.view(np.uint64)
+    want = [(i, j, int(np.bitwise_count(u[i] ^ u[j]))) for i in range(len(u)) for j in range(i + 1, len(u)) if np.bitwise_count(u[i] ^ u[j]) <= most]
+    plan = Y.band_plan(n, most)
+    assert sorted(map(tuple, Y.banded_pairs(rows.drop("g"), "id", most, **plan).collect())) == want
+    none = rows.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    assert sorted(map(tuple, Y.pairs_in_groups(rows, "id", "g", none, most, **plan).collect())) == [p for p in want if p[0] % 2 == p[1] % 2]
+
+
 def test_class_guard(spark):
     rows = spark.createDataFrame([("a", "k", "benign", "1"), ("b", "k", "malignant", "2"), ("c", "k", "benign", "3"), ("d", None, "benign", "3"), ("e", None, "benign", "4")], "path string, source_key string, class_dir string, md5 string")
     got = {r.path: r.source_group_id for r in G.identity_groups(rows).collect()}
