@@ -2,47 +2,113 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names; only a local session without one gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint()
+#: Edges that one task joins at once in its memory.
+SLICE = 1 << 18
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for the nodes of edges of one slice that are not the least of their tree."""
+    codes, names = pd.factorize(np.concatenate([a, b]))
+    names = np.asarray(names)
+    # Numbers in the order of the names, so that the least number is the least name.
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[order] = np.arange(len(names))
+    ends = rank[codes].tolist()
+    up = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for x, y in zip(ends[: len(a)], ends[len(a) :]):
+        x, y = find(x), find(y)
+        if x < y:
+            up[y] = x
+        elif y < x:
+            up[x] = y
+    roots = np.fromiter((find(x) for x in range(len(up))), dtype=np.int64, count=len(up))
+    moved = np.flatnonzero(roots != np.arange(len(up)))
+    names = names[order]
+    return names[moved], names[roots[moved]]
+
+
+def forests(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components: in every task each slice of SLICE edges becomes stars, of a node and the least of its tree.
+
+    No more rows come out than nodes are in the slice, less one a tree; a task holds one slice.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def stars() -> pa.RecordBatch:
+            schema = held[0].schema
+            rows = pa.Table.from_batches(held)
+            node, root = _forest(rows.column("a").to_numpy(), rows.column("b").to_numpy())
+            return pa.RecordBatch.from_arrays([pa.array(node, type=schema.field("a").type), pa.array(root, type=schema.field("b").type)], schema=schema)
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= SLICE:
+                yield stars()
+                held, n = [], 0
+        if n:
+            yield stars()
+
+    kinds = dict(edges.dtypes)
+    return edges.select("a", "b").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}")
+
+
+def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): root is the least node that can be reached.
 
-    Every round takes each node's least neighbour as its parent, jumps from
-    parent to parent's parent until that changes nothing, and sends the edges to
-    the roots; equal ends drop out.  A round at least halves the nodes that still
-    have edges and the jumps double their length each time, so the work follows
-    the square of the logarithm of the number of nodes, not the diameter.
+    A round makes forests of the slices inside the tasks.  What is more than a slice is
+    then contracted: every node goes to its least neighbour, and on to where that
+    goes, twice; the edges follow.  A node and where it goes are in one component, so the ends
+    of what is left are connected as before, and a round leaves the nodes that others went to,
+    half of them at most.  When a slice holds all that is left, one task finishes it.
+    The moves of the rounds are undone backwards, by one join each.  Ids may be numbers or texts.
+    `rounds`, if given, takes the number of edges at the start of each round.
     """
-    edges = cut(edges.select("a", "b").where("a <> b").distinct())
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    parent = nodes.select("node", F.col("node").alias("root"))
-    while not edges.isEmpty():
+    scratch, moves = Scratch(edges.sparkSession, "components"), []
+    edges = scratch.write(forests(edges.where("a <> b")).distinct())
+    while True:
+        n = edges.count()
+        if rounds is not None:
+            rounds.append(n)
+        if n <= SLICE:
+            break
         both = edges.union(edges.select("b", "a"))
-        # A node's parent is never larger than the node, and has edges itself.
-        jump = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("up")))
-        while True:
-            far = cut(jump.join(jump.select(F.col("a").alias("up"), F.col("up").alias("up2")), "up").select("a", F.col("up2").alias("up"), (F.col("up") != F.col("up2")).alias("moved")))
-            jump = far.select("a", "up")
-            if far.where("moved").isEmpty():
-                break
-        parent = cut(parent.join(jump.select(F.col("a").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
-        moved = edges.join(jump.select("a", F.col("up").alias("x")), "a").join(jump.select(F.col("a").alias("b"), F.col("up").alias("y")), "b")
-        edges = cut(moved.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    return parent
+        up = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("up")))
+        for _ in range(2):
+            # Where a node goes is in the table itself, as it has edges too.
+            up = scratch.write(up.join(up.select(F.col("a").alias("up"), F.col("up").alias("further")), "up").select("a", F.col("further").alias("up")))
+        moves.append(up)
+        moved = edges.join(up.select("a", F.col("up").alias("x")), "a").join(up.select(F.col("a").alias("b"), F.col("up").alias("y")), "b")
+        edges = scratch.write(forests(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
+    # One slice: a single task, in bounded memory.
+    stars = scratch.write(forests(edges.coalesce(1)))
+    root = stars.toDF("node", "root")
+    for up in reversed(moves):
+        # A node without an edge in the later rounds is the root itself.
+        root = up.join(root.withColumnRenamed("node", "up"), "up", "left").select(F.col("a").alias("node"), F.coalesce("root", "up").alias("root"))
+    if moves:
+        return scratch.write(root)
+    return root.union(root.select(F.col("root").alias("node"), "root")).distinct()
 
 
 def star_edges(rows: DataFrame, key: list[str], node: str) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import groups as G
-from ..operators.graph import cut
+from ..sources.scratch import written
 from ..sources.tables import table
 from .audit import PARSED_SQL, parsed
-from .similarity import SIM_SQL, pairs
+from .similarity import SIM_SQL, edges, pairs
 
 
 def grouped(s, d):
@@ -19,16 +19,17 @@ def bag_rows(s, d):
     return G.bags(grouped(s, d))
 
 
-def path_pairs(s, d):
+def path_pairs(s, d, of=pairs):
     """Near-duplicate pairs of documents as pairs of paths."""
     p = parsed(s, d).select("doc_id", "path")
-    return pairs(s, d).join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    return of(s, d).join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
 
 
 def bags_and_units(s, d):
     """Bags and allocation units, each computed once for what reads them several times."""
-    b = cut(bag_rows(s, d))
-    return b, cut(G.allocation_units(b, path_pairs(s, d)))
+    b = written(bag_rows(s, d), "bags")
+    # The components need no more than the edges that hold them together.
+    return b, written(G.allocation_units(b, path_pairs(s, d, edges)), "units")
 
 
 def units(s, d):

@@ -18,6 +18,7 @@ from lodestone.operators import groups as G
 from lodestone.operators import integrity as I
 from lodestone.operators import mil as M
 from lodestone.operators import similarity as Y
+from lodestone.operators import graph
 from lodestone.operators.graph import components
 
 
@@ -112,6 +113,33 @@ def test_long_chain(spark):
     assert got.count() == n + 1 and got.where("root <> 0").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_components_of_many_slices(spark, monkeypatch, kind):
+    """A path in no order, a hub and triangles, with slices far smaller than the graph: few rounds, least roots."""
+    monkeypatch.setattr(graph, "SLICE", 100)
+    n, rounds, rng = 3000, [], np.random.default_rng(3)
+    ids = rng.permutation(n)
+    path = list(zip(ids[:-1].tolist(), ids[1:].tolist()))
+    hub = [(10000, 10000 + k) for k in range(1, 1000)]
+    small = [e for k in range(20000, 20600, 3) for e in ((k, k + 1), (k + 1, k + 2), (k + 2, k))]
+    edges = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in path + hub + small]
+    rng.shuffle(edges)
+    name = (lambda x: f"n{int(x):06d}") if kind == "string" else int
+    rows = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"a {kind}, b {kind}").repartition(7)
+    want = {name(k): name(0) for k in range(n)} | {name(10000 + k): name(10000) for k in range(1000)} | {name(k): name(20000 + (k - 20000) // 3 * 3) for k in range(20000, 20600)}
+    got = components(rows, rounds).collect()
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want
+    # Every round leaves half of the edges at most, the last one a slice.
+    assert len(rounds) <= math.log2(len(edges)) and all(b <= a / 2 for a, b in zip(rounds, rounds[1:])) and rounds[-1] <= 100
+
+
+def test_forest_is_bounded_by_nodes(spark, monkeypatch):
+    """A dense graph shrinks to less than its nodes in each task before anything is shuffled."""
+    rng = np.random.default_rng(1)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, (5000, 2))], "a int, b int").coalesce(2)
+    assert graph.forests(edges).count() <= 2 * 59
+
+
 def test_banded_pairs(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(-(2**63), 2**63, 12, dtype=np.int64)
