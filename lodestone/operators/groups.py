@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .graph import components, star_edges
+from .order import OrderIndex
 
 SPLITS = ("train", "val", "test")
 SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
@@ -76,9 +77,12 @@ def bags(grouped: DataFrame) -> DataFrame:
     )
 
 
-def size_stats(n: Column) -> list[Column]:
-    """Smallest, largest, mean, median and sum of bag sizes."""
-    return [F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg(n), 4).alias("mean"), F.median(n).alias("median"), F.sum(n).alias("instances")]
+def size_stats(rows: DataFrame, by: str, n: str, *more: Column) -> DataFrame:
+    """For each value of `by` other aggregates, and smallest, largest, mean, median and sum of the sizes `n`; the exact median comes from an index of counts."""
+    index = OrderIndex(rows, [by], [n])
+    stats = index.rows.groupBy(by).agg(*more, F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg(n), 4).alias("mean"), F.sum(n).alias("instances"))
+    medians = index.medians(n).withColumnRenamed(by, "_by")
+    return stats.join(medians, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
 
 
 def coverage(files: DataFrame, bag_rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import arrays as R
 from ..operators import mil as M
+from ..operators import order as O
 from ..sources.tables import table
 
 MEAN, STD = 0.0, 0.125
@@ -82,8 +83,8 @@ QUERIES = {
     "array_qa": lambda s, d: vectors(s, d).withColumn("px", F.transform("v", lambda x: F.rint((x + 1) * 127.5))).select("vec_id", *R.quality(F.col("px"))),
     "padded_collate": masked_mean,
     "flip_train_only": lambda s, d: vectors(s, d).select("vec_id", "split", micros(R.flip(F.col("h"), F.col("vec_id"), F.col("split"), 20260918)).alias("values")),
-    "stride_sample": lambda s, d: R.stride_sample(vectors(s, d).select("label", "vec_id"), ["label"], ["vec_id"], 6),
-    "step_sample": lambda s, d: R.step_sample(vectors(s, d).select("label", "vec_id"), ["label"], ["vec_id"], 7, 5),
+    "stride_sample": lambda s, d: O.stride_sample(vectors(s, d).select("label", "vec_id"), ["label"], ["vec_id"], 6),
+    "step_sample": lambda s, d: O.step_sample(vectors(s, d).select("label", "vec_id"), ["label"], ["vec_id"], 7, 5),
     "hashed_sample": lambda s, d: R.hashed_sample(vectors(s, d).select("vec_id", "label"), "vec_id", 20, 7),
     "mean_pool_bags": lambda s, d: by_channel(M.pool_mean(vectors(s, d), "bag_id", "h"), "bag_id"),
     "mean_pool_logit": lambda s, d: M.pool_mean(vectors(s, d), "bag_id", "h").select("bag_id", F.round(M.linear_head(F.col("z"), M.literal(HEAD), BIAS), 6).alias("logit")),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import arrays as R
 from ..operators import explain as X
 from ..operators import mil as M
+from ..operators import order as O
 from ..sources.tables import table
 from ..streaming import duplicates as D
 from .arrays import ATT, BIAS, HEAD, VEC, scored
@@ -56,9 +56,11 @@ def turns(s, d):
 def median_groups(s, d):
     """Smallest, median and largest conversation by (turns, id), of each first role."""
     rows = table(s, d, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("role"), F.count(F.lit(1)).alias("n"))
-    c = R.numbered(rows, ["role"], ["n", "conv_id"])
-    place = F.when(F.col("rn") == 0, "smallest").when(F.col("rn") == F.floor(F.col("total") / 2), "median").when(F.col("rn") == F.col("total") - 1, "largest")
-    return c.withColumn("place", place).where("place IS NOT NULL").select("role", "place", "conv_id", "n")
+    # A group of one is its smallest, one of two has no median of its own: an earlier name takes a row.
+    found = O.middle_rows(rows, ["role"], ["n", "conv_id"])
+    named = F.when(F.col("at") == "smallest", 0).when(F.col("at") == "median", 1).otherwise(2)
+    one = found.groupBy("role", "conv_id", "n").agg(F.min(F.struct(named.alias("k"), "at")).alias("first"))
+    return one.select("role", F.col("first.at").alias("place"), "conv_id", "n")
 
 
 QUERIES = {

@@ -45,7 +45,7 @@ def statistics(s, d):
     rows = instances(s, d)
     by_bag = rows.groupBy("split", "unit_id", "bag_id", "bag_label").agg(F.count(F.lit(1)).alias("n"))
     of = lambda c: F.sum(F.when(F.col("bag_label") == c, F.col("n")).otherwise(0)).alias(c)
-    return by_bag.groupBy("split").agg(F.countDistinct("unit_id").alias("units"), F.count(F.lit(1)).alias("bags"), of("benign"), of("malignant"), *G.size_stats(F.col("n")))
+    return G.size_stats(by_bag, "split", "n", F.countDistinct("unit_id").alias("units"), F.count(F.lit(1)).alias("bags"), of("benign"), of("malignant"))
 
 
 def group_summary(s, d):
@@ -74,7 +74,7 @@ QUERIES = {
     "group_confidence": lambda s, d: G.group_confidence(grouped(s, d)),
     "group_summary": group_summary,
     "bag_manifest": lambda s, d: bag_rows(s, d).select("bag_id", "source_group_id", "bag_label", "n_labels", "instance_count", F.array_join("instances.path", "|").alias("instance_list"), F.array_join("instances.md5", "|").alias("instance_md5_list"), "n_keys", F.array_join("splits", "|").alias("splits"), (F.size("splits") > 1).alias("multi_split"), "original_candidate_path"),
-    "bag_size_stats": lambda s, d: bag_rows(s, d).groupBy("bag_label").agg(F.count(F.lit(1)).alias("bags"), *G.size_stats(F.col("instance_count"))),
+    "bag_size_stats": lambda s, d: G.size_stats(bag_rows(s, d).select("bag_label", "instance_count"), "bag_label", "instance_count", F.count(F.lit(1)).alias("bags")),
     "bag_coverage_violations": lambda s, d: G.coverage(parsed(s, d), bag_rows(s, d)),
     "allocation_units": lambda s, d: units(s, d).select("unit_id", F.array_join("bag_ids", ",").alias("bag_ids"), "instance_count", "benign", "malignant"),
     "greedy_allocation": lambda s, d: G.allocate(units(s, d)),

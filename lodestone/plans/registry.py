@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import arrays, audit, evaluate, explain, groups, integrity, similarity
+from . import arrays, audit, evaluate, explain, groups, images, integrity, similarity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (audit, similarity, groups, arrays, evaluate, explain, integrity):
+for _module in (audit, similarity, groups, arrays, evaluate, explain, integrity, images):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.SQL
