@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import arrays as R
+from ..operators import chunks as C
 from ..operators import mil as M
 from ..operators import order as O
+from ..sources.cache import read_cache, write_cache
+from ..sources.scratch import shared_dir
 from ..sources.tables import table
 
 MEAN, STD = 0.0, 0.125
@@ -71,6 +74,23 @@ def masked_mean(s, d):
     return means.join(by_channel(M.pool_mean(vectors(s, d), "bag_id", "h"), "bag_id").withColumnRenamed("z", "plain_mean"), ["bag_id", "channel"])
 
 
+def collated(s, d):
+    """Bags of vectors in chunks of 16 slots, the last one padded: what a masked mean over the chunks gives, and how many slots there are."""
+    padded = C.collated(vectors(s, d).select("bag_id", "vec_id", "h"), "bag_id", "h", CHANNELS, 16)
+    slots = padded.groupBy("bag_id").agg(F.sum(F.size("padded")).alias("n_padded"), F.count(F.lit(1)).alias("n_chunks"))
+    return C.masked_sums(padded, "bag_id").join(slots, "bag_id").select("bag_id", "channel", "n", "n_padded", "n_chunks", F.round(F.col("total") / F.col("n"), 6).alias("masked_mean"))
+
+
+def cached(s, d):
+    """Vectors written to a cache by what they are, and read back with every check."""
+    rows = vectors(s, d).select("vec_id", "split", F.transform("h", lambda x: x.cast("float")).alias("h"))
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids")).first()
+    identity = {"rows": "vectors", "of": d, "width": CHANNELS, "n": counts.n, "ids": counts.ids or 0}
+    root = f"{shared_dir(s)}/vector-cache"
+    write_cache(rows, root, identity)
+    return read_cache(s, root, identity, {"h": CHANNELS}).select("vec_id", "split", micros(F.transform("h", lambda x: x.cast("double"))).alias("values"))
+
+
 def micros(x):
     """An array of numbers as text, in millionths."""
     return F.array_join(F.transform(x, lambda v: F.rint(v * 1e6).cast("bigint").cast("string")), ",")
@@ -82,6 +102,8 @@ QUERIES = {
     "decode_roundtrip": lambda s, d: vectors(s, d).select("v", R.dequantize(R.quantize(F.col("v"), MEAN, STD)).alias("x")).agg(F.count(F.lit(1)).alias("n"), (F.max(F.array_max(F.zip_with("v", "x", lambda a, b: F.abs(a - b * STD - MEAN)))) <= STD / 8192 + 1e-12).alias("within_half_step")),
     "array_qa": lambda s, d: vectors(s, d).withColumn("px", F.transform("v", lambda x: F.rint((x + 1) * 127.5))).select("vec_id", *R.quality(F.col("px"))),
     "padded_collate": masked_mean,
+    "collated_chunks": collated,
+    "cached_vectors": cached,
     "flip_train_only": lambda s, d: vectors(s, d).select("vec_id", "split", micros(R.flip(F.col("h"), F.col("vec_id"), F.col("split"), 20260918)).alias("values")),
     "stride_sample": lambda s, d: O.stride_sample(vectors(s, d).select("label", "vec_id"), ["label"], ["vec_id"], 6),
     "step_sample": lambda s, d: O.step_sample(vectors(s, d).select("label", "vec_id"), ["label"], ["vec_id"], 7, 5),
@@ -120,6 +142,8 @@ SQL = {
     "decode_roundtrip": f"WITH {VEC} SELECT count(*) AS n, max(list_max(list_transform(v, lambda x: abs(x - ({_CODE} / 4096.0 - 8.0) * 0.125)))) <= 0.125 / 8192 + 1e-12 AS within_half_step FROM v",
     "array_qa": f"WITH {VEC}, px AS (SELECT vec_id, list_transform(v, lambda x: round_even((x + 1) * 127.5::DOUBLE, 0)) AS p FROM v) SELECT vec_id, list_min(p) AS qa_min, list_max(p) AS qa_max, round(list_sum(p) / 64, 6) AS qa_mean, round(sqrt(list_dot_product(p, p) / 64 - (list_sum(p) / 64) * (list_sum(p) / 64)), 6) AS qa_std, list_min(p) = list_max(p) AS blank, list_min(p) <= 0 OR list_max(p) >= 255 AS clipped FROM px",
     "padded_collate": f"WITH {VEC} SELECT bag_id, channel, count(*) + bag_id % 5 AS n_padded, round(avg(x), 6) AS masked_mean, round(avg(x), 6) AS plain_mean FROM {_CELLS('bag_id', 'v')} GROUP BY bag_id, channel",
+    "collated_chunks": f"WITH {VEC} SELECT bag_id, channel, count(*) AS n, (ceil(count(*) / 16) * 16)::BIGINT AS n_padded, ceil(count(*) / 16)::BIGINT AS n_chunks, round(avg(x), 6) AS masked_mean FROM {_CELLS('bag_id', 'v')} GROUP BY bag_id, channel",
+    "cached_vectors": f"WITH {VEC} SELECT vec_id, split, array_to_string(list_transform(h, lambda x: round_even(x * 1e6::DOUBLE, 0)::BIGINT), ',') AS values FROM v",
     "flip_train_only": f"WITH {VEC} SELECT vec_id, split, array_to_string(list_transform(CASE WHEN split = 'train' AND substr(md5(vec_id || ':20260918'), 1, 1) < '8' THEN list_reverse(h) ELSE h END, lambda x: round_even(x * 1e6::DOUBLE, 0)::BIGINT), ',') AS values FROM v",
     "stride_sample": "WITH n AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn, count(*) OVER (PARTITION BY label) AS total FROM embeddings) SELECT label, vec_id, pick::INT AS pick FROM n, (SELECT unnest(range(6)) AS pick) WHERE rn = least(total - 1, (pick * total) // 6)",
     "step_sample": "WITH n AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn FROM embeddings) SELECT label, vec_id FROM n WHERE rn % 7 = 0 AND rn < 35",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import chunks as C
 from ..operators import groups as G
 from ..sources.scratch import written
 from ..sources.tables import table
@@ -74,6 +75,7 @@ QUERIES = {
     "group_confidence": lambda s, d: G.group_confidence(grouped(s, d)),
     "group_summary": group_summary,
     "bag_manifest": lambda s, d: bag_rows(s, d).select("bag_id", "source_group_id", "bag_label", "n_labels", "instance_count", F.array_join("instances.path", "|").alias("instance_list"), F.array_join("instances.md5", "|").alias("instance_md5_list"), "n_keys", F.array_join("splits", "|").alias("splits"), (F.size("splits") > 1).alias("multi_split"), "original_candidate_path"),
+    "bag_chunks": lambda s, d: C.bag_chunks(grouped(s, d), 4, ("label",)).select("bag_id", "bag_label", "chunk", "first", "n", F.array_join("path", "|").alias("paths"), C.digest(F.col("md5")).alias("digest")),
     "bag_size_stats": lambda s, d: G.size_stats(bag_rows(s, d).select("bag_label", "instance_count"), "bag_label", "instance_count", F.count(F.lit(1)).alias("bags")),
     "bag_coverage_violations": lambda s, d: G.coverage(parsed(s, d), bag_rows(s, d)),
     "allocation_units": lambda s, d: units(s, d).select("unit_id", F.array_join("bag_ids", ",").alias("bag_ids"), "instance_count", "benign", "malignant"),
@@ -140,6 +142,8 @@ SQL = {
       SELECT *, CASE WHEN lineage THEN 'high' WHEN exact THEN 'medium' ELSE 'low' END AS level FROM (SELECT source_group_id, bool_or(source_key IS NOT NULL) AS lineage, bool_or(copied) AS exact FROM g JOIN c USING (md5) GROUP BY 1)""",
     "group_summary": f"{GROUP_SQL} SELECT size, count(*) AS n_groups, count(*) FILTER (WHERE n_splits > 1) AS n_multi_split FROM (SELECT source_group_id, count(*) AS size, count(DISTINCT split) AS n_splits FROM g GROUP BY 1) GROUP BY size",
     "bag_manifest": f"{GROUP_SQL} SELECT * FROM bg",
+    "bag_chunks": f"""{GROUP_SQL}, pl AS (SELECT g.*, row_number() OVER (PARTITION BY source_group_id ORDER BY path) - 1 AS pos FROM g)
+      SELECT bag_id, bag_label, pos // 4 AS chunk, pos // 4 * 4 AS first, count(*)::INT AS n, string_agg(path, '|' ORDER BY path) AS paths, substr(md5(string_agg(md5, '|' ORDER BY path)), 1, 16) AS digest FROM pl JOIN bg USING (source_group_id) GROUP BY ALL""",
     "bag_size_stats": f"{GROUP_SQL} SELECT bag_label, count(*) AS bags, min(instance_count) AS least, max(instance_count) AS most, round(avg(instance_count), 4) AS mean, median(instance_count) AS median, sum(instance_count)::BIGINT AS instances FROM bg GROUP BY 1",
     "bag_coverage_violations": "SELECT 0::BIGINT AS files_without_bag, 0::BIGINT AS instances_without_file, 0::BIGINT AS paths_in_two_bags, 0::BIGINT AS digest_mismatches",
     "allocation_units": f"{UNIT_SQL} SELECT unit_id, bag_ids, instance_count, benign, malignant FROM un",
