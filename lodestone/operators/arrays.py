@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 
 
-def train_stats(values: Column) -> list[Column]:
-    """Over arrays of numbers, in one pass: count, mean, population standard deviation, least, most (all values of all rows)."""
-    n, s, q = F.sum(F.size(values)), F.sum(S.total(values)), F.sum(S.dot(values, values))
-    mean = s / n
-    return [n.cast("bigint").alias("n"), F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(q / n - mean * mean, F.lit(0.0))), 6).alias("std"), F.min(F.array_min(values)).alias("least"), F.max(F.array_max(values)).alias("most")]
+def train_stats(rows: DataFrame, values: str) -> DataFrame:
+    """One row over all values of all rows, in one pass: count, mean, population standard deviation, least, most.
+
+    Spark merges means and squared distances from them, so that large means do not cancel.
+    """
+    x = F.col("x")
+    return rows.select(F.explode(values).alias("x")).agg(F.count("x").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
 
 
 def quantize(values: Column, mean: float, std: float, offset: float = 8.0, scale: float = 4096.0) -> Column:
@@ -33,7 +35,9 @@ def quality(values: Column) -> list[Column]:
     """Least, most, mean, standard deviation, and flags for blank and clipped arrays."""
     n = F.size(values).cast("double")
     mean = S.total(values) / n
-    std = F.sqrt(F.greatest(S.dot(values, values) / n - mean * mean, F.lit(0.0)))
+    # The mean is bound once, and the squares are of distances from it.
+    apart = F.transform(F.array(F.struct(values.alias("v"), mean.alias("m"))), lambda s: F.aggregate(s["v"], F.lit(0.0), lambda t, x: t + (x - s["m"]) * (x - s["m"])))
+    std = F.sqrt(F.get(apart, F.lit(0)) / n)
     low, high = F.array_min(values), F.array_max(values)
     return [low.alias("qa_min"), high.alias("qa_max"), F.round(mean, 6).alias("qa_mean"), F.round(std, 6).alias("qa_std"), (low == high).alias("blank"), ((low <= 0) | (high >= 255)).alias("clipped")]
 

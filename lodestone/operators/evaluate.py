@@ -70,6 +70,31 @@ def roc_points(rows: DataFrame, group: list[str]) -> DataFrame:
     return r.select(*group, F.round(F.col("fp") / F.col("n"), 6).alias("fpr"), F.round(F.col("tp") / F.col("p"), 6).alias("tpr"), F.col("probability").alias("threshold"))
 
 
+def roc_curve(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(fpr, tpr, threshold) as libraries give the curve: from (0, 0) at an infinite threshold, without the points between two equal steps; none with one class only.
+
+    A point stays if the next lower score takes another step.  The step after the last
+    score of a range is the first one of the next range that has any, so no task sees more than a range.
+    """
+    r = by_score(rows, group).withColumn("_range", F.floor(S.clip01(F.col("probability")) * 255).cast("int"))
+    heads = r.groupBy(*group, "_range").agg(F.max(F.struct("probability", "pos", "neg")).alias("_head"))
+    down = Window.partitionBy(*group).orderBy(F.desc("_range"))
+    heads = heads.select(*group, "_range", F.lead("_head").over(down).alias("_next"), F.lag("_range").over(down).isNull().alias("_top"))
+    inner = Window.partitionBy(*group, "_range").orderBy(F.desc("probability"))
+    r = r.withColumns({"_pos": F.lead("pos").over(inner), "_neg": F.lead("neg").over(inner), "_place": F.row_number().over(inner)}).join(heads, [*group, "_range"])
+    r = r.withColumns({"_pos": F.coalesce("_pos", "_next.pos"), "_neg": F.coalesce("_neg", "_next.neg")})
+    kept = (F.col("_top") & (F.col("_place") == 1)) | F.col("_pos").isNull() | (F.col("pos") != F.col("_pos")) | (F.col("neg") != F.col("_neg"))
+    points = _running(r, group).where("p > 0 AND n > 0")
+    ends = points.select(*group).distinct().select(*group, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"))
+    return points.where(kept).select(*group, F.round(F.col("fp") / F.col("n"), 6).alias("fpr"), F.round(F.col("tp") / F.col("p"), 6).alias("tpr"), F.col("probability").alias("threshold")).unionByName(ends)
+
+
+def clipped(rows: DataFrame) -> DataFrame:
+    """Scores inside [0, 1], predictions again from them, and whether one was outside."""
+    inside = S.clip01(F.col("probability"))
+    return predicted(rows.withColumns({"outside": F.col("probability") != inside, "probability": inside}))
+
+
 def pr_points(rows: DataFrame, group: list[str]) -> DataFrame:
     """(recall, precision, threshold) at each distinct score; none with one class only."""
     r = _running(by_score(rows, group), group).where("p > 0 AND n > 0")

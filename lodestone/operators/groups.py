@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .graph import components, star_edges
+from .integrity import must
 from .order import OrderIndex
 
 SPLITS = ("train", "val", "test")
@@ -69,8 +70,12 @@ def group_confidence(grouped: DataFrame) -> DataFrame:
 
 
 def bags(grouped: DataFrame) -> DataFrame:
-    """One row a group: bag_id, label, instances in order of their paths, keys, splits."""
-    return grouped.groupBy("source_group_id").agg(
+    """One row a group: bag_id, label, instances in order of their paths, keys, splits; a group id of another form raises.
+
+    The instances of a group stand in one array; `chunks.bag_chunks` has them in bounded ones.
+    """
+    named = grouped.where(must(F.startswith("source_group_id", F.lit("grp-")), F.concat(F.lit("no group id: "), F.coalesce("source_group_id", F.lit("null")))))
+    return named.groupBy("source_group_id").agg(
         F.concat(F.lit("bag-"), F.substring("source_group_id", 5, 12)).alias("bag_id"), F.min("class_dir").alias("bag_label"), F.countDistinct("class_dir").alias("n_labels"),
         F.count(F.lit(1)).alias("instance_count"), F.array_sort(F.collect_list(F.struct("path", "md5"))).alias("instances"), F.countDistinct("source_key").alias("n_keys"),
         F.array_sort(F.collect_set("split")).alias("splits"), F.min(F.when(F.size("chain") == 0, F.col("path"))).alias("original_candidate_path"),
@@ -146,8 +151,10 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg((F.countDistinct("split") > 1).alias("x")).agg(F.count_if("x").alias("n_leaks"), F.count(F.lit(1)).alias("n_keys"))
 
 
-def pair_leaks(pairs: DataFrame, split_rows: DataFrame) -> DataFrame:
-    """One row: pairs (a, b: paths) whose ends are in different splits, and ends without a split."""
+def pair_leaks(pairs: DataFrame, split_rows: DataFrame, strict: bool = True) -> DataFrame:
+    """One row: pairs (a, b: paths) whose ends are in different splits; an end without a split raises, or is counted if not `strict`."""
     s = split_rows.select("image_path", "split")
     both = pairs.join(s.toDF("a", "sa"), "a", "left").join(s.toDF("b", "sb"), "b", "left")
+    if strict:
+        both = both.where(must(F.col("sa").isNotNull() & F.col("sb").isNotNull(), F.concat(F.lit("no split for an end of "), "a", F.lit(", "), "b")))
     return both.agg(F.count_if(F.col("sa") != F.col("sb")).alias("n_leaks"), F.count_if(F.col("sa").isNull() | F.col("sb").isNull()).alias("n_unmapped"), F.count(F.lit(1)).alias("n_pairs"))

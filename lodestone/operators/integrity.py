@@ -50,14 +50,35 @@ def validated_instances(splits: DataFrame, files: DataFrame, bags: DataFrame) ->
 
 
 def violations(checks: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
-    """(invariant, n): for each name the rows of its table that meet its condition; all 0 in a sound collection."""
-    parts = [rows.agg(F.count_if(F.coalesce(broken, F.lit(True))).alias("n")).select(F.lit(name).alias("invariant"), "n") for name, (rows, broken) in checks.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
+    """(invariant, n): for each name the rows of its table that meet its condition; all 0 in a sound collection.
+
+    The checks of one table are counted in one aggregation, so each table is read once.
+    """
+    tables: dict[int, tuple[DataFrame, dict[str, Column]]] = {}
+    for name, (rows, broken) in checks.items():
+        tables.setdefault(id(rows), (rows, {}))[1][name] = broken
+    out = None
+    for rows, named in tables.values():
+        counts = rows.agg(*[F.count_if(F.coalesce(broken, F.lit(True))).alias(f"_{k}") for k, broken in enumerate(named.values())])
+        each = F.explode(F.array(*[F.struct(F.lit(name).alias("invariant"), F.col(f"_{k}").alias("n")) for k, name in enumerate(named)]))
+        part = counts.select(each.alias("r")).select("r.*")
+        out = part if out is None else out.unionAll(part)
     return out
 
 
+def placements(files: DataFrame, bag_of: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What files (path, md5), bags (bag_id, source_group_id, bag_label, instance_count) and split rows (image_path, md5, bag_id, source_group_id, bag_label, split) say of each path and of each bag, one row each.
+
+    By path: n_files, n_rows, n_md5, n_splits, n_bags.  By bag: n_bags, listed, n_rows, n_splits, n_labels, n_groups.
+    """
+    text = lambda: F.lit(None).cast("string")
+    paths = files.select("path", "md5", F.lit(1).alias("file"), text().alias("bag"), text().alias("split")).unionByName(splits.select(F.col("image_path").alias("path"), "md5", F.lit(0).alias("file"), F.col("bag_id").alias("bag"), "split"))
+    by_path = paths.groupBy("path").agg(F.sum("file").alias("n_files"), F.sum(1 - F.col("file")).alias("n_rows"), F.countDistinct("md5").alias("n_md5"), F.countDistinct("split").alias("n_splits"), F.countDistinct("bag").alias("n_bags"))
+    bags = bag_of.select("bag_id", "source_group_id", "bag_label", F.col("instance_count").alias("listed"), F.lit(1).alias("bag"), text().alias("split")).unionByName(splits.select("bag_id", "source_group_id", "bag_label", F.lit(0).cast("bigint").alias("listed"), F.lit(0).alias("bag"), "split"))
+    by_bag = bags.groupBy("bag_id").agg(F.sum("bag").alias("n_bags"), F.sum("listed").alias("listed"), F.sum(1 - F.col("bag")).alias("n_rows"), F.countDistinct("split").alias("n_splits"), F.countDistinct("bag_label").alias("n_labels"), F.countDistinct("source_group_id").alias("n_groups"))
+    return by_path, by_bag
+
+
 def assert_none(counted: DataFrame) -> DataFrame:
     """The rows of `violations`; reading them raises at the first broken invariant."""
     return counted.where(must(F.col("n") == 0, F.concat(F.lit("broken invariant: "), "invariant")))

@@ -97,7 +97,7 @@ def micros(x):
 
 
 QUERIES = {
-    "train_stats": lambda s, d: vectors(s, d).where("split = 'train'").agg(*R.train_stats(F.col("v"))),
+    "train_stats": lambda s, d: vectors(s, d).where("split = 'train'").transform(R.train_stats, "v"),
     "normalize_quantize": lambda s, d: vectors(s, d).select("vec_id", F.array_join(F.transform(R.quantize(F.col("v"), MEAN, STD), lambda q: q.cast("string")), ",").alias("codes")),
     "decode_roundtrip": lambda s, d: vectors(s, d).select("v", R.dequantize(R.quantize(F.col("v"), MEAN, STD)).alias("x")).agg(F.count(F.lit(1)).alias("n"), (F.max(F.array_max(F.zip_with("v", "x", lambda a, b: F.abs(a - b * STD - MEAN)))) <= STD / 8192 + 1e-12).alias("within_half_step")),
     "array_qa": lambda s, d: vectors(s, d).withColumn("px", F.transform("v", lambda x: F.rint((x + 1) * 127.5))).select("vec_id", *R.quality(F.col("px"))),

@@ -5,10 +5,14 @@ Predictions: labelled documents with a score that follows from the text.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import evaluate as E
+from ..sources import files, sinks
+from ..sources.scratch import shared_dir, written
 from ..sources.tables import table
 
 
@@ -23,10 +27,15 @@ def predictions(s, d, model="a"):
     return E.predicted(rows)
 
 
-def comparative(s, d):
-    rows = predictions(s, d).withColumn("model", F.lit("a")).unionByName(predictions(s, d, "b").withColumn("model", F.lit("b")))
+def both_models(s, d):
+    return predictions(s, d).withColumn("model", F.lit("a")).unionByName(predictions(s, d, "b").withColumn("model", F.lit("b")))
+
+
+def comparative(rows, *more):
+    """The table of models; the predictions are planned once for its three parts."""
+    rows = written(rows, "predictions")
     counts = E.with_ratios(E.confusion("model")(rows))
-    spread = rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.min("probability").alias("p_min"), F.max("probability").alias("p_max"))
+    spread = rows.groupBy("model").agg(*more, F.count(F.lit(1)).alias("n"), F.min("probability").alias("p_min"), F.max("probability").alias("p_max"))
     return counts.join(E.areas(rows, ["model"]), "model").join(spread, "model")
 
 
@@ -36,6 +45,25 @@ def tolerance(s, d):
     return a.join(b, "lang").select("lang", E.close(F.col("r1"), F.col("r2")).alias("roc_equal"), E.close(F.col("p1"), F.col("p2")).alias("pr_equal"))
 
 
+def comparative_clipped(s, d):
+    """The same of scores that leave [0, 1]: the table clips them, and counts how many it had to."""
+    raw = both_models(s, d).withColumn("probability", F.round(F.col("probability") * 1.2 - 0.1, 6))
+    return comparative(E.clipped(raw), F.count_if("outside").alias("n_outside"))
+
+
+def metrics_from_csv(s, d):
+    """Metrics of a prediction file: written as CSV, read back by its reader."""
+    rows = predictions(s, d).select(F.col("doc_id").cast("string").alias("bag_id"), F.lit(None).cast("string").alias("source_group_id"), F.col("y_true").cast("int").alias("y_true"), "probability", "prediction", F.lit("val").alias("split"))
+    path = f"{shared_dir(s)}/predictions-{uuid.uuid4().hex}"
+    sinks.write_csv(rows, path, ["bag_id"])
+    return E.with_ratios(E.confusion()(E.predicted(files.read_predictions(s, path, clip=True))))
+
+
+def by_size(s, d):
+    rows = written(predictions(s, d), "predictions")
+    return E.with_ratios(E.confusion("bag_size")(rows)).join(E.areas(rows, ["bag_size"]), "bag_size")
+
+
 QUERIES = {
     "prediction_scan": lambda s, d: predictions(s, d).select("doc_id", "y_true", S.clip01(F.col("probability")).alias("probability"), "prediction"),
     "confusion": lambda s, d: E.confusion()(predictions(s, d)),
@@ -44,7 +72,10 @@ QUERIES = {
     "pr_auc": lambda s, d: E.areas(predictions(s, d), ["lang"]).select("lang", "pr_auc"),
     "roc_points": lambda s, d: E.roc_points(predictions(s, d), ["lang"]),
     "pr_points": lambda s, d: E.pr_points(predictions(s, d), ["lang"]),
-    "comparative_table": comparative,
+    "roc_curve": lambda s, d: E.roc_curve(predictions(s, d).withColumn("probability", F.round("probability", 2)), ["lang"]),
+    "comparative_table": lambda s, d: comparative(both_models(s, d)),
+    "comparative_table_clipped": comparative_clipped,
+    "metrics_from_csv": metrics_from_csv,
     "error_cases": lambda s, d: predictions(s, d).where("outcome IN ('fp', 'fn')").join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id", "left").select("doc_id", "outcome", "probability", "source", "n_chars"),
     "correct_masks": lambda s, d: predictions(s, d).select("doc_id", (F.col("prediction") == F.col("y_true")).alias("correct"), "outcome"),
     "uncertain_cases": lambda s, d: predictions(s, d).where(S.is_uncertain(F.col("probability"))).select("doc_id", "probability", S.is_uncertain(F.col("probability"), tolerance=0.0).alias("strict")),
@@ -52,7 +83,7 @@ QUERIES = {
     "topk_confident_errors": lambda s, d: E.nearest_threshold(predictions(s, d).where("outcome IN ('fp', 'fn')"), "doc_id", 15, farthest=True).select("doc_id", "outcome", "probability", "distance"),
     "class_wise": lambda s, d: E.with_ratios(E.confusion("y_true")(predictions(s, d))),
     "probability_ranges": lambda s, d: predictions(s, d).groupBy("y_true").agg(F.min("probability").alias("p_min"), F.max("probability").alias("p_max")),
-    "stratify_size": lambda s, d: E.with_ratios(E.confusion("bag_size")(predictions(s, d))).join(E.areas(predictions(s, d), ["bag_size"]), "bag_size"),
+    "stratify_size": by_size,
     "stratify_group": lambda s, d: E.with_ratios(E.confusion("group")(predictions(s, d).withColumn("group", F.coalesce("source", F.lit("unknown"))))).select("group", "tp", "tn", "fp", "fn", "sensitivity", "specificity"),
     "model_disagreement": lambda s, d: E.disagreements(predictions(s, d), predictions(s, d, "b"), "doc_id"),
     "metric_tolerance_match": tolerance,
@@ -98,6 +129,13 @@ SQL = {
     "pr_auc": f"WITH {PRED} SELECT lang, pr_auc FROM ({_areas('pa', 'lang')})",
     "roc_points": f"WITH {PRED}, {POINTS} SELECT lang, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr, probability AS threshold FROM pt JOIN tot USING (lang) WHERE p > 0 AND n > 0",
     "pr_points": f"WITH {PRED}, {POINTS} SELECT lang, round(tp / p, 6) AS recall, round(tp / (tp + fp), 6) AS precision, probability AS threshold FROM pt JOIN tot USING (lang) WHERE p > 0 AND n > 0",
+    "metrics_from_csv": f"WITH {PRED} {_metrics('pa')}",
+    "roc_curve": f"""WITH {PRED}, s AS MATERIALIZED (SELECT lang, round(probability, 2) AS probability, count(*) FILTER (WHERE y_true = 1) AS pos, count(*) FILTER (WHERE y_true = 0) AS neg FROM pa GROUP BY 1, 2),
+      c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY lang) AS p, sum(neg) OVER (PARTITION BY lang) AS n, lag(pos) OVER w IS NULL OR lead(pos) OVER w IS NULL OR lead(pos) OVER w <> pos OR lead(neg) OVER w <> neg AS kept FROM s WINDOW w AS (PARTITION BY lang ORDER BY probability DESC))
+      SELECT lang, round(fp::DOUBLE / n, 6) AS fpr, round(tp::DOUBLE / p, 6) AS tpr, probability AS threshold FROM c WHERE kept AND p > 0 AND n > 0 UNION ALL SELECT DISTINCT lang, 0.0::DOUBLE, 0.0::DOUBLE, 'Infinity'::DOUBLE FROM c WHERE p > 0 AND n > 0""",
+    "comparative_table_clipped": f"""WITH {PRED}, raw AS (SELECT *, 'a' AS model FROM pa UNION ALL SELECT *, 'b' FROM pb), cl AS (SELECT * EXCLUDE (prediction, outcome), probability <> x AS outside FROM (SELECT * REPLACE (least(greatest(round(probability * 1.2::DOUBLE - 0.1::DOUBLE, 6), 0), 1) AS probability), round(probability * 1.2::DOUBLE - 0.1::DOUBLE, 6) AS x FROM raw)),
+      u AS MATERIALIZED (SELECT *, CASE WHEN prediction = y_true THEN CASE prediction WHEN 1 THEN 'tp' ELSE 'tn' END ELSE CASE prediction WHEN 1 THEN 'fp' ELSE 'fn' END END AS outcome FROM (SELECT *, (probability >= 0.5)::INT AS prediction FROM cl))
+      SELECT m.*, roc_auc, pr_auc, n, n_outside, p_min, p_max FROM ({_metrics('u', 'model')}) m JOIN ({_areas('u', 'model')}) a USING (model) JOIN (SELECT model, count(*) FILTER (WHERE outside) AS n_outside, count(*) AS n, min(probability) AS p_min, max(probability) AS p_max FROM u GROUP BY 1) USING (model)""",
     "comparative_table": f"""WITH {PRED}, u AS MATERIALIZED (SELECT *, 'a' AS model FROM pa UNION ALL SELECT *, 'b' FROM pb)
       SELECT m.*, roc_auc, pr_auc, n, p_min, p_max FROM ({_metrics('u', 'model')}) m JOIN ({_areas('u', 'model')}) a USING (model) JOIN (SELECT model, count(*) AS n, min(probability) AS p_min, max(probability) AS p_max FROM u GROUP BY 1) USING (model)""",
     "error_cases": f"WITH {PRED} SELECT doc_id, outcome, probability, source, n_chars FROM pa JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id) WHERE outcome IN ('fp', 'fn')",

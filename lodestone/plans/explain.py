@@ -76,6 +76,7 @@ QUERIES = {
     "cache_key": lambda s, d: table(s, d, "embeddings").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("embedding")).alias("width")).select(F.substring(F.sha2(F.to_json(F.struct("rows", "width")), 256), 1, 16).alias("key")),
     "embedding_checks": lambda s, d: table(s, d, "embeddings").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("n_ids"), F.count_if(F.size("embedding") != 64).alias("bad_width"), F.count_if(F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).alias("not_finite")),
     "stream_daily_events": D.daily_events,
+    "stream_daily_users": D.daily_users,
 }
 
 _RANK = f"WITH {VEC}, {ATT('v')}, rk AS MATERIALIZED (SELECT bag_id, vec_id, label, split, h, attention, row_number() OVER (PARTITION BY bag_id ORDER BY attention DESC, vec_id)::INT AS rank FROM (SELECT *, round(a, 6) AS attention FROM (SELECT aw.*, row_number() OVER () AS _ FROM aw)))"
@@ -97,5 +98,6 @@ SQL = {
       SELECT role, CASE WHEN rn = 0 THEN 'smallest' WHEN rn = total // 2 THEN 'median' ELSE 'largest' END AS place, conv_id, n FROM k WHERE rn = 0 OR rn = total // 2 OR rn = total - 1""",
     "cache_key": "SELECT substr(sha256('{\"rows\":' || count(*) || ',\"width\":' || max(len(embedding)) || '}'), 1, 16) AS key FROM embeddings",
     "embedding_checks": "SELECT count(*) AS n, count(DISTINCT vec_id) AS n_ids, count(*) FILTER (WHERE len(embedding) <> 64) AS bad_width, count(*) FILTER (WHERE len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0) AS not_finite FROM embeddings",
+    "stream_daily_users": "SELECT ts::DATE AS day, event_type, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1, 2",
     "stream_daily_events": "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

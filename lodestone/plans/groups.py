@@ -26,9 +26,9 @@ def path_pairs(s, d, of=pairs):
     return of(s, d).join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
 
 
-def bags_and_units(s, d):
-    """Bags and allocation units, each computed once for what reads them several times."""
-    b = written(bag_rows(s, d), "bags")
+def bags_and_units(s, d, g=None):
+    """Bags and allocation units, each computed once for what reads them several times; the groups may be there already."""
+    b = written(bag_rows(s, d) if g is None else G.bags(g), "bags")
     # The components need no more than the edges that hold them together.
     return b, written(G.allocation_units(b, path_pairs(s, d, edges)), "units")
 

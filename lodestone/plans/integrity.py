@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import audit as A
+from ..operators import groups as G
 from ..operators import integrity as I
 from ..operators import similarity as X
 from ..operators.graph import components
+from ..sources.scratch import written
 from ..sources.tables import manifest, table
 from .audit import PARSED_SQL, parsed
 from .audit import SQL as AUDIT_SQL
 from .evaluate import PRED, predictions
-from .groups import GROUP_SQL, SPLIT_SQL, bag_rows, grouped, instances, path_pairs
+from .groups import GROUP_SQL, SPLIT_SQL, bag_rows, bags_and_units, grouped, instances, path_pairs
 from .similarity import PX_SQL, SIM_SQL, contents, edges, hashes, pairs, within_group
 
 
@@ -83,9 +85,15 @@ def bag_pairs(s, d):
 
 
 def invariants(s, d):
-    files, bags, rows = parsed(s, d), bag_rows(s, d), grouped(s, d)
-    paths = files.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    inst = bags.select("bag_id", "instance_count", F.explode("instances").alias("i")).groupBy("i.path").agg(F.countDistinct("bag_id").alias("n"))
+    """Files, groups, bags and splits are each computed once; every check of one of them is a count of the same aggregation."""
+    files = written(grouped(s, d), "grouped")
+    bags, units = bags_and_units(s, d, files)
+    allocated = written(G.allocate(units), "allocated")
+    split_rows = written(G.split_manifest(bags, units, allocated), "splits")
+    by_path, by_bag = I.placements(files, bags, split_rows)
+    outputs = files.groupBy(I.cache_name(F.col("path")).alias("output")).agg(F.countDistinct("path").alias("n"))
+    units = units.join(allocated, "unit_id").select("split", F.col("instance_count").alias("n"), F.lit(1).alias("units"))
+    by_split = units.unionAll(split_rows.select("split", F.lit(-1).cast("bigint"), F.lit(0))).groupBy("split").agg(F.sum("n").alias("n"), F.sum("units").alias("units"))
     return I.violations(
         {
             "class is known": (files, ~F.col("class_dir").isin("benign", "malignant")),
@@ -94,15 +102,27 @@ def invariants(s, d):
             "file has content": (files, F.col("bytes") <= 0),
             "digest has 32 digits": (files, ~F.col("md5").rlike("^[0-9a-f]{32}$")),
             "size is positive": (files, (F.col("width") <= 0) | (F.col("height") <= 0)),
-            "path is unique": (paths, F.col("n") > 1),
             "path names its class": (files, ~F.contains("path", F.concat(F.lit("/"), "class_dir", F.lit("/")))),
+            "group id has its form": (files, ~F.col("source_group_id").rlike("^grp-[0-9a-f]{12}$")),
             "bag has one label": (bags, F.col("n_labels") != 1),
             "bag has instances": (bags, F.col("instance_count") < 1),
             "bag has one key at most": (bags, F.col("n_keys") > 1),
             "bag counts its instances": (bags, F.col("instance_count") != F.size("instances")),
-            "path is in one bag": (inst, F.col("n") > 1),
-            "group id has its form": (rows, ~F.col("source_group_id").rlike("^grp-[0-9a-f]{12}$")),
             "bag lies in one split": (bags, F.size("splits") > 1),
+            "path is unique": (by_path, F.col("n_files") > 1),
+            "path is in one bag": (by_path, F.col("n_bags") > 1),
+            "instance is a file": (by_path, (F.col("n_rows") > 0) & (F.col("n_files") == 0)),
+            "file is an instance once": (by_path, (F.col("n_files") > 0) & (F.col("n_rows") != 1)),
+            "instance has its file's digest": (by_path, F.col("n_md5") > 1),
+            "instance is allocated to one split": (by_path, F.col("n_splits") > 1),
+            "bag is allocated to one split": (by_bag, F.col("n_splits") > 1),
+            "bag is whole in its split": (by_bag, F.col("n_rows") != F.col("listed")),
+            "bag of an instance is known": (by_bag, F.col("n_bags") != 1),
+            "bag and instances have one label": (by_bag, F.col("n_labels") != 1),
+            "bag and instances have one group": (by_bag, F.col("n_groups") != 1),
+            "output stands for one path": (outputs, F.col("n") > 1),
+            "split has as many as its units": (by_split, F.col("n") != 0),
+            "split is allocated to": (by_split, F.col("units") < 1),
         }
     )
 
@@ -162,7 +182,7 @@ SQL = {
     "clip_counts": f"WITH {PRED} SELECT lang, count(*) FILTER (WHERE probability * 1.2 - 0.1 < 0 OR probability * 1.2 - 0.1 > 1) AS n_clipped, count(*) AS n FROM pa GROUP BY 1",
     "validated_instances": f"{SPLIT_SQL} SELECT sm.split, sm.bag_id, sm.image_path, sm.md5, sm.bag_label, p.width, p.height, bg.instance_count FROM sm JOIN p ON p.path = sm.image_path JOIN bg ON bg.bag_id = sm.bag_id",
     "bag_pair_lookup": f"{SPLIT_SQL} SELECT x.bag_id = y.bag_id AS same_bag, count(*) AS n FROM p7 JOIN ip x ON x.doc_id = p7.a JOIN ip y ON y.doc_id = p7.b GROUP BY 1",
-    "dataset_invariants": f"""{GROUP_SQL}
+    "dataset_invariants": f"""{SPLIT_SQL}, sx AS MATERIALIZED (SELECT sm.*, p.md5 AS file_md5, p.path AS file FROM sm LEFT JOIN p ON p.path = sm.image_path)
       SELECT 'class is known' AS invariant, count(*) FILTER (WHERE class_dir NOT IN ('benign', 'malignant')) AS n FROM p UNION ALL SELECT 'split is known', count(*) FILTER (WHERE split NOT IN ('train', 'val', 'test')) FROM p
       UNION ALL SELECT 'file is readable', count(*) FILTER (WHERE NOT read_ok) FROM p UNION ALL SELECT 'file has content', count(*) FILTER (WHERE bytes <= 0) FROM p
       UNION ALL SELECT 'digest has 32 digits', count(*) FILTER (WHERE length(md5) <> 32) FROM p UNION ALL SELECT 'size is positive', count(*) FILTER (WHERE width <= 0 OR height <= 0) FROM p
@@ -170,7 +190,15 @@ SQL = {
       UNION ALL SELECT 'bag has one label', count(*) FILTER (WHERE n_labels <> 1) FROM bg UNION ALL SELECT 'bag has instances', count(*) FILTER (WHERE instance_count < 1) FROM bg
       UNION ALL SELECT 'bag has one key at most', count(*) FILTER (WHERE n_keys > 1) FROM bg UNION ALL SELECT 'bag counts its instances', count(*) FILTER (WHERE instance_count <> len(string_split(instance_list, '|'))) FROM bg
       UNION ALL SELECT 'path is in one bag', count(*) FILTER (WHERE n > 1) FROM (SELECT count(DISTINCT source_group_id) AS n FROM g GROUP BY path) UNION ALL SELECT 'group id has its form', count(*) FILTER (WHERE length(source_group_id) <> 16) FROM g
-      UNION ALL SELECT 'bag lies in one split', count(*) FILTER (WHERE multi_split) FROM bg""",
+      UNION ALL SELECT 'bag lies in one split', count(*) FILTER (WHERE multi_split) FROM bg
+      UNION ALL SELECT 'instance is a file', count(*) FILTER (WHERE file IS NULL) FROM sx UNION ALL SELECT 'file is an instance once', count(*) FILTER (WHERE n <> 1) FROM (SELECT p.path, count(sm.image_path) AS n FROM p LEFT JOIN sm ON sm.image_path = p.path GROUP BY p.path)
+      UNION ALL SELECT 'instance has its file''s digest', count(*) FILTER (WHERE md5 <> file_md5) FROM sx UNION ALL SELECT 'instance is allocated to one split', count(*) FILTER (WHERE n > 1) FROM (SELECT count(DISTINCT split) AS n FROM sm GROUP BY image_path)
+      UNION ALL SELECT 'bag is allocated to one split', count(*) FILTER (WHERE n > 1) FROM (SELECT count(DISTINCT split) AS n FROM sm GROUP BY bag_id)
+      UNION ALL SELECT 'bag is whole in its split', count(*) FILTER (WHERE n <> instance_count) FROM (SELECT bg.bag_id, any_value(instance_count) AS instance_count, count(sm.image_path) AS n FROM bg LEFT JOIN sm USING (bag_id) GROUP BY 1)
+      UNION ALL SELECT 'bag of an instance is known', count(*) FILTER (WHERE bag_id NOT IN (SELECT bag_id FROM bg)) FROM sm
+      UNION ALL SELECT 'bag and instances have one label', count(DISTINCT sm.bag_id) FROM sm JOIN bg USING (bag_id) WHERE sm.bag_label <> bg.bag_label UNION ALL SELECT 'bag and instances have one group', count(DISTINCT sm.bag_id) FROM sm JOIN bg USING (bag_id) WHERE sm.source_group_id <> bg.source_group_id
+      UNION ALL SELECT 'output stands for one path', count(*) FILTER (WHERE n > 1) FROM (SELECT count(DISTINCT path) AS n FROM p GROUP BY replace(path, '/', '__')) UNION ALL SELECT 'split has as many as its units', count(*) FILTER (WHERE n <> m) FROM
+        (SELECT split, sum(instance_count) AS n FROM f JOIN un USING (unit_id) WHERE k > 0 GROUP BY 1) JOIN (SELECT split, count(*) AS m FROM sm GROUP BY 1) USING (split) UNION ALL SELECT 'split is allocated to', count(*) FILTER (WHERE split NOT IN (SELECT split FROM f)) FROM sm""",
     "drift_check": "SELECT statistic, found, frozen, abs(found - frozen) <= 1e-3 AS ok FROM (SELECT unnest(['mean', 'std']) AS statistic, unnest([round(avg(x), 9), round(stddev_pop(x), 9)]) AS found, unnest([0.0::DOUBLE, 0.125::DOUBLE]) AS frozen FROM (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings))",
     "cache_names": f"WITH {PARSED_SQL} SELECT path, replace(path, '/', '__') || '.png' AS cache_name FROM p",
     "row_index": "SELECT doc_id, doc_id % 25 AS bag_id, (row_number() OVER (PARTITION BY doc_id % 25 ORDER BY doc_id) - 1)::INT AS instance_index, row_number() OVER (ORDER BY doc_id % 25, doc_id) - 1 AS row_index FROM documents",

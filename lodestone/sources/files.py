@@ -20,7 +20,10 @@ def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("p
 
     Spark's scan has no rows for files without content.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    # By the name, before anything is read: other files are not opened.
+    either = lambda x: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x)
+    glob = "*.{" + ",".join(map(either, extensions)) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     ext = F.lower(F.element_at(F.split("path", r"\."), -1))
     rows = files.where(ext.isin(list(extensions)))
     return rows.select("path", ext.alias("ext"), F.col("length").alias("bytes"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), F.col("content").isNotNull().alias("read_ok"), F.col("modificationTime").alias("modified"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ def digests(rows: DataFrame, key: str, split: str = "split") -> dict[str, str]:
 
 def summary(rows: DataFrame, columns: list[str]) -> str:
     """Counts of the values of some columns, as one JSON text."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("v")) for c in columns]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(json.dumps(c)).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("v")) for c in columns]))
     counts = rows.select(pairs.alias("p")).groupBy("p.c", "p.v").agg(F.count(F.lit(1)).alias("n"))
     one = counts.groupBy("c").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("v", "n"))))).alias("m"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("c", "m"))), lambda s: F.concat(F.lit('"'), s["c"], F.lit('":'), s["m"]))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("c", "m"))), lambda s: F.concat(s["c"], F.lit(":"), s["m"]))
     return one.agg(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))).first()[0]

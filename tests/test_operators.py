@@ -231,3 +231,56 @@ def test_allocation_by_hand(spark):
         want[u] = best
     assert dict(map(tuple, G.allocate(units).collect())) == want
     assert G.allocate(units.limit(0)).count() == 0
+
+
+def test_broken_placements_are_counted(spark):
+    """Each way in which files, bags and splits can disagree has its invariant."""
+    files = spark.createDataFrame([("f1", "1"), ("f2", "2"), ("f3", "3"), ("f3", "3")], "path string, md5 string")
+    bags = spark.createDataFrame([("b1", "g1", "x", 2), ("b2", "g2", "y", 1)], "bag_id string, source_group_id string, bag_label string, instance_count bigint")
+    splits = spark.createDataFrame([("f1", "1", "b1", "g1", "x", "train"), ("f2", "9", "b1", "g1", "x", "val"), ("f9", "9", "b2", "g3", "z", "val"), ("f9", "9", "b7", "g3", "z", "train")], "image_path string, md5 string, bag_id string, source_group_id string, bag_label string, split string")
+    by_path, by_bag = I.placements(files, bags, splits)
+    paths = {r.path: (r.n_files, r.n_rows, r.n_md5, r.n_splits, r.n_bags) for r in by_path.collect()}
+    assert paths == {"f1": (1, 1, 1, 1, 1), "f2": (1, 1, 2, 1, 1), "f3": (2, 0, 1, 0, 0), "f9": (0, 2, 1, 2, 2)}
+    of = {r.bag_id: (r.n_bags, r.listed, r.n_rows, r.n_splits, r.n_labels, r.n_groups) for r in by_bag.collect()}
+    assert of == {"b1": (1, 2, 2, 2, 1, 1), "b2": (1, 1, 1, 1, 2, 2), "b7": (0, 0, 1, 1, 1, 1)}
+    # Checks of one table are one aggregation.
+    counted = I.violations({"one": (by_bag, F.col("n_splits") > 1), "two": (by_bag, F.col("n_bags") != 1), "three": (by_path, F.col("n_md5") > 1)})
+    assert {r.invariant: r.n for r in counted.collect()} == {"one": 1, "two": 1, "three": 1}
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("Union") == 3  # of the two tables, and of the results
+    with pytest.raises(PySparkException, match="broken invariant"):
+        I.assert_none(counted).collect()
+
+
+def test_pairs_without_a_split_raise(spark):
+    pairs = spark.createDataFrame([("p", "q"), ("p", "z")], "a string, b string")
+    rows = spark.createDataFrame([("p", "train"), ("q", "val")], "image_path string, split string")
+    assert tuple(G.pair_leaks(pairs, rows, strict=False).first()) == (1, 1, 2)
+    with pytest.raises(PySparkException, match="no split"):
+        G.pair_leaks(pairs, rows).collect()
+    with pytest.raises(PySparkException, match="no group id"):
+        G.bags(spark.createDataFrame([("x-1", "p", "m", "c", "k", "train", ["r"])], "source_group_id string, path string, md5 string, class_dir string, source_key string, split string, chain array<string>")).collect()
+
+
+def test_curve_of_the_library(spark):
+    """Points between two equal steps go, over the borders of ranges too; by hand and by second differences."""
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 2, 400)
+    p = np.round(rng.random(400), 2)
+    p[:6] = [1.5, -0.5, 0.0, 1.0, 1.0, 0.0]
+    got = sorted(((r.threshold, r.fpr, r.tpr) for r in E.roc_curve(scored(spark, y.tolist(), p).withColumn("g", F.lit(1)), ["g"]).collect()), reverse=True)
+    scores = np.unique(p)[::-1]
+    tps, fps = np.array([[((p >= s) & (y == k)).sum() for s in scores] for k in (1, 0)])
+    keep = np.r_[True, (np.diff(fps, 2) != 0) | (np.diff(tps, 2) != 0), True]
+    want = [(np.inf, 0.0, 0.0)] + [(s, round(f / fps[-1], 6), round(t / tps[-1], 6)) for s, f, t in zip(scores[keep], fps[keep], tps[keep])]
+    assert np.allclose(got[1:], want[1:]) and got[0] == want[0] and len(got) < len(scores) + 1
+    assert E.roc_curve(scored(spark, [1, 1], [0.2, 0.3]).withColumn("g", F.lit(1)), ["g"]).isEmpty()
+    out = E.clipped(scored(spark, [1, 0, 1], [1.2, -0.1, 0.5])).orderBy("id").collect()
+    assert [(r.probability, r.outside, r.outcome) for r in out] == [(1.0, True, "tp"), (0.0, True, "tn"), (0.5, False, "tp")]
+
+
+def test_statistics_of_large_means(spark):
+    """Values a million from zero keep their spread."""
+    rows = spark.createDataFrame([([1e8, 1e8 + 1, 1e8 + 2],), ([1e8 + 3],)], "v array<double>")
+    r = R.train_stats(rows, "v").first()
+    assert (r.n, r["std"]) == (4, 1.118034) and r["mean"] == 1e8 + 1.5
+    assert rows.select(*R.quality(F.col("v"))).first().qa_std == 0.816497
