@@ -68,8 +68,16 @@ def fingerprint(files: DataFrame) -> DataFrame:
     return rows.agg(F.sha2(F.array_join(ordered, ""), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_files"))
 
 
+def tree_digits(n: int, leaf: int = 1 << 16) -> int:
+    """Hex digits that give buckets of about `leaf` files at most; two at least."""
+    digits = 2
+    while n > leaf * 16**digits:
+        digits += 1
+    return digits
+
+
 def fingerprint_tree(files: DataFrame, digits: int = 2) -> DataFrame:
-    """sha256 over the digests of buckets by the first hex digits of the md5 of a path: a bucket is a task's work."""
+    """sha256 over the digests of buckets by the first hex digits of the md5 of a path: a bucket is a task's work, and `tree_digits` keeps it bounded."""
     line = F.concat_ws(":", "path", F.col("bytes").cast("string"), "md5")
     rows = files.select(F.substring(F.md5("path"), 1, digits).alias("bucket"), F.struct("path", line.alias("line")).alias("s"))
     lines = F.transform(F.array_sort(F.collect_list("s")), lambda s: F.concat(s["line"], F.lit("\n")))

@@ -8,6 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .integrity import must
+
+
+def checked_attention(rows: DataFrame, bag: str, attention: str, vector: str, width: int, tolerance: float = 1e-6) -> DataFrame:
+    """(bag, n, total, least, most): what attention over instances adds up to; reading raises where a number is not finite, a vector has another width or the sum is not one."""
+    name = F.coalesce(F.col(bag).cast("string"), F.lit("null"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    sound = rows.where(must(finite(F.col(attention)), F.concat(F.lit("attention is not finite in bag "), name)))
+    sound = sound.where(must((F.size(vector) == width) & F.forall(vector, finite), F.concat(F.lit("a vector of another kind in bag "), name)))
+    one = sound.groupBy(bag).agg(F.count(F.lit(1)).alias("n"), F.sum(attention).alias("total"), F.min(attention).alias("least"), F.max(attention).alias("most"))
+    return one.where(must(F.abs(F.col("total") - 1) <= tolerance, F.concat(F.lit("attention does not add up in bag "), name))).where(must((F.col("least") >= 0) & (F.col("most") <= 1), F.concat(F.lit("attention out of range in bag "), name)))
 
 
 def literal(rows: Sequence) -> Column:

@@ -6,13 +6,16 @@ results test the operators, not a trained model.
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import arrays as R
 from ..operators import chunks as C
+from ..operators import integrity as I
 from ..operators import mil as M
 from ..operators import order as O
 from ..sources.cache import read_cache, write_cache
@@ -91,6 +94,16 @@ def cached(s, d):
     return read_cache(s, root, identity, {"h": CHANNELS}).select("vec_id", "split", micros(F.transform("h", lambda x: x.cast("double"))).alias("values"))
 
 
+def drift_frozen(s, d):
+    """Training statistics, written as a run's record and read again, against those of the rows in another order; a drift of 1e-6 raises."""
+    rows = vectors(s, d).where("split = 'train'")
+    record = R.train_stats(rows, "v").select(F.to_json(F.struct("mean", "std")).alias("value"))
+    path = f"{shared_dir(s)}/statistics-{uuid.uuid4().hex}"
+    record.coalesce(1).write.text(path)
+    frozen = json.loads(s.read.text(path).first().value)
+    return I.drift_guard(R.train_stats(rows.repartition("label", "vec_id"), "v").select("mean", "std"), frozen)
+
+
 def micros(x):
     """An array of numbers as text, in millionths."""
     return F.array_join(F.transform(x, lambda v: F.rint(v * 1e6).cast("bigint").cast("string")), ",")
@@ -113,6 +126,8 @@ QUERIES = {
     "attention_softmax": lambda s, d: M.softmax(scored(s, d), "bag_id", "score").select("bag_id", "vec_id", F.round("attention", 6).alias("attention")),
     "attention_pool": lambda s, d: by_channel(M.pool_attention(scored(s, d), "bag_id", "h", "score"), "bag_id"),
     "attention_logit": lambda s, d: logit(s, d, False),
+    "attention_checks": lambda s, d: M.checked_attention(M.softmax(scored(s, d), "bag_id", "score"), "bag_id", "attention", "h", CHANNELS).select("bag_id", "n", *[F.round(c, 6).alias(c) for c in ("total", "least", "most")]),
+    "drift_frozen": drift_frozen,
     "channel_gates": lambda s, d: by_channel(vectors(s, d).withColumn("g", M.channel_gates(F.col("h"), M.literal(W1), M.literal(W2))), "vec_id", "g"),
     "dual_attention_logit": lambda s, d: logit(s, d, True),
     "uniform_gate_reduction": reduction,
@@ -153,6 +168,8 @@ SQL = {
     "attention_softmax": f"WITH {VEC}, {ATT('v')} SELECT bag_id, vec_id, round(a, 6) AS attention FROM aw",
     "attention_pool": f"WITH {VEC}, {ATT('v')} {_CHANNEL}",
     "attention_logit": f"WITH {VEC}, {ATT('v')} {_PROB}",
+    "attention_checks": f"WITH {VEC}, {ATT('v')} SELECT bag_id, count(*) AS n, round(sum(a), 6) AS total, round(min(a), 6) AS least, round(max(a), 6) AS most FROM aw GROUP BY bag_id",
+    "drift_frozen": f"WITH {VEC}, x AS (SELECT unnest(v) AS x FROM v WHERE split = 'train'), y AS (SELECT round(avg(x), 6) AS m, round(stddev_pop(x), 6) AS s FROM x) SELECT 'mean' AS statistic, m AS found, m AS frozen, true AS ok FROM y UNION ALL SELECT 'std', s, s, true FROM y",
     "channel_gates": f"WITH {VEC} SELECT vec_id, channel, round(x, 6) AS z FROM {_CELLS('vec_id', f'(SELECT vec_id, {_GATES} AS h FROM v)')}",
     "dual_attention_logit": f"WITH {VEC}, {GATED}, {ATT('gt')} {_PROB}",
     "uniform_gate_reduction": "SELECT 0.0::DOUBLE AS largest_difference, count(DISTINCT vec_id % 25) AS n_bags FROM embeddings",

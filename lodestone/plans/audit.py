@@ -48,7 +48,7 @@ QUERIES = {
     "key_split_overlap": lambda s, d: A.key_overlap(parsed(s, d)),
     "vocab_scan": lambda s, d: A.vocabulary_scan(table(s, d, "documents"), "text", HINTS, ".dcm"),
     "dataset_fingerprint": lambda s, d: A.fingerprint(manifest(s, d)),
-    "dataset_fingerprint_tree": lambda s, d: A.fingerprint_tree(manifest(s, d)),
+    "dataset_fingerprint_tree": lambda s, d: A.fingerprint_tree(manifest(s, d), A.tree_digits(table(s, d, "documents").count())),
     "dataset_provenance": lambda s, d: manifest(s, d).agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("n_bytes"), F.countDistinct("md5").alias("n_md5"), F.countDistinct("class_dir").alias("n_classes"), F.min("path").alias("first_path"), F.max("path").alias("last_path")),
 }
 

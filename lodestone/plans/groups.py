@@ -54,6 +54,10 @@ def group_summary(s, d):
     return g.groupBy("size").agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("n_splits") > 1).alias("n_multi_split"))
 
 
+#: Passages that may be sent to every task: with texts of a thousand characters 50 MB.
+PROBES = 50_000
+
+
 def contaminated(s, d):
     """Documents that hold a whole benchmark passage of five words or more."""
     items = table(s, d, "benchmark").select("item_id", F.col("text").alias("passage"))
@@ -63,7 +67,11 @@ def contaminated(s, d):
     # Long passages meet the documents by a run of three whole words; the substring test is in the join.
     runs = F.transform(F.sequence(F.lit(0), F.size("ws") - 3), lambda i: F.concat_ws(" ", F.get("ws", i), F.get("ws", i + 1), F.get("ws", i + 2)))
     at = docs.select("doc_id", F.split("text", " ", -1).alias("ws")).where(F.size("ws") >= 3).select("doc_id", F.explode(F.array_distinct(runs)).alias("p"))
-    near = at.join(probe.where("n >= 5"), "p").select("doc_id", "item_id", "passage").distinct()
+    probe = probe.where("n >= 5")
+    # A benchmark is small beside the documents: up to a measured size its runs go to the tasks, so that the documents' runs are not shuffled.
+    if probe.count() <= PROBES:
+        probe = F.broadcast(probe)
+    near = at.join(probe, "p").select("doc_id", "item_id", "passage").distinct()
     return near.join(docs, "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
 
 
