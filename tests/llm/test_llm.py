@@ -699,6 +699,35 @@ def test_query_against_all_pairs(spark):
     assert len(edits) >= 3 and all((q, -1 - q) in got for q in edits)
 
 
+def test_recall_of_hard_edits(spark):
+    """Eight edits of each of 30 pictures, crops to a quarter, other sizes and noise too, at keys as short and as long as they get: 240 links."""
+    rng = np.random.default_rng(11)
+    patterns = media.patterns(64)
+    edits = [
+        lambda a: a[5:, :59], lambda a: np.clip(a * 0.8 + 30, 0, 255), np.rot90, lambda a: a[:48, 16:], lambda a: a[8:40, 8:40],
+        lambda a: media.resize(a, 48, 48), lambda a: media.resize(a, 96, 96), lambda a: np.clip(a + rng.normal(0, 6, a.shape), 0, 255),
+    ]
+    rows = []
+    for k in range(30):
+        v = rng.normal(0, 1, 64)
+        a = np.clip(128 + 48 * (v / np.linalg.norm(v) @ patterns).reshape(64, 64), 0, 255)
+        rows += [(100 * k + n, bytearray(media.encode_pgm(e(a)))) for n, e in enumerate([lambda a: a, *edits])]
+    want = {x for x in all_pairs(rows)}
+    assert len(want) >= 200
+    images = spark.createDataFrame(rows, "id long, image binary")
+    asked = media.features(images.where("id % 100 = 0"))
+    likely = {tuple(r) for r in media.likely_pairs(media.features(images), asked).collect()}
+    # Nearly no pair is compared in vain.
+    assert len(likely - want) <= 0.05 * len(want) and len(likely & want) >= 0.97 * len(want)
+    got = {(r.q_id, r.id) for r in media.search(images, lambda i: i % 100 == 0)[2].collect()}
+    assert got == likely & want
+
+
+def test_key_plan():
+    plans = [media.key_plan(n) for n in (0, 10**4, 10**5, 10**6, 10**9)]
+    assert [t for t, _ in plans] == [8, 8, 8, 8, 16] and [b for _, b in plans] == sorted(b for _, b in plans) and plans[0][1] == 36 and plans[-1][1] == 64
+
+
 def test_every_copy_is_linked(spark):
     rng = np.random.default_rng(10)
     a, b = picture(rng), picture(rng)
