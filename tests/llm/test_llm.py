@@ -725,7 +725,7 @@ def test_recall_of_hard_edits(spark):
 
 def test_key_plan():
     plans = [media.key_plan(n) for n in (0, 10**4, 10**5, 10**6, 10**9)]
-    assert [t for t, _ in plans] == [8, 8, 8, 8, 16] and [b for _, b in plans] == sorted(b for _, b in plans) and plans[0][1] == 36 and plans[-1][1] == 64
+    assert [t for t, _ in plans] == [8, 8, 8, 16, 16] and [b for _, b in plans] == sorted(b for _, b in plans) and plans[0][1] == 36 and plans[-1][1] == 64
 
 
 def test_every_copy_is_linked(spark):
