@@ -128,11 +128,17 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+#: Bytes of text that make a part, and the most parts: their bounds stand in the plan.
+PART, MOST_PARTS = 128 << 20, 4096
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(part, head, doc_id, text) in partitions: by descending doc_id, each part closed by a copy of the document that follows it (head)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Parts follow the texts' size; what is more than MOST_PARTS of them is streamed in longer ones.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART)), MOST_PARTS)
     bounds = sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (8 * n)))) if n > 1 else []
     edges = F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>")
     part = F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))), F.lit(-1)) if bounds else F.lit(0)

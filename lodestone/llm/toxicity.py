@@ -102,7 +102,6 @@ class BlockMaxIndex:
         self.order = sorted(range(len(vectors)), key=lambda i: tuple(vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:3].tolist()))
         self.block, self.n = block, len(vectors)
         n_blocks = -(-self.n // block)
-        self.top = np.zeros((size, n_blocks), np.float32)
         rows, cols, weights = [], [], []
         for row, i in enumerate(self.order):
             at, w = vectors[i]
@@ -111,8 +110,13 @@ class BlockMaxIndex:
             weights.append(w)
         row, col, weight = (np.concatenate(x) if x else np.zeros(0) for x in (rows, cols, weights))
         row, col = row.astype(np.int64), col.astype(np.int64)
-        # Rounded up, so that the bound stays one in single precision.
-        np.maximum.at(self.top, (col, row // block), np.nextafter(weight.astype(np.float32), np.float32(2)))
+        # For each term the blocks that have it, with its largest weight there: as many entries as terms stand in blocks.
+        place = col * max(n_blocks, 1) + row // block
+        by = np.argsort(place, kind="stable")
+        place, starts = np.unique(place[by], return_index=True)
+        self.top = np.maximum.reduceat(weight[by], starts) if len(starts) else np.zeros(0)
+        self.top_block, self.top_first = place % max(n_blocks, 1), np.searchsorted(place // max(n_blocks, 1), np.arange(size + 1))
+        self.dense = np.zeros(size)
         by = np.lexsort((row, col, row // block))
         self.row, self.col, self.weight = row[by], col[by], weight[by]
         self.first = np.searchsorted(self.row // block, np.arange(n_blocks + 1))
@@ -121,8 +125,11 @@ class BlockMaxIndex:
         """Examples and cosines of the k nearest, exactly; only those with a cosine above zero; ties by example."""
         if not len(at) or not self.n:
             return np.zeros(0, int), np.zeros(0)
-        bound = (w.astype(np.float32) * np.float32(1 + 1e-6)) @ self.top[at]
-        dense = np.zeros(len(self.top))
+        begin, n = self.top_first[at], self.top_first[at + 1] - self.top_first[at]
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        # A little more than the sum, so that it stays a bound in whatever order it is added.
+        bound = np.bincount(self.top_block[entry], np.repeat(w, n) * self.top[entry], len(self.first) - 1) * (1 + 1e-9)
+        dense = self.dense
         dense[at] = w
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable"):
@@ -132,6 +139,7 @@ class BlockMaxIndex:
             score = np.bincount(self.row[own] - lo, self.weight[own] * dense[self.col[own]])
             best += [(float(score[r]), self.order[lo + r]) for r in np.flatnonzero(score > 0) if self.order[lo + r] != skip]
             best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+        dense[at] = 0.0
         return np.array([i for _, i in best], int), np.array([c for c, _ in best])
 
 

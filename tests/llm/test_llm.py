@@ -446,6 +446,23 @@ def test_index_is_exact():
         assert np.allclose(cos[who], c)
 
 
+def test_index_grows_with_its_examples_alone():
+    """Block maxima are kept where a term stands in a block, whatever the number of terms."""
+    rng = np.random.default_rng(6)
+
+    def entries(n, size):
+        vectors = []
+        for _ in range(n):
+            at = np.unique(rng.integers(0, size, 9)).astype(np.int32)
+            vectors.append((at, np.full(len(at), 1 / np.sqrt(len(at)))))
+        index = toxicity.BlockMaxIndex(vectors, size)
+        return len(index.top), sum(len(a) for a, _ in vectors)
+
+    for n, size in ((500, 1000), (500, 100_000), (2500, 100_000)):
+        held, terms = entries(n, size)
+        assert held <= terms
+
+
 def test_toxicity(spark, odd, empty):
     d = "/root/testdata/sf0.01"
     got = toxicity.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
@@ -905,6 +922,15 @@ def test_likeness_is_jaccard_of_least_names():
         assert math.isclose(phrases.likeness(x, y), sum(v in set(x) & set(y) for v in least) / len(least))
 
 
+def test_parts_follow_the_texts(spark, docs, monkeypatch):
+    """Smaller parts give more of them, and the same rows."""
+    want = sorted(map(tuple, phrases.fingerprint_documents(docs).collect()), key=repr)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(phrases, "PART", size // 20)
+    assert phrases.with_next(docs).select("part").distinct().count() > 15
+    assert sorted(map(tuple, phrases.fingerprint_documents(docs).collect()), key=repr) == want
+
+
 # --- pipeline
 
 
