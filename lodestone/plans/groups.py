@@ -83,7 +83,7 @@ QUERIES = {
     "group_confidence": lambda s, d: G.group_confidence(grouped(s, d)),
     "group_summary": group_summary,
     "bag_manifest": lambda s, d: bag_rows(s, d).select("bag_id", "source_group_id", "bag_label", "n_labels", "instance_count", F.array_join("instances.path", "|").alias("instance_list"), F.array_join("instances.md5", "|").alias("instance_md5_list"), "n_keys", F.array_join("splits", "|").alias("splits"), (F.size("splits") > 1).alias("multi_split"), "original_candidate_path"),
-    "bag_chunks": lambda s, d: C.bag_chunks(grouped(s, d), 4, ("label",)).select("bag_id", "bag_label", "chunk", "first", "n", F.array_join("path", "|").alias("paths"), C.digest(F.col("md5")).alias("digest")),
+    "bag_chunks": lambda s, d: C.bag_chunks(grouped(s, d), 4, ()).select("bag_id", "bag_label", "chunk", "first", "n", F.array_join("path", "|").alias("paths"), C.digest(F.col("md5")).alias("digest")),
     "bag_size_stats": lambda s, d: G.size_stats(bag_rows(s, d).select("bag_label", "instance_count"), "bag_label", "instance_count", F.count(F.lit(1)).alias("bags")),
     "bag_coverage_violations": lambda s, d: G.coverage(parsed(s, d), bag_rows(s, d)),
     "allocation_units": lambda s, d: units(s, d).select("unit_id", F.array_join("bag_ids", ",").alias("bag_ids"), "instance_count", "benign", "malignant"),
