@@ -194,11 +194,18 @@ class Model:
         return float(1 / (1 + math.exp(-(self.fit[0] * math.log(vote / (1 - vote)) + self.fit[1])))), [self.ids[i] for i in who], cosine.tolist()
 
 
+#: Labels that may be sent to every executor.
+SENT = 2_000_000
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
     """(doc_id, text, toxic) of every labelled document outside the held-out fold, and their counts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    rows = materialise(docs.select("doc_id", "text").join(known, "doc_id"), "labelled")
+    # Texts stay where they are while the labels are few enough to send: an id and a number each, 50 MB at most.
+    known = materialise(known, "labels")
+    side = F.broadcast(known) if known.count() <= SENT else known
+    rows = materialise(docs.select("doc_id", "text").join(side, "doc_id"), "labelled")
     counts = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     return rows, int(counts[0]), int(counts[1] or 0)
 
