@@ -60,6 +60,14 @@ def is_uncertain(p: Column, margin: float = 0.1, tolerance: float = 1e-9) -> Col
     return F.abs(p - 0.5) <= F.lit(margin + tolerance)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits as SQL engines round floating numbers: the product with the power of ten goes to the nearest whole, halves away from zero, and is divided again.
+
+    Spark's own round takes the shortest decimal of x instead, so that 0.575, whose product is 57.49999999999999, goes up.
+    """
+    return F.round(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def clip01(p: Column) -> Column:
     return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 

@@ -67,7 +67,7 @@ def areas(rows: DataFrame, group: list[str]) -> DataFrame:
 def roc_points(rows: DataFrame, group: list[str]) -> DataFrame:
     """(fpr, tpr, threshold) at each distinct score; none with one class only."""
     r = _running(by_score(rows, group), group).where("p > 0 AND n > 0")
-    return r.select(*group, F.round(F.col("fp") / F.col("n"), 6).alias("fpr"), F.round(F.col("tp") / F.col("p"), 6).alias("tpr"), F.col("probability").alias("threshold"))
+    return r.select(*group, S.rounded(F.col("fp") / F.col("n"), 6).alias("fpr"), S.rounded(F.col("tp") / F.col("p"), 6).alias("tpr"), F.col("probability").alias("threshold"))
 
 
 def roc_curve(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -86,7 +86,7 @@ def roc_curve(rows: DataFrame, group: list[str]) -> DataFrame:
     kept = (F.col("_top") & (F.col("_place") == 1)) | F.col("_pos").isNull() | (F.col("pos") != F.col("_pos")) | (F.col("neg") != F.col("_neg"))
     points = _running(r, group).where("p > 0 AND n > 0")
     ends = points.select(*group).distinct().select(*group, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"))
-    return points.where(kept).select(*group, F.round(F.col("fp") / F.col("n"), 6).alias("fpr"), F.round(F.col("tp") / F.col("p"), 6).alias("tpr"), F.col("probability").alias("threshold")).unionByName(ends)
+    return points.where(kept).select(*group, S.rounded(F.col("fp") / F.col("n"), 6).alias("fpr"), S.rounded(F.col("tp") / F.col("p"), 6).alias("tpr"), F.col("probability").alias("threshold")).unionByName(ends)
 
 
 def clipped(rows: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def clipped(rows: DataFrame) -> DataFrame:
 def pr_points(rows: DataFrame, group: list[str]) -> DataFrame:
     """(recall, precision, threshold) at each distinct score; none with one class only."""
     r = _running(by_score(rows, group), group).where("p > 0 AND n > 0")
-    return r.select(*group, F.round(F.col("tp") / F.col("p"), 6).alias("recall"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"), F.col("probability").alias("threshold"))
+    return r.select(*group, S.rounded(F.col("tp") / F.col("p"), 6).alias("recall"), S.rounded(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"), F.col("probability").alias("threshold"))
 
 
 def nearest_threshold(rows: DataFrame, key: str, k: int, farthest: bool = False, threshold: float = 0.5) -> DataFrame:

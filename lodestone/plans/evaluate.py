@@ -72,7 +72,7 @@ QUERIES = {
     "pr_auc": lambda s, d: E.areas(predictions(s, d), ["lang"]).select("lang", "pr_auc"),
     "roc_points": lambda s, d: E.roc_points(predictions(s, d), ["lang"]),
     "pr_points": lambda s, d: E.pr_points(predictions(s, d), ["lang"]),
-    "roc_curve": lambda s, d: E.roc_curve(predictions(s, d).withColumn("probability", F.round("probability", 2)), ["lang"]),
+    "roc_curve": lambda s, d: E.roc_curve(predictions(s, d).withColumn("probability", S.rounded(F.col("probability"), 2)), ["lang"]),
     "comparative_table": lambda s, d: comparative(both_models(s, d)),
     "comparative_table_clipped": comparative_clipped,
     "metrics_from_csv": metrics_from_csv,

@@ -284,3 +284,11 @@ def test_statistics_of_large_means(spark):
     r = R.train_stats(rows, "v").first()
     assert (r.n, r["std"]) == (4, 1.118034) and r["mean"] == 1e8 + 1.5
     assert rows.select(*R.quality(F.col("v"))).first().qa_std == 0.816497
+
+
+def test_rounding_as_in_sql(spark):
+    """Every number of four digits to two, halves among them (0.575 and the like)."""
+    import duckdb
+
+    got = [r.r for r in spark.range(10001).orderBy("id").select(S.rounded(F.col("id") / F.lit(10000.0), 2).alias("r")).collect()]
+    assert got == [r for (r,) in duckdb.sql("SELECT round(id / 10000.0::DOUBLE, 2) FROM range(10001) t(id) ORDER BY id").fetchall()]
