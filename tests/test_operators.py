@@ -292,3 +292,52 @@ def test_rounding_as_in_sql(spark):
 
     got = [r.r for r in spark.range(10001).orderBy("id").select(S.rounded(F.col("id") / F.lit(10000.0), 2).alias("r")).collect()]
     assert got == [r for (r,) in duckdb.sql("SELECT round(id / 10000.0::DOUBLE, 2) FROM range(10001) t(id) ORDER BY id").fetchall()]
+
+
+def test_word_simhash_counts_repeats(spark):
+    """Rows of one key count together, as before; empty and null texts have no hash."""
+    import hashlib
+
+    texts = [(1, "a b  a c"), (1, "b d"), (2, ""), (3, None), (4, " é x\ty "), (5, "w " * 5000 + "v"), (6, " ")]
+    want = {}
+    for k in (1, 4, 5):
+        words = [w for i, t in texts if i == k and t for w in t.split(" ") if w]
+        bits = np.unpackbits(np.array([np.frombuffer(hashlib.md5(w.encode()).digest()[:8], np.uint8) for w in words]), axis=1).sum(0)
+        want[k] = int(np.packbits(bits * 2 > len(words)).view(">i8")[0])
+    rows = spark.createDataFrame(texts, "id int, t string")
+    out = Y.word_simhash(rows, "id", "t")
+    assert out.dtypes == [("id", "int"), ("hash", "bigint")]
+    assert {r.id: r.hash for r in out.collect()} == want
+    # No word leaves its row: one exchange, of sums, is all there is.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize(("n", "most"), [(10, 7), (10**5, 7), (10**7, 7), (10**9, 9)])
+def test_near_pairs_counted_not_expanded(spark, n, most):
+    """Distances, cells and components against all pairs; no pair of hashes is shuffled to find its repeats."""
+    rng = np.random.default_rng(n % 89)
+    base = np.repeat(rng.integers(-(2**63), 2**63, 5, dtype=np.int64), 6)
+    for k in range(len(base)):
+        for bit in rng.integers(0, 63, k % 6):
+            base[k] ^= np.int64(1 << int(bit))
+    rows = spark.createDataFrame([(i, f"g{i % 3}" if i % 7 else None, int(x)) for i, x in enumerate(base)], "id int, g string, hash long")
+    u = base.view(np.uint64)
+    want = [(i, j, int(np.bitwise_count(u[i] ^ u[j]))) for i in range(len(u)) for j in range(i + 1, len(u)) if np.bitwise_count(u[i] ^ u[j]) <= most]
+    plan = Y.band_plan(n, most)
+    near = Y.near_hashes(rows.select("hash").distinct(), most, **plan)
+    assert near.count() == near.distinct().count()
+    assert "MapInArrow" in (edges := Y.near_edges(rows, "id", most, **plan))._jdf.queryExecution().executedPlan().toString()
+    got = {r.hamming: r.n for r in Y.distance_counts(rows, "id", most, **plan).collect()}
+    assert got == {k: sum(h == k for _, _, h in want) for k in {h for _, _, h in want}}
+    group = [f"g{i % 3}" if i % 7 else "" for i in range(len(u))]
+    cells = {}
+    for i, j, h in want:
+        key = (h, u[i], u[j]) if u[i] < u[j] else (h, u[j], u[i])
+        ends = tuple(sorted([(u[i], group[i]), (u[j], group[j])]))
+        low, m = cells.get((key, ends), ((i, j), 0))
+        cells[key, ends] = (min(low, (i, j)), m + 1)
+    found = sorted((r.hamming, r.a, r.b, r.n) for r in Y.cell_pairs(rows, "id", "g", most, **plan).collect())
+    assert found == sorted((k[0][0], *low, m) for k, (low, m) in cells.items())
+    direct = spark.createDataFrame([(i, j) for i, j, _ in want], "a int, b int")
+    assert sorted(map(tuple, components(edges).collect())) == sorted(map(tuple, components(direct).collect()))
