@@ -20,6 +20,7 @@ from lodestone.operators import mil as M
 from lodestone.operators import similarity as Y
 from lodestone.operators import graph
 from lodestone.operators.graph import components
+from lodestone.sources.scratch import written
 
 
 def scored(spark, y, p):
@@ -341,3 +342,13 @@ def test_near_pairs_counted_not_expanded(spark, n, most):
     assert found == sorted((k[0][0], *low, m) for k, (low, m) in cells.items())
     direct = spark.createDataFrame([(i, j) for i, j, _ in want], "a int, b int")
     assert sorted(map(tuple, components(edges).collect())) == sorted(map(tuple, components(direct).collect()))
+
+
+def test_turned_hashes_are_not_broadcast(spark):
+    """A table of few bytes has many turned rows: they must not be taken for small and sent through the driver."""
+    few = written(spark.range(3000).select(F.xxhash64("id").alias("hash"), F.col("id").alias("head")), "few")
+    for plan in ({"bands": 4, "radius": 1}, {"bands": 3, "radius": 2}):
+        near = Y.near_hashes(few, carried=("head",), **plan)
+        assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+        apart = {(a, b): (a ^ b).bit_count() for a, b in near.select("hash", "other").collect()}
+        assert all(n <= 7 for n in apart.values())
