@@ -12,13 +12,15 @@ with more than `leaf` fingerprints is dealt into chunks that meet pair by pair,
 so no task gets an unbounded group.  Each group returns a spanning forest of its
 links.  Components come from alternating large and small stars.
 
-`keep_one` is the wide form for a corpus: five-word shingles and a similarity of
-0.8.  Two texts of that similarity differ in about ten bits on average, so the budget
-is 13 (nine of ten such pairs are within it, nearly all of 0.85 and more), and what the
-trie finds is checked.  Every leaf carries a sketch of 64 least hashes; in a group
-pairs become edges of a spanning forest in the order of their likeness by the sketch,
-so that a group of copies gives as many edges as texts and not all its pairs, and each
-edge stays only if the exact Jaccard similarity of the two shingle sets reaches 0.8.
+`keep_one` is the wide form for a corpus: two texts are a link if their fingerprints over
+five-word shingles differ in 13 bits or fewer and their shingle sets have an exact Jaccard
+similarity of 0.8 or more (two texts of that similarity differ in about ten bits on average;
+nine of ten such pairs are within 13, nearly all of 0.85 and more).  Walking the trie with
+that budget lets nearly all top nodes meet, so that its time grows with the square of the texts.
+Instead texts meet by their least shingle hashes: of n hashes the n - 0.8 n + 1 least, of which
+two texts of that similarity share one, so no link is lost.  First each text is compared with
+the one text that it shares most of them with; then all pairs that meet, may be a link and are
+not in one component yet are compared, so that components are those of all links.
 
 Defined cases: null and empty texts have fingerprint zero and link like others;
 rows with a null doc_id belong to their component without naming it (a component
@@ -70,28 +72,6 @@ def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return majority(shingle_hashes(text, shingle, seed))
 
 
-#: Odd factors that turn one hash into 64, and the four bits that a sketch keeps of each least one.
-FACTORS = np.random.default_rng(77).integers(0, 1 << 63, 64, np.uint64) << np.uint64(1) | np.uint64(1)
-NIBBLES = np.uint64(0x1111111111111111)
-
-
-def sketch(h: np.ndarray) -> bytes:
-    """64 times four bits: of the least of all hashes under each factor; equal for equal sets, zero for none."""
-    least = np.full(64, np.iinfo(np.uint64).max)
-    for k in range(0, len(h), 4096):
-        np.minimum(least, (h[k : k + 4096, None] * FACTORS).min(0), out=least)
-    four = (least >> np.uint64(32) & np.uint64(15)).astype(np.uint8) if len(h) else np.zeros(64, np.uint8)
-    return (four[::2] << 4 | four[1::2]).tobytes()
-
-
-def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many of the 64 places sketches (rows of four numbers) differ."""
-    x = a ^ b
-    x |= x >> np.uint64(1)
-    x |= x >> np.uint64(2)
-    return np.bitwise_count(x & NIBBLES).sum(1, np.int64)
-
-
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp) for every row."""
     small_batches(docs.sparkSession)
@@ -116,13 +96,12 @@ def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def walk(a: np.ndarray, b: np.ndarray | None, budget: int, half: int, depth: int, near, skip=None) -> None:
+def walk(a: np.ndarray, b: np.ndarray | None, budget: int, half: int, depth: int, near) -> None:
     """Traverse two copies of a trie together and call near(i, j) with the places of leaves at most `budget` bits apart.
 
     `a` and `b` are sorted (b None: `a` with itself, pairs with i < j); `depth`
-    levels are common to all of `a` and to all of `b`.  Node pairs for which
-    skip(pairs) holds are dropped.  They are taken depth first, a bounded number at
-    a time.
+    levels are common to all of `a` and to all of `b`.  Node pairs are taken depth
+    first, a bounded number at a time.
     """
     same = b is None
     b = a if same else b
@@ -153,8 +132,6 @@ def walk(a: np.ndarray, b: np.ndarray | None, budget: int, half: int, depth: int
         if len(pairs) > CHUNK:
             stack += [(level, pairs[CHUNK:]), (level, pairs[:CHUNK])]
             continue
-        if skip is not None:
-            pairs = pairs[~skip(pairs)]
         size = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
         compare(pairs[size <= 64])
         pairs = pairs[size > 64]
@@ -190,92 +167,13 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int, half: int, depth
     return label
 
 
-#: Places of 64 in which sketches may differ: of texts that are alike for certain, and of texts that may be (0.8 and four deviations).
-SURE, MAYBE = 5, 25
-
-
-def forest(key: np.ndarray, sk: np.ndarray, cut: int | None, budget: int, half: int, depth: int = 0) -> np.ndarray:
-    """(i, j) rows: a spanning forest of the likely links between leaves, the most like first.
-
-    Leaves up to `cut` are one node's, sorted by key, and the others another's
-    (None: one node with itself).  What sure links have joined is not looked at again.
-    """
-    n = len(key)
-    label = np.arange(n)
-    edges: list[np.ndarray] = []
-    held: list[np.ndarray] = []
-
-    def join(i: np.ndarray, j: np.ndarray) -> None:
-        """Merge trees one link at a time where they meet; keep the links that merge."""
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        while len(i):
-            # Of the links between two trees, and then of each tree, the first goes ahead.
-            lo, hi = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-            _, one = np.unique(hi, return_index=True)
-            edges.append(np.stack([i[one], j[one]], 1))
-            label[hi[one]] = lo[one]
-            while not np.array_equal(up := label[label], label):
-                label[:] = up
-            rest = label[i] != label[j]
-            i, j = i[rest], j[rest]
-
-    def near(i: np.ndarray, j: np.ndarray) -> None:
-        j = j if cut is None else j + cut
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        unlike = _unlike(sk[i], sk[j])
-        sure = unlike <= SURE
-        join(i[sure], j[sure])
-        rest = ~sure & (unlike <= MAYBE)
-        rest[rest] = label[i[rest]] != label[j[rest]]
-        if rest.any():
-            held.append(np.stack([unlike[rest], i[rest], j[rest]], 1))
-        if sum(map(len, held)) > 4 * max(n, CHUNK):
-            settle()
-
-    def settle() -> None:
-        """Of the held links keep a spanning forest, the most like first; it stays open for links still to come."""
-        x = np.concatenate(held)
-        x = x[np.argsort(x[:, 0], kind="stable")]
-        own, kept = label.copy(), []
-        for at, (_, i, j) in enumerate(x.tolist()):
-            while own[i] != i:
-                own[i] = i = own[own[i]]
-            while own[j] != j:
-                own[j] = j = own[own[j]]
-            if i != j:
-                own[max(i, j)] = min(i, j)
-                kept.append(at)
-        held[:] = [x[kept]] if kept else []
-
-    # Neighbours in the order of the keys first: groups of copies grow together at once.
-    for lo, hi in ((0, n if cut is None else cut), (0 if cut is None else cut, n)):
-        for step in (1, 2, 3):
-            i = np.arange(lo, max(lo, hi - step))
-            i = i[np.bitwise_count(key[i] ^ key[i + step]) <= budget]
-            join(*(lambda i: (i, i + step))(i[_unlike(sk[i], sk[i + step]) <= SURE]))
-
-    def skip(p: np.ndarray) -> np.ndarray:
-        """Node pairs whose leaves are one tree already."""
-        change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
-        a0, a1, b0, b1, _ = p.T
-        shift = 0 if cut is None else cut
-        return (change[a1 - 1] == change[a0]) & (change[b1 - 1 + shift] == change[b0 + shift]) & (label[a0] == label[b0 + shift])
-
-    walk(key[:cut] if cut is not None else key, None if cut is None else key[cut:], budget, half, depth, near, skip)
-    if held:
-        settle()
-    return np.concatenate([*edges, *(x[:, 1:] for x in held)]) if edges or held else np.zeros((0, 2), np.int64)
-
-
-def deal(nodes: DataFrame, payload: list[str], budget: int, leaf: int, least_depth: int = 0) -> tuple[DataFrame, int, dict[int, int]]:
+def deal(nodes: DataFrame, payload: list[str], budget: int, leaf: int) -> tuple[DataFrame, int, dict[int, int]]:
     """Rows (fp, *payload) dealt to pairs of top nodes (view, n0, c0, n1, c1), the depth of these nodes, and the first half's budget in each view.
 
     A row goes to as many groups as nodes are within the budget of its own; a node
     with more than `leaf` rows is dealt into chunks that meet pair by pair.
     """
-    depth = min(20, max(least_depth, math.ceil(math.log2(max(1, nodes.count() / leaf)))))
+    depth = min(20, math.ceil(math.log2(max(1, nodes.count() / leaf))))
     halves = {0: budget // 2, 1: budget - budget // 2 - 1}
     view = F.explode(F.array(F.struct(F.lit(0).alias("view"), F.col("fp").alias("key")), F.struct(F.lit(1).alias("view"), F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32)).alias("key"))))
     top = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
@@ -316,20 +214,53 @@ def trie_links(nodes: DataFrame, budget: int = 4, leaf: int = 4096) -> DataFrame
     return met.groupBy(*GROUP).applyInPandas(join, "a long, b long")
 
 
-def likely_links(classes: DataFrame, budget: int, leaf: int = 1 << 18) -> DataFrame:
-    """(a, b): forests of the likely links between the texts of rows (k, fp, sk)."""
-    met, depth, halves = deal(classes, ["k", "sk"], budget, leaf, 3)
+def least_hashes(h: np.ndarray, similarity: float) -> np.ndarray:
+    """The least of the sorted distinct hashes of a text, so many that two texts of `similarity` or more share one of theirs; one zero for none.
 
-    def join(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        at, n0, c0, n1, c1 = group
-        key, right, k = pdf["key"].to_numpy().view(np.uint64), pdf["right"].to_numpy(bool), pdf["k"].to_numpy()
-        order = np.lexsort((k, key, right))
-        sk = np.frombuffer(b"".join(pdf["sk"]), np.uint64).reshape(-1, 4)[order]
-        alone = (n0, c0) == (n1, c1)
-        ij = forest(key[order], sk, None if alone else int(np.count_nonzero(~right)), budget, halves[int(at)], depth)
-        return pd.DataFrame({"a": k[order][ij[:, 0]], "b": k[order][ij[:, 1]]})
+    Such texts share at least that part of the hashes of either, so all but those, and one more, cannot miss them.
+    """
+    n = len(h)
+    return (h[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)).view(np.int64)
+
+
+def meetings(classes: DataFrame) -> DataFrame:
+    """(h, k, fp, n, head): the texts that share one of their least hashes, head the least of them."""
+    rows = classes.select(F.explode("least").alias("h"), "k", "fp", "n").repartition("h")
+    heads = rows.groupBy("h").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h", "head")
+    return rows.join(heads.hint("merge"), "h")
+
+
+def _may_link(budget: int, similarity: float):
+    """The condition for texts with fp, n and other_fp, other_n: fingerprints in the budget, and sizes that the similarity allows."""
+    sizes = F.least("n", "other_n") >= F.greatest("n", "other_n") * similarity - 1e-9
+    return sizes & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= budget)
+
+
+def first_pairs(meeting: DataFrame, budget: int, similarity: float) -> DataFrame:
+    """(a, b): each text with the head that it shares most hashes with; as many pairs as texts at most, however many copies meet."""
+    shared = meeting.where("k <> head").groupBy("k", "fp", "n", "head").agg(F.count(F.lit(1)).alias("both"))
+    heads = meeting.where("k = head").select("head", F.col("fp").alias("other_fp"), F.col("n").alias("other_n")).distinct()
+    near = shared.join(heads.hint("merge"), "head").where(_may_link(budget, similarity))
+    return near.groupBy("k").agg(F.max(F.struct("both", "head"))["head"].alias("head")).select(F.least("k", "head").alias("a"), F.greatest("k", "head").alias("b")).distinct()
 
-    return met.groupBy(*GROUP).applyInPandas(join, "a long, b long")
+
+def pairs_apart(meeting: DataFrame, roots: DataFrame, budget: int, similarity: float) -> DataFrame:
+    """(a, b), a < b: all pairs of texts of different components that meet and may be a link."""
+    rows = meeting.drop("head").join(roots.toDF("k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    split = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    rows = materialise(rows.join(split.hint("merge"), "h", "left_semi"), "apart")
+    other = rows.toDF("h", *[f"other_{c}" for c in rows.columns[1:]])
+    met = rows.join(other.hint("merge"), "h").where((F.col("k") < F.col("other_k")) & (F.col("root") != F.col("other_root")) & _may_link(budget, similarity))
+    return met.select(F.col("k").alias("a"), F.col("other_k").alias("b")).distinct()
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, ta, tb): pairs with their texts, of rows (k, t) that may repeat."""
+    ends = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    if pairs.count() <= 1 << 18:  # half a million numbers at most
+        ends = F.broadcast(ends)
+    asked = texts.join(ends, "k", "left_semi").dropDuplicates(["k"])
+    return pairs.join(asked.toDF("a", "ta"), "a").join(asked.toDF("b", "tb"), "b")
 
 
 def like_enough(pairs: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
@@ -378,11 +309,12 @@ def near_dups(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int = 42
 
 
 def keep_one(docs: DataFrame, budget: int = 13, shingle: int = 5, seed: int = 42, similarity: float = 0.8, leaf: int = 1 << 18) -> DataFrame:
-    """`docs` without near copies: of each component of texts with `similarity` or more one document stays, the one with the least doc_id.
+    """`docs` without near copies: of each component of links one document stays, the one with the least doc_id.
 
-    Rows without a doc_id come after all others, and of rows that repeat the doc_id
-    and the text of the one that stays one stays.  Equal texts are told by 64 bits of
-    a hash.
+    A link: fingerprints that differ in `budget` bits or fewer, and a similarity of
+    `similarity` or more.  Rows without a doc_id come after all others, and of rows
+    that repeat the doc_id and the text of the one that stays one stays.  Equal texts
+    are told by 64 bits of a hash.  `leaf` belonged to the walk of a trie and has no effect.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -391,17 +323,22 @@ def keep_one(docs: DataFrame, budget: int = 13, shingle: int = 5, seed: int = 42
     def run(batches):
         for pdf in batches:
             h = [shingle_hashes(t, shingle, seed) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "k": pdf["k"], "fp": [majority(x) if len(x) else 0 for x in h], "sk": [sketch(x) for x in h]})
-
-    prints = materialise(docs.select("doc_id", "text", of_text.alias("k")).mapInPandas(run, "doc_id long, k long, fp long, sk binary"), "prints")
-    classes = materialise(prints.groupBy("k").agg(F.first("fp").alias("fp"), F.first("sk").alias("sk")), "texts")
-    edges = materialise(likely_links(classes, budget, leaf).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely")
-    ends = edges.select(F.col("a").alias("k")).union(edges.select("b")).distinct()
-    if edges.count() <= 1 << 18:  # half a million numbers at most
-        ends = F.broadcast(ends)
-    texts = docs.select(of_text.alias("k"), F.coalesce("text", F.lit("")).alias("t")).join(ends, "k", "left_semi").dropDuplicates(["k"])
-    pairs = edges.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
-    roots = connected(like_enough(pairs, shingle, seed, similarity))
+            sets = [np.unique(x) for x in h]
+            fp = [majority(x) if len(x) else 0 for x in h]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "k": pdf["k"], "fp": fp, "n": [len(x) for x in sets], "least": [least_hashes(x, similarity) for x in sets]})
+
+    prints = materialise(docs.select("doc_id", "text", of_text.alias("k")).mapInPandas(run, "doc_id long, k long, fp long, n long, least array<long>"), "prints")
+    classes = materialise(prints.groupBy("k").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("least").alias("least")), "texts")
+    meeting = materialise(meetings(classes), "meetings")
+    texts = docs.select(of_text.alias("k"), F.coalesce("text", F.lit("")).alias("t"))
+    alike = lambda pairs: materialise(like_enough(with_texts(pairs, texts), shingle, seed, similarity), "alike")
+    first = materialise(first_pairs(meeting, budget, similarity), "first")
+    links = alike(first)
+    roots = connected(links)
+    # What the first links have not joined meets in full: every pair of two components that may be a link.
+    rest = materialise(pairs_apart(meeting, roots, budget, similarity).join(first, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        roots = connected(links.union(alike(rest)))
     ids = prints.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"))
     rooted = materialise(ids.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")), "rooted")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")

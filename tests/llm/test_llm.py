@@ -416,6 +416,38 @@ def test_keep_one_by_brute_force(spark, docs, odd):
         assert max(len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for j in ids if j != i) < 0.87
 
 
+def test_keep_one_loses_no_link(spark):
+    """Chains and families at the edge of the similarity: exactly the components of all links stay apart."""
+    rng = random.Random(4)
+    texts = []
+    for k in range(40):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 120, 300]))]
+        for m in range(12):
+            texts.append(list(own))
+            source = own if m % 3 else list(own)  # every third edit starts from the one before it
+            for _ in range(max(1, len(own) // rng.choice([35, 45, 60]))):
+                source[rng.randrange(len(own))] = f"w{rng.randrange(10**6)}"
+            texts.append(list(source))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    hashes = [set(simhash.shingle_hashes(t, 5, 42).tolist()) for _, t in rows]
+    prints = [simhash.simhash(t, 5) & (1 << 64) - 1 for _, t in rows]
+    label = list(range(len(rows)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 13 and len(hashes[a] & hashes[b]) >= 0.8 * len(hashes[a] | hashes[b]):
+                p, q = find(a), find(b)
+                label[max(p, q)] = min(p, q)
+    want = {i for i in range(len(rows)) if find(i) == i}
+    assert 100 < len(want) < len(rows) - 100
+    assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_keep_one_of_odd_rows(spark, odd, empty):
     got = simhash.keep_one(odd)
     assert got.columns == odd.columns
