@@ -218,16 +218,17 @@ def least_hashes(h: np.ndarray, similarity: float) -> np.ndarray:
     """The least of the sorted distinct hashes of a text, so many that two texts of `similarity` or more share one of theirs; one zero for none.
 
     Such texts share at least that part of the hashes of either, so all but those, and one more, cannot miss them.
+    Of each hash the upper 40 bits stay: equal ones stay equal, and less moves.
     """
     n = len(h)
-    return (h[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)).view(np.int64)
+    return ((h[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)) >> np.uint64(24)).astype(np.int64)
 
 
 def meetings(classes: DataFrame) -> DataFrame:
     """(h, k, fp, n, head): the texts that share one of their least hashes, head the least of them."""
-    rows = classes.select(F.explode("least").alias("h"), "k", "fp", "n").repartition("h")
+    rows = classes.select(F.explode(F.array_distinct("least")).alias("h"), "k").repartition("h")
     heads = rows.groupBy("h").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h", "head")
-    return rows.join(heads.hint("merge"), "h")
+    return rows.join(heads.hint("merge"), "h").join(classes.select("k", "fp", "n"), "k").select("h", "k", "fp", "n", "head")
 
 
 def _may_link(budget: int, similarity: float):
@@ -350,8 +351,10 @@ def keep_one(docs: DataFrame, budget: int = 13, shingle: int = 5, seed: int = 42
     marked = materialise(marked, "marked")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (of_text == F.col("_k"))
     gone = marked.where("NOT _best")
+    if gone.count() <= 1 << 20:  # two million numbers at most, so that the texts stay where they are
+        gone = F.broadcast(gone)
     repeated = marked.where("_best AND n > 1").select("_id", "_k")
-    out = docs.join(gone, same, "left_anti")
+    out = docs.join(gone.select("_id", "_k"), same, "left_anti")
     if repeated.isEmpty():
         return out
     # One of each repeated row: only these rows move.
