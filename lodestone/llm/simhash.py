@@ -18,9 +18,10 @@ similarity of 0.8 or more (two texts of that similarity differ in about ten bits
 nine of ten such pairs are within 13, nearly all of 0.85 and more).  Walking the trie with
 that budget lets nearly all top nodes meet, so that its time grows with the square of the texts.
 Instead texts meet by their least shingle hashes: of n hashes the n - 0.8 n + 1 least, of which
-two texts of that similarity share one, so no link is lost.  First each text is compared with
-the one text that it shares most of them with; then all pairs that meet, may be a link and are
-not in one component yet are compared, so that components are those of all links.
+two texts of that similarity share one, so no link is lost.  Where they meet, 512 parities of each set
+tell most pairs that are not alike: those cannot differ in more places than the sets do in hashes.  First
+each text is compared with the likest of the least texts of its hashes; then all pairs that meet, may be a link
+and are not in one component yet are compared, so that components are those of all links.
 
 Defined cases: null and empty texts have fingerprint zero and link like others;
 rows with a null doc_id belong to their component without naming it (a component
@@ -224,34 +225,66 @@ def least_hashes(h: np.ndarray, similarity: float) -> np.ndarray:
     return ((h[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)) >> np.uint64(24)).astype(np.int64)
 
 
+#: 64-bit numbers of a text's parities.
+WORDS = 8
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """For each value of the lowest 9 bits whether an odd number of the distinct hashes has it, as 8 signed numbers.
+
+    Two texts' parities differ in no more places than their sets differ in hashes.
+    """
+    odd = np.bincount((h & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(bool)).view(">i8").astype(np.int64)
+
+
 def meetings(classes: DataFrame) -> DataFrame:
-    """(h, k, fp, n, head): the texts that share one of their least hashes, head the least of them."""
+    """(h, k): the texts that share one of their least hashes."""
     rows = classes.select(F.explode(F.array_distinct("least")).alias("h"), "k").repartition("h")
-    heads = rows.groupBy("h").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h", "head")
-    return rows.join(heads.hint("merge"), "h").join(classes.select("k", "fp", "n"), "k").select("h", "k", "fp", "n", "head")
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h")
+    return rows.join(shared.hint("merge"), "h", "left_semi")
 
 
-def _may_link(budget: int, similarity: float):
+def _near(budget: int, similarity: float):
     """The condition for texts with fp, n and other_fp, other_n: fingerprints in the budget, and sizes that the similarity allows."""
     sizes = F.least("n", "other_n") >= F.greatest("n", "other_n") * similarity - 1e-9
     return sizes & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= budget)
 
 
-def first_pairs(meeting: DataFrame, budget: int, similarity: float) -> DataFrame:
-    """(a, b): each text with the head that it shares most hashes with; as many pairs as texts at most, however many copies meet."""
-    shared = meeting.where("k <> head").groupBy("k", "fp", "n", "head").agg(F.count(F.lit(1)).alias("both"))
-    heads = meeting.where("k = head").select("head", F.col("fp").alias("other_fp"), F.col("n").alias("other_n")).distinct()
-    near = shared.join(heads.hint("merge"), "head").where(_may_link(budget, similarity))
-    return near.groupBy("k").agg(F.max(F.struct("both", "head"))["head"].alias("head")).select(F.least("k", "head").alias("a"), F.greatest("k", "head").alias("b")).distinct()
+def _parted():
+    """In how many places the parities odd and other_odd differ."""
+    apart = [F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("other_odd", F.lit(i)))) for i in range(WORDS)]
+    return sum(apart[1:], apart[0])
+
+
+def _may_be_alike(similarity: float):
+    """True unless the parities show more different hashes than two sets of the similarity have: of n and m hashes (n + m) (1 - s) / (1 + s)."""
+    return _parted() <= (F.col("n") + F.col("other_n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def first_pairs(meeting: DataFrame, classes: DataFrame, budget: int, similarity: float) -> DataFrame:
+    """(a, b): each text of rows (h, k) with the likest of the least texts of its hashes, if it may be a link; as many pairs as texts at most, however many meet.
+
+    `classes` has k, fp, n and odd.
+    """
+    heads = meeting.groupBy("h").agg(F.min("k").alias("head"))
+    pairs = meeting.join(heads.hint("merge"), "h").where("k <> head").select("k", "head").distinct()
+    small = classes.select("k", "fp", "n")
+    near = pairs.join(small.hint("merge"), "k").join(small.toDF("head", "other_fp", "other_n").hint("merge"), "head").where(_near(budget, similarity))
+    odd = classes.select("k", "odd")
+    like = near.join(odd, "k").join(odd.toDF("head", "other_odd"), "head").where(_may_be_alike(similarity))
+    likest = like.groupBy("k").agg(F.min(F.struct(_parted().alias("parted"), "head"))["head"].alias("head"))
+    return likest.select(F.least("k", "head").alias("a"), F.greatest("k", "head").alias("b")).distinct()
 
 
-def pairs_apart(meeting: DataFrame, roots: DataFrame, budget: int, similarity: float) -> DataFrame:
+def pairs_apart(meeting: DataFrame, classes: DataFrame, roots: DataFrame, budget: int, similarity: float) -> DataFrame:
     """(a, b), a < b: all pairs of texts of different components that meet and may be a link."""
-    rows = meeting.drop("head").join(roots.toDF("k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    split = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    rows = materialise(rows.join(split.hint("merge"), "h", "left_semi"), "apart")
+    rooted = materialise(classes.join(roots.toDF("k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k")), "roots")
+    split = meeting.join(rooted.select("k", "root").hint("merge"), "k").groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    rows = meeting.join(split.hint("merge"), "h", "left_semi").join(rooted.hint("merge"), "k").select("h", "k", "root", "fp", "n", "odd")
+    rows = materialise(rows, "apart")
     other = rows.toDF("h", *[f"other_{c}" for c in rows.columns[1:]])
-    met = rows.join(other.hint("merge"), "h").where((F.col("k") < F.col("other_k")) & (F.col("root") != F.col("other_root")) & _may_link(budget, similarity))
+    met = rows.join(other.hint("merge"), "h").where((F.col("k") < F.col("other_k")) & (F.col("root") != F.col("other_root")) & _near(budget, similarity) & _may_be_alike(similarity))
     return met.select(F.col("k").alias("a"), F.col("other_k").alias("b")).distinct()
 
 
@@ -326,18 +359,19 @@ def keep_one(docs: DataFrame, budget: int = 13, shingle: int = 5, seed: int = 42
             h = [shingle_hashes(t, shingle, seed) for t in pdf["text"]]
             sets = [np.unique(x) for x in h]
             fp = [majority(x) if len(x) else 0 for x in h]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "k": pdf["k"], "fp": fp, "n": [len(x) for x in sets], "least": [least_hashes(x, similarity) for x in sets]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "k": pdf["k"], "fp": fp, "n": [len(x) for x in sets], "odd": [parities(x) for x in sets], "least": [least_hashes(x, similarity) for x in sets]})
 
-    prints = materialise(docs.select("doc_id", "text", of_text.alias("k")).mapInPandas(run, "doc_id long, k long, fp long, n long, least array<long>"), "prints")
-    classes = materialise(prints.groupBy("k").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("least").alias("least")), "texts")
+    prints = materialise(docs.select("doc_id", "text", of_text.alias("k")).mapInPandas(run, "doc_id long, k long, fp long, n long, odd array<long>, least array<long>"), "prints")
+    classes = materialise(prints.groupBy("k").agg(*[F.first(c).alias(c) for c in ("fp", "n", "odd", "least")]), "texts")
     meeting = materialise(meetings(classes), "meetings")
+    classes = classes.select("k", "fp", "n", "odd")
     texts = docs.select(of_text.alias("k"), F.coalesce("text", F.lit("")).alias("t"))
     alike = lambda pairs: materialise(like_enough(with_texts(pairs, texts), shingle, seed, similarity), "alike")
-    first = materialise(first_pairs(meeting, budget, similarity), "first")
+    first = materialise(first_pairs(meeting, classes, budget, similarity), "first")
     links = alike(first)
     roots = connected(links)
     # What the first links have not joined meets in full: every pair of two components that may be a link.
-    rest = materialise(pairs_apart(meeting, roots, budget, similarity).join(first, ["a", "b"], "left_anti"), "rest")
+    rest = materialise(pairs_apart(meeting, classes, roots, budget, similarity).join(first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         roots = connected(links.union(alike(rest)))
     ids = prints.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"))

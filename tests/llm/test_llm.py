@@ -448,6 +448,30 @@ def test_keep_one_loses_no_link(spark):
     assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_keep_one_compares_few_pairs_that_are_no_link(spark, monkeypatch):
+    """A family whose texts are near by fingerprint and mostly under the similarity: what is compared in full is not all its pairs."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(90):
+        own = list(base)
+        for _ in range(rng.choice([3, 4, 5, 6])):
+            own[rng.randrange(150)] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    hashes = [simhash.shingle_hashes(t, 5, 42) for t in texts]
+    sets = [set(h.tolist()) for h in hashes]
+    prints = [simhash.majority(h) & (1 << 64) - 1 for h in hashes]
+    pairs = [(a, b) for a in range(90) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 13]
+    links = sum(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in pairs)
+    assert len(pairs) > 10 * (links + 90)
+    odd = [np.unpackbits(simhash.parities(np.unique(h)).astype(">i8").view(np.uint8)) for h in hashes]
+    assert all((odd[a] != odd[b]).sum() <= len(sets[a] ^ sets[b]) for a, b in pairs)
+    compared, like_enough = [], simhash.like_enough
+    monkeypatch.setattr(simhash, "like_enough", lambda met, *a: (compared.append(met.count()), like_enough(met, *a))[1])
+    simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    assert sum(compared) <= 2 * links + 90
+
+
 def test_keep_one_of_odd_rows(spark, odd, empty):
     got = simhash.keep_one(odd)
     assert got.columns == odd.columns
