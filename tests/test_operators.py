@@ -352,3 +352,20 @@ def test_turned_hashes_are_not_broadcast(spark):
         assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
         apart = {(a, b): (a ^ b).bit_count() for a, b in near.select("hash", "other").collect()}
         assert all(n <= 7 for n in apart.values())
+
+
+def test_large_written_tables_are_not_broadcast(spark):
+    """Packed files look small to Spark; only a small table is sent through the driver."""
+    from lodestone.sources.scratch import written
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        plans = []
+        for n in (1_000, 300_000):
+            rows = written(spark.range(n).selectExpr("id", "xxhash64(id) AS v"), "rows").where("v <> 0")
+            joined = spark.range(10**8).join(rows, "id")
+            plans.append(joined._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
