@@ -369,3 +369,22 @@ def test_large_written_tables_are_not_broadcast(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
+
+
+def test_many_pictures_are_not_broadcast(spark, tmp_path):
+    """Repeated pictures pack into a small file, but not into small rows: 20,000 of them are merged, not sent; 1,000 may be."""
+    from lodestone.plans.integrity import pictured
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        plans = []
+        for n in (1_000, 20_000):
+            spark.range(n).selectExpr("id AS vec_id", "array_repeat(cast(0.5 AS float), 64) AS embedding").coalesce(1).write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+            pairs = spark.range(0, 10**5, 1, 1).selectExpr("id AS a", "id + 1 AS b")
+            found = pictured(spark, f"{tmp_path}/{n}", pairs)
+            plans.append(found._jdf.queryExecution().executedPlan().toString())
+            assert found.count() == 10**5 and found.where("pa IS NOT NULL AND pb IS NOT NULL").count() == n - 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
