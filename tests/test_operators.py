@@ -388,3 +388,22 @@ def test_many_pictures_are_not_broadcast(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
+
+
+def test_many_labels_are_not_broadcast(spark, tmp_path):
+    """Labels of repeated values pack into a small file: 200,000 of them are merged, not sent, and the documents' texts do not move for it."""
+    from lodestone.sources.tables import manifest
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        plans = []
+        for n in (1_000, 200_000):
+            spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "cast(id % 2 AS int) AS toxic").coalesce(1).write.parquet(f"{tmp_path}/{n}/labels.parquet")
+            spark.range(2_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+            rows = manifest(spark, f"{tmp_path}/{n}").select("doc_id", "class_dir", "md5")
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+            assert rows.count() == 2_000 and rows.where("class_dir = 'malignant'").count() == min(n, 2_000) // 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
