@@ -63,3 +63,23 @@ def test_counts_by_group(close, twice):
                     same = None if p is None or q is None else p == q
                     want[same] = want.get(same, 0) + 1
     assert {r.same: r.n for r in Y.group_counts(rows, "id", "g", **PLAN).collect()} == want
+
+
+def test_pictures_come_with_hashes(spark, tmp_path):
+    """As joining pictures to pairs: two pictures of one id, values that are no byte, none; and no pair is shuffled to its picture."""
+    from lodestone.plans import integrity as Q
+
+    spark.range(40).selectExpr("id AS doc_id", "'x' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    values = "transform(sequence(1, 64), i -> cast(CASE WHEN id = 4 THEN 3 WHEN id = 5 AND i = 9 THEN NULL ELSE (id * i % 17) / 17 END AS float))"
+    once = spark.range(12).selectExpr("id AS vec_id", f"CASE WHEN id <> 6 THEN {values} END AS embedding")
+    once.union(once.where("vec_id = 2")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    h = spark.range(20).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 1 ELSE (1L << id) END AS hash")
+    plan = Q.bands(spark, str(tmp_path))
+    old = Q.pictured(spark, str(tmp_path), Y.banded_pairs(h, "doc_id", **plan)).select("a", "b", "hamming", "pa", "pb")
+    has = old.join(spark.range(12).select(F.col("id").alias("a")), "a", "left_semi").join(spark.range(12).select(F.col("id").alias("b")), "b", "left_semi")
+    rows = lambda df, *c: sorted(map(repr, df.select(*c).collect()))
+    both = Q.pictured_pairs(spark, str(tmp_path), h)
+    assert rows(both, "a", "b", "hamming", "pa", "pb") == rows(has, "a", "b", "hamming", "pa", "pb")
+    others = Q.unpictured_pairs(spark, str(tmp_path), h)
+    assert both.count() + others.count() == old.count()
+    assert rows(both.union(others.select("a", "b", "hamming", F.expr("CAST(NULL AS array<double>)").alias("pa"), F.expr("CAST(NULL AS array<double>)").alias("pb"))), "a", "b", "hamming") == rows(old, "a", "b", "hamming")
