@@ -83,3 +83,19 @@ def test_pictures_come_with_hashes(spark, tmp_path):
     others = Q.unpictured_pairs(spark, str(tmp_path), h)
     assert both.count() + others.count() == old.count()
     assert rows(both.union(others.select("a", "b", "hamming", F.expr("CAST(NULL AS array<double>)").alias("pa"), F.expr("CAST(NULL AS array<double>)").alias("pb"))), "a", "b", "hamming") == rows(old, "a", "b", "hamming")
+
+
+def test_forest_of_a_slice():
+    """Stars to the least node of each tree, as a search finds them."""
+    from lodestone.operators.graph import _forest
+
+    rng = np.random.default_rng(3)
+    for n, m in ((3, 2), (50, 30), (50, 200), (400, 399)):
+        a, b = (np.arange(m), np.arange(1, m + 1)) if m == 399 else rng.integers(0, n, (2, m))
+        least = dict.fromkeys([*a.tolist(), *b.tolist()])
+        least = {x: x for x in least}
+        for _ in range(n):
+            for x, y in zip(a.tolist(), b.tolist()):
+                least[x] = least[y] = min(least[x], least[y])
+        node, root = _forest(a, b)
+        assert dict(zip(node.tolist(), root.tolist())) == {x: r for x, r in least.items() if x != r}
